@@ -5,6 +5,7 @@ that must give the same rows.
 """
 
 
+from shelfmark.plans.checks import bookmaps, cleanup, ingest, search, structure, text  # noqa: F401
 from shelfmark.plans.checks.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
