@@ -156,10 +156,16 @@ def escape_literal(value: Column) -> Column:
     return F.replace(value, F.lit("'"), F.lit("''"))
 
 
+TERM = r"[\p{L}\p{N}]+"
+
+
 def word_tokens(c: Column) -> Column:
     """Lower-case alphanumeric terms, the units of the keyword index."""
-    parts = F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1)
-    return F.filter(parts, lambda w: w != "")
+    return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
+
+
+def word_count(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(TERM))
 
 
 def whitespace_token_count(c: Column) -> Column:

@@ -23,8 +23,9 @@ CHILDREN_SQL = """children as (
          case when label % 2 = 0 then 'Even Author' else 'Odd_Author' end as author, embedding as vector from embeddings)"""
 
 
-def parents(spark, sf):
-    d = documents(spark, sf)
+def parents(spark, sf, heavy=True):
+    """Parents from documents; plain lookups skip the spreading that text work wants."""
+    d = documents(spark, sf) if heavy else table(spark, sf, "documents")
     return d.select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("book_id"), F.col("lang").alias("author"),
         F.concat(F.lit("T "), "lang").alias("title"), (F.col("doc_id") % 9).cast("int").alias("chapter_number"),
@@ -98,10 +99,9 @@ def rounded(df, *names, digits=9):
 
 
 def lists(spark, sf, n=2 * K):
-    p = parents(spark, sf)
     near = fusion.numbered(fusion.nearest(children(spark, sf), query_vector(spark, sf), n), "_distance", "id")
-    hits = keyword.top_scores(keyword.score_texts(p, keyword.query_terms(QUERY)).select("id", "_score"), n)
-    return p, near, fusion.numbered(hits, F.desc("_score"), "id")
+    hits = keyword.top_scores(keyword.score_texts(parents(spark, sf), keyword.query_terms(QUERY)).select("id", "_score"), n)
+    return parents(spark, sf, heavy=False), near, fusion.numbered(hits, F.desc("_score"), "id")
 
 
 @check("snk_2_postings", f"with {PARENTS_SQL} select id, term, cast(count(*) as int) as tf, cast(dl as int) as dl from "
@@ -236,7 +236,7 @@ def best_child(spark, sf):
 def semantic_mode(spark, sf):
     """Missing parents never take a place here: the cut comes after the lookup."""
     near = fusion.numbered(fusion.nearest(children(spark, sf), query_vector(spark, sf), 2 * K), "_distance", "id")
-    return rounded(fusion.semantic(near, parents(spark, sf).where("author <> 'fr'"), K, 2 * K), "_score", digits=6)
+    return rounded(fusion.semantic(near, parents(spark, sf, heavy=False).where("author <> 'fr'"), K, 2 * K), "_score", digits=6)
 
 
 @check("flt_5_key_filter", BASE + "select id, book_id from parents where id in (select id from top)")
