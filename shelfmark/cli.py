@@ -83,7 +83,7 @@ def convert_epubs(spark: SparkSession, source: str, target: str, force: bool = F
 def make_maps(spark: SparkSession, books, folder: str, model, force: bool = False):
     """Generate maps for the books that have none (or for all); returns cost totals."""
     if not force and tables.exists(spark, folder):
-        books = books.join(files.book_maps(spark, folder).select(F.col("id").alias("book_id")), "book_id", "left_anti")
+        books = books.join(files.generated_maps(spark, folder).select(F.col("id").alias("book_id")), "book_id", "left_anti")
     answers = bookmaps.ask(bookmaps.prompts(books), model)
     maps = bookmaps.assemble(answers)
     files.write_maps(maps.where("error is null").drop("book_id", "error", "prompt_tokens", "completion_tokens"), folder)

@@ -107,18 +107,29 @@ class Ingest:
         self._append("staged", done.where(F.col("staging_category").isNotNull()))
         self._append("quarantined", done.where(F.col("staging_category").isNull()))
 
+    def _content(self, rows: DataFrame) -> DataFrame | None:
+        """(path, content) of the inbox files behind ``rows``, None when there are none.
+
+        The scan is limited to the inbox folders and to files no older than the
+        oldest one wanted; the time filter is pushed to the source, which then
+        does not open the files it excludes.
+        """
+        folder = F.regexp_replace("path", "/[^/]*$", "")
+        span = rows.agg(F.min("modification_time").alias("oldest"), F.collect_set(folder).alias("folders")).first()
+        if span.oldest is None:
+            return None
+        files = self.spark.read.format("binaryFile").load(span.folders)
+        return files.where(F.col("modificationTime") >= F.lit(span.oldest)).select("path", "content")
+
     def convert(self) -> None:
         """Read every staged file that has no raw text yet, one file per call."""
         services = self.services
         todo = self.staged().join(self.table("raw", RAW_DDL).select("folder_id"), "folder_id", "left_anti")
         if services.cloud_pdf is None:  # scanned files wait until a cloud reader exists
             todo = todo.where("staging_category <> 'cloud'")
-        paths = [r.path for r in todo.select("path").limit(1).collect()]
-        if not paths:
+        content = self._content(todo)
+        if content is None:
             return
-        folder = F.regexp_replace("path", "/[^/]*$", "")
-        folders = [r.f for r in todo.select(folder.alias("f")).distinct().collect()]  # inbox folders, a handful
-        content = self.spark.read.format("binaryFile").load(folders).select("path", "content")
         work = todo.join(content, "path").select("folder_id", "classification", "content")
 
         def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,14 +185,15 @@ class Ingest:
     def deliver(self, maps: DataFrame | None = None) -> None:
         none = self.spark.createDataFrame([], "id string, title string, author string, summary string, key_themes array<string>")
         todo = self.table("indexed", INDEXED_DDL).join(self.table("sent", SENT_DDL).select("folder_id"), "folder_id", "left_anti")
-        staged = todo.join(self.staged().select("folder_id", "path", "original_name", "file_type"), "folder_id")
+        staged = todo.join(self.staged().select(
+            "folder_id", "path", "original_name", "file_type", "modification_time"), "folder_id")
         staged = staged.join(self.table("clean", CLEAN_DDL).select("folder_id", "clean_text"), "folder_id")
         about = bookmaps.delivery_metadata(
             staged.withColumn("fallback_title", stem(F.col("original_name"))), maps if maps is not None else none)
         if self.kindle.configured:
-            folders = [r.f for r in staged.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().collect()]
-            content = self.spark.read.format("binaryFile").load(folders).select("path", "content") if folders else \
-                self.spark.createDataFrame([], "path string, content binary")
+            content = self._content(staged)
+            if content is None:
+                return
             about = about.join(content, "path")
         self._append("sent", D.deliver(about, self.kindle))
 

@@ -60,3 +60,8 @@ def write_maps(maps: DataFrame, folder: str) -> None:
     """One JSON object per line; nulls are kept so every field is present."""
     text = F.to_json(F.struct(*maps.columns), {"ignoreNullFields": "false"}).alias("value")
     maps.select(text).write.mode("append").text(folder)
+
+
+def generated_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """Maps written by ``write_maps``; each carries its own id."""
+    return spark.read.schema(BOOK_MAP_DDL).option("pathGlobFilter", "part-*").json(folder)
