@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 from datetime import datetime
 from pathlib import Path
@@ -23,6 +24,7 @@ from shelfmark.sources.config import ensure_config, ensure_directories
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="shelfmark")
     p.add_argument("--config")
+    p.add_argument("--embedder", help="module:attribute of an Embedder; default is the offline one")
     sub = p.add_subparsers(dest="command", required=True)
     q = sub.add_parser("query")
     q.add_argument("query")
@@ -36,6 +38,10 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--book")
     c = sub.add_parser("convert")
     c.add_argument("--force", action="store_true")
+    m = sub.add_parser("maps")
+    m.add_argument("--model", required=True, help="module:attribute called as model(kind, prompt) -> (answer, usage)")
+    m.add_argument("--force", action="store_true")
+    m.add_argument("--book")
     w = sub.add_parser("watch")
     w.add_argument("--once", action="store_true")
     b = sub.add_parser("batch")
@@ -43,6 +49,12 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def load(spec: str):
+    """Object named ``module:attribute``."""
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def search(lib: Library, args, vault: str, now: datetime) -> str:
     """Results in the chosen format; the row count is bounded by ``top_k``."""
     hits = lib.search(args.query, args.top_k, args.mode, args.book_filter, args.author_filter)
@@ -95,12 +107,18 @@ def main(argv: list[str] | None = None) -> None:
     cfg = ensure_config(args.config)
     ensure_directories(cfg)
     spark = SparkSession.builder.appName("shelfmark").getOrCreate()
-    lib = Library(spark, cfg.paths.index, Embedder())
+    lib = Library(spark, cfg.paths.index, load(args.embedder) if args.embedder else Embedder())
     if args.command == "query":
         print(search(lib, args, cfg.paths.obsidian_vault, datetime.now()))
     elif args.command == "index":
-        lib.add_books(files.markdown_books(spark, cfg.paths.markdown, args.book),
-                      files.book_maps(spark, cfg.paths.maps), args.force)
+        maps = files.book_maps(spark, cfg.paths.maps)
+        generated = f"{cfg.paths.maps}/generated"
+        if tables.exists(spark, generated):
+            maps = maps.unionByName(files.generated_maps(spark, generated)).dropDuplicates(["id"])
+        lib.add_books(files.markdown_books(spark, cfg.paths.markdown, args.book), maps, args.force)
+    elif args.command == "maps":
+        books = files.markdown_books(spark, cfg.paths.markdown, args.book)
+        make_maps(spark, books, f"{cfg.paths.maps}/generated", load(args.model), args.force).show()
     elif args.command == "convert":
         convert_epubs(spark, f"{cfg.paths.repo_root}/source", f"{cfg.paths.repo_root}/books", args.force)
     elif args.command == "watch":

@@ -81,6 +81,31 @@ def api_key(provider: str) -> str:
     return value
 
 
+class RateLimited(RuntimeError):
+    """Raised by a page request the service asks to repeat later."""
+
+
+def patient(request: Callable[..., str], attempts: int = 3, pause: float = 5.0,
+            sleep: Callable[[float], None] = time.sleep) -> Callable[..., str]:
+    """Repeat a page-conversion request: rate limits wait 10, 20, 40 s, other faults ``pause``."""
+
+    def run(*args) -> str:
+        last: Exception | None = None
+        for attempt in range(attempts):
+            try:
+                return request(*args)
+            except RateLimited as exc:
+                last = exc
+                sleep(10 * 2 ** attempt)
+            except Exception as exc:
+                last = exc
+                if attempt + 1 < attempts:
+                    sleep(pause)
+        raise last
+
+    return run
+
+
 def hashed_embedding(texts: list[str], dims: int = EMBED_DIMS) -> list[list[float]]:
     """Offline stand-in: a unit vector of hashed word counts, equal for equal texts."""
     out = []

@@ -66,12 +66,16 @@ def hybrid(vector_list: DataFrame, keyword_list: DataFrame, parents: DataFrame,
     return parents.join(small(top, k), "id").orderBy("place")
 
 
-def semantic(vector_list: DataFrame, parents: DataFrame, k: int, fetched: int) -> DataFrame:
-    """Parents of the nearest children, best child first; missing ones never take a place."""
+def best_children(vector_list: DataFrame) -> DataFrame:
+    """(id, place, _score): the first child of every parent and ``1 - distance``."""
     best = vector_list.groupBy("parent_id").agg(F.min(F.struct("rn", "_distance")).alias("best"))
-    best = best.select(F.col("parent_id").alias("id"), F.col("best.rn").alias("place"),
+    return best.select(F.col("parent_id").alias("id"), F.col("best.rn").alias("place"),
                        (F.lit(1.0) - F.col("best._distance")).alias("_score"))
-    return parents.join(small(best, fetched), "id").orderBy("place").limit(k)
+
+
+def semantic(vector_list: DataFrame, parents: DataFrame, k: int, fetched: int) -> DataFrame:
+    """Parents of the nearest children, best child first; missing ones never take a place."""
+    return parents.join(small(best_children(vector_list), fetched), "id").orderBy("place").limit(k)
 
 
 def keyword(scored_parents: DataFrame, k: int) -> DataFrame:

@@ -52,8 +52,7 @@ def with_status(batches: DataFrame, batch_id: str, status: str) -> DataFrame:
 
 
 def batch_listing(batches: DataFrame) -> DataFrame:
-    return batches.select("batch_id", "status", F.size(F.map_keys("folders")).alias("books"),
-                          "total_pages", "cost_estimate").orderBy("batch_id")
+    return batches.select("batch_id", "status", "books", "total_pages", "cost_estimate").orderBy("batch_id")
 
 
 def result_texts(results: DataFrame) -> DataFrame:

@@ -226,9 +226,7 @@ best as (select parent_id as id, min(rn) as place, arg_min(_distance, rn) as d f
 def best_child(spark, sf):
     """First child per parent and its score ``1 - distance`` (RNK-8)."""
     near = fusion.numbered(fusion.nearest(children(spark, sf), query_vector(spark, sf), 2 * K), "_distance", "id")
-    best = near.groupBy("parent_id").agg(F.min(F.struct("rn", "_distance")).alias("b"))
-    return best.select(F.col("parent_id").alias("id"), F.col("b.rn").alias("place"),
-                       F.round(1 - F.col("b._distance"), 6).alias("_score"))
+    return rounded(fusion.best_children(near), "_score", digits=6)
 
 
 @check("jon_2_semantic_mode", SEMANTIC + f"select {PARENT_COLUMNS}, cast(place as int) as place, round(1 - d, 6) as _score from best "

@@ -31,6 +31,8 @@ RAW_DDL = "folder_id string, raw_text string, page_count int, raw_chars int, cha
 CLEAN_DDL = ("folder_id string, clean_text string, quality_score double, cleanup_method string, clean_chars int, "
              "quality_score_after_repair double")
 INDEXED_DDL = "folder_id string, book_id string"
+DONE_DDL = ("folder_id string, book_id string, sha256 string, path string, original_name string, file_type string, "
+            "classification string")
 SENT_DDL = "folder_id string, sent boolean, outbox_name string"
 
 
@@ -92,7 +94,9 @@ class Ingest:
                        for k in ("avg_chars_per_page", "sampled_pages", "total_pages", "classification")})
 
         # One pass over the bytes gives digest and probe; only small columns leave the scan.
-        seen = files.withColumn("sha256", T.sha256_hex(F.col("content"))).mapInPandas(look, (
+        hashed = files.withColumn("sha256", T.sha256_hex(F.col("content"))).withColumn(
+            "content", F.when(F.lower("name").endswith(".pdf"), F.col("content")))  # only PDFs are probed
+        seen = hashed.mapInPandas(look, (
             "path string, name string, modification_time timestamp, length bigint, sha256 string, "
             "avg_chars_per_page double, sampled_pages int, total_pages int, classification string"))
         seen.write.parquet(scratch)
@@ -197,6 +201,13 @@ class Ingest:
             about = about.join(content, "path")
         self._append("sent", D.deliver(about, self.kindle))
 
+    def archive(self) -> None:
+        """Record finished books with their provenance; the inbox stream moves the files."""
+        ended = self.staged().join(self.done(), "folder_id").select(
+            "folder_id", "book_id", "sha256", "path", "original_name", "file_type", "classification")
+        kept = self.table("done", DONE_DDL).select("folder_id")
+        self._append("done", ended.join(kept, "folder_id", "left_anti"))
+
     def done(self) -> DataFrame:
         """Finished folders: indexed and through delivery, in that order."""
         sent = self.table("sent", SENT_DDL).where("sent").select("folder_id")
@@ -221,3 +232,4 @@ class Ingest:
         self.clean()
         self.index(maps)
         self.deliver(maps)
+        self.archive()

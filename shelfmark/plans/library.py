@@ -17,7 +17,7 @@ from shelfmark.functions import render
 from shelfmark.models import Embedder, embed_children
 from shelfmark.operators import bookmaps, fusion, keyword, structure
 from shelfmark.schemas import CHILDREN_DDL, PARENTS_DDL, TOP_K
-from shelfmark.session import shared_dir, spread
+from shelfmark.session import BROADCAST_MAX_ROWS, shared_dir, spread
 from shelfmark.sources import tables
 
 log = logging.getLogger(__name__)
@@ -26,6 +26,7 @@ POSTINGS_DDL = "term string, id string, book_id string, author string, tf int, d
 TERMS_DDL = "term string, df bigint"
 CORPUS_DDL = "n bigint, total_dl bigint"
 SETTINGS_DDL = "embedder string, dims int, buckets int"
+PARENT_ID = r"(?s)^(.*)::ch\d+::parent\d+$"
 MODES = ("hybrid", "semantic", "keyword")
 
 
@@ -150,6 +151,29 @@ class Library:
             if not tables.exists(self.spark, self._path(name)):
                 raise IndexNotBuilt("Index not built yet; add books first.")
 
+    def _segment(self, rows: DataFrame, book_id: str | None) -> DataFrame:
+        """With a book filter only that book's bucket can hold hits; prune to it."""
+        if not book_id:
+            return rows
+        return rows.where(F.col("bucket") == tables.bucket_of(F.lit(book_id), self.buckets))
+
+    def _lookup(self, ranked: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+        """A ranked list and the parents behind it.
+
+        A short list (its length is bounded by the request) is taken to the driver
+        once, and the parents are read by literals: buckets prune partitions and,
+        the files being sorted by id, the id list skips row groups.  A longer list
+        is joined.
+        """
+        if rows > BROADCAST_MAX_ROWS:
+            return ranked, self.parents().drop("bucket")
+        book = F.regexp_extract("id", PARENT_ID, 1)
+        taken = ranked.withColumn("bucket", tables.bucket_of(book, self.buckets)).collect()
+        listed = self.spark.createDataFrame([r[:-1] for r in taken], ranked.schema)
+        found = self.parents().where(
+            F.col("bucket").isin(sorted({r.bucket for r in taken})) & F.col("id").isin([r.id for r in taken]))
+        return listed, found.drop("bucket")
+
     def keyword_list(self, query: str, n: int, book_id: str | None, author: str | None) -> DataFrame:
         """Ranked keyword hits; a missing keyword index is reported and yields no hits."""
         terms = keyword.query_terms(query)
@@ -157,12 +181,12 @@ class Library:
             log.warning("keyword index missing, keyword results unavailable")
             terms = []
         scored = keyword.score_postings(
-            self.postings(), tables.open_table(self.spark, self._path("terms"), TERMS_DDL),
+            self._segment(self.postings(), book_id), tables.open_table(self.spark, self._path("terms"), TERMS_DDL),
             tables.open_table(self.spark, self._path("corpus"), CORPUS_DDL), terms, book_id, author)
         return fusion.numbered(keyword.top_scores(scored, n), F.desc("_score"), "id")
 
     def vector_list(self, vector: list[float], n: int, book_id: str | None, author: str | None) -> DataFrame:
-        near = fusion.nearest(self.children(), vector, n, book_id, author)
+        near = fusion.nearest(self._segment(self.children(), book_id), vector, n, book_id, author)
         return fusion.numbered(near, "_distance", "id")
 
     def search(self, query: str, k: int = TOP_K, mode: str = "hybrid", book_id: str | None = None,
@@ -172,15 +196,16 @@ class Library:
             raise ValueError(f"mode must be one of {MODES}")
         fetched = fusion.fetch_size(k)
         self._guard()
-        parents = self.parents().drop("bucket")
         if mode == "keyword":
             hits = self.keyword_list(query, fetched, book_id, author).where(F.col("rn") <= k)
-            hits = hits.withColumnRenamed("rn", "place")
+            hits, parents = self._lookup(hits.withColumnRenamed("rn", "place"), k)
             return parents.join(fusion.small(hits, k), "id").orderBy("place")
         near = self.vector_list(self.embedder.embed_query(query), fetched, book_id, author)
         if mode == "semantic":
-            return fusion.semantic(near, parents, k, fetched)
-        return fusion.hybrid(near, self.keyword_list(query, fetched, book_id, author), parents, k)
+            best, parents = self._lookup(fusion.best_children(near), fetched)
+            return parents.join(fusion.small(best, fetched), "id").orderBy("place").limit(k)
+        top, parents = self._lookup(fusion.fuse(near, self.keyword_list(query, fetched, book_id, author), k), k)
+        return parents.join(fusion.small(top, k), "id").orderBy("place")
 
     # -- output ----------------------------------------------------------
 

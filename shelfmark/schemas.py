@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Fixed values of the data model: sizes, thresholds and defaults.
 EMBED_DIMS = 768
 PARENT_TOKENS = 800
@@ -32,12 +30,8 @@ INPUT_PRICE_PER_MTOK = 0.10
 OUTPUT_PRICE_PER_MTOK = 0.20
 OCR_PRICE_PER_1K_PAGES = 1.0
 
-CHUNK_BM25_K1 = 1.2
-CHUNK_BM25_B = 0.75
-
-
-def _struct(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)  # needs an active session
+BM25_K1 = 1.2
+BM25_B = 0.75
 
 
 PARENTS_DDL = (
@@ -56,15 +50,18 @@ BOOK_MAP_DDL = (
     "id string, author string, title string, year int, source_epub string, source_md string, "
     f"summary string, key_themes array<string>, chapters array<{CHAPTER_MAP_DDL}>"
 )
-STAGING_DDL = (
-    "folder_id string, sha256 string, original_name string, file_type string, "
-    "classification string, staging_category string, "
+META_DDL = (
+    "sha256 string, original_name string, file_type string, classification string, staging_category string, "
     "probe struct<avg_chars_per_page:double,sampled_pages:int,total_pages:int,classification:string>, "
-    "created_at timestamp, updated_at timestamp, is_locked boolean, is_done boolean"
+    "raw_chars int, page_count int, chars_per_page double, conversion_method string, conversion_error string, "
+    "reclassified_to string, reclassified_from string, quality_gate string, clean_chars int, quality_score double, "
+    "cleanup_method string, book_id string, md_path string, rag_map_generated boolean, rag_indexed boolean, "
+    "fanout_kindle boolean, fanout_rag boolean, fanout_archive boolean, batch_id string, batch_status string, "
+    "batch_error string, created_at timestamp, updated_at timestamp"
 )
 OCR_BATCH_DDL = (
-    "batch_id string, request_file_id string, folders map<string,string>, "
-    "total_pages int, cost_estimate double, status string"
+    "batch_id string, request_file_id string, books bigint, "
+    "total_pages bigint, cost_estimate double, status string"
 )
 OCR_RESULT_DDL = (
     "custom_id string, response struct<body:struct<pages:array<struct<index:int,markdown:string>>>>"

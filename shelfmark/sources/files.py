@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import stem
 from shelfmark.operators.triage import finished, visible
-from shelfmark.schemas import BOOK_MAP_DDL, MAX_FILES_PER_TRIGGER, OCR_RESULT_DDL
+from shelfmark.schemas import BOOK_MAP_DDL, MAX_FILES_PER_TRIGGER, META_DDL, OCR_RESULT_DDL
 
 BINARY_DDL = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -23,10 +25,16 @@ def inbox(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(visible(F.col("name"))).orderBy("modification_time", "path")
 
 
-def inbox_stream(spark: SparkSession, folder: str, per_trigger: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """Arriving files; nothing is dropped when many arrive, later triggers take the rest."""
-    files = (spark.readStream.format("binaryFile").schema(BINARY_DDL)
-             .option("maxFilesPerTrigger", per_trigger).load(folder))
+def inbox_stream(spark: SparkSession, folder: str, per_trigger: int = MAX_FILES_PER_TRIGGER,
+                 archive: str | None = None) -> DataFrame:
+    """Arriving files; nothing is dropped when many arrive, later triggers take the rest.
+
+    With ``archive`` the source moves files of finished micro-batches there.
+    """
+    reader = spark.readStream.format("binaryFile").schema(BINARY_DDL).option("maxFilesPerTrigger", per_trigger)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    files = reader.load(folder)
     return _named(files).where(finished(F.col("name")))
 
 
@@ -65,3 +73,16 @@ def write_maps(maps: DataFrame, folder: str) -> None:
 def generated_maps(spark: SparkSession, folder: str) -> DataFrame:
     """Maps written by ``write_maps``; each carries its own id."""
     return spark.read.schema(BOOK_MAP_DDL).option("pathGlobFilter", "part-*").json(folder)
+
+
+def map_text(book_map: dict) -> str:
+    """One map as an indented JSON document."""
+    return json.dumps(book_map, indent=2, ensure_ascii=False) + "\n"
+
+
+def staging_meta(spark: SparkSession, folder: str) -> DataFrame:
+    """``meta.json`` files of existing staging folders as one row per folder."""
+    meta = (spark.read.schema(META_DDL).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "meta.json").json(folder, multiLine=True))
+    place = F.split("_metadata.file_path", "/")
+    return meta.select(F.element_at(place, -2).alias("folder_id"), F.element_at(place, -3).alias("area"), *meta.columns)

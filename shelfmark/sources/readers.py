@@ -31,6 +31,22 @@ def pdf_probe(content: bytes) -> dict:
             "classification": "native" if average >= NATIVE_CHARS_PER_PAGE else "scanned"}
 
 
+def pdf_page_count(content: bytes) -> int:
+    import pymupdf
+
+    with pymupdf.open(stream=content, filetype="pdf") as doc:
+        return len(doc)
+
+
+def pdf_pages(content: bytes, first: int, stop: int) -> bytes:
+    """Pages ``[first, stop)`` as a PDF of their own."""
+    import pymupdf
+
+    with pymupdf.open(stream=content, filetype="pdf") as doc, pymupdf.open() as part:
+        part.insert_pdf(doc, from_page=first, to_page=stop - 1)
+        return part.tobytes()
+
+
 def pdf_markdown(content: bytes) -> tuple[str, int]:
     """Markdown of a text PDF in page batches, and its page count."""
     import pymupdf

@@ -11,7 +11,7 @@ from shelfmark.sources.files import inbox_stream
 
 
 def watch(ingest: Ingest, folder: str, checkpoint: str, continuous: bool = False,
-          per_trigger: int = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
+          per_trigger: int = MAX_FILES_PER_TRIGGER, archive: str | None = None) -> StreamingQuery:
     """Watch ``folder``; by default process what is there and stop.
 
     Copies are recognised against the stored digests, not in stream state, so
@@ -22,7 +22,7 @@ def watch(ingest: Ingest, folder: str, checkpoint: str, continuous: bool = False
     def handle(batch: DataFrame, batch_id: int) -> None:
         ingest.run_once(batch)
 
-    writer = (inbox_stream(ingest.spark, folder, per_trigger).writeStream
+    writer = (inbox_stream(ingest.spark, folder, per_trigger, archive).writeStream
               .foreachBatch(handle).option("checkpointLocation", checkpoint))
     if continuous:
         return writer.trigger(processingTime=f"{POLL_SECONDS} seconds").start()

@@ -107,9 +107,18 @@ def test_filters(library):
     assert library.search("liberty", 5, "keyword", author="o'brien").count() == 0
 
 
-def test_only_query_terms_are_read(library):
-    plan = library.search("liberty", 5, "keyword")._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(term), EqualTo(term,liberty)" in plan or "In(term" in plan
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_are_pruned(library):
+    words = plan_of(library.keyword_list("liberty of rights", 5, "burke-reflections", None))
+    assert "In(term, [liberty,of,rights])" in words and "PartitionFilters: [isnotnull(bucket" in words
+    found = plan_of(library.search("liberty", 5, "keyword"))
+    assert "PushedFilters: [In(id" in found or "In(id, [" in found or "EqualTo(id" in found
+    assert "PartitionFilters: [bucket" in found or "PartitionFilters: [isnotnull(bucket" in found
+    near = plan_of(library.vector_list(EMBED.embed_query("x"), 3, None, None))
+    assert "TakeOrderedAndProject" in near and "context_text" not in near
 
 
 def test_incremental_and_replace(spark, tmp_path):
