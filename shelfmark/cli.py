@@ -123,7 +123,7 @@ def main(argv: list[str] | None = None) -> None:
         convert_epubs(spark, f"{cfg.paths.repo_root}/source", f"{cfg.paths.repo_root}/books", args.force)
     elif args.command == "watch":
         from shelfmark.streaming.inbox import watch
-        ingest = Ingest(spark, cfg.paths.staging, lib, cleanup=cfg.cleanup)
+        ingest = Ingest(spark, cfg.paths.staging, lib, cleanup=cfg.cleanup, pdf_engine=cfg.conversion.pdf_engine)
         watch(ingest, cfg.paths.inbox, f"{cfg.paths.staging}/.checkpoint", continuous=not args.once).awaitTermination()
     elif args.action == "status":
         batches = spark.read.schema(OCR_BATCH_DDL).json(cfg.paths.batches)

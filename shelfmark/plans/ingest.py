@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import book_slug, stem
 from shelfmark.models import Embedder
-from shelfmark.operators import bookmaps, cleaning, delivery as D, triage as T
+from shelfmark.operators import bookmaps, cleaning, delivery as D, staging as G, triage as T
 from shelfmark.plans.library import Library
 from shelfmark.sources import readers, tables
 from shelfmark.sources.config import Cleanup, Kindle
@@ -49,7 +49,8 @@ class Readers:
 class Ingest:
     def __init__(self, spark: SparkSession, root: str, library: Library | None = None,
                  services: Readers = Readers(), cleanup: Cleanup = Cleanup(), kindle: D.Delivery | None = None,
-                 normalize: cleaning.Rewrite | None = None, repair: cleaning.Rewrite | None = None):
+                 normalize: cleaning.Rewrite | None = None, repair: cleaning.Rewrite | None = None,
+                 pdf_engine: str = "cloud"):
         self.spark = spark
         self.root = root.rstrip("/")
         self.library = library or Library(spark, f"{self.root}/index", Embedder())
@@ -57,6 +58,7 @@ class Ingest:
         self.cleanup = cleanup
         self.kindle = kindle or D.Delivery(Kindle())
         self.normalize, self.repair = normalize, repair
+        self.pdf_engine = pdf_engine
 
     def table(self, name: str, ddl: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -126,11 +128,13 @@ class Ingest:
         return files.where(F.col("modificationTime") >= F.lit(span.oldest)).select("path", "content")
 
     def convert(self) -> None:
-        """Read every staged file that has no raw text yet, one file per call."""
-        services = self.services
-        todo = self.staged().join(self.table("raw", RAW_DDL).select("folder_id"), "folder_id", "left_anti")
-        if services.cloud_pdf is None:  # scanned files wait until a cloud reader exists
-            todo = todo.where("staging_category <> 'cloud'")
+        """Read every staged file that has no raw text yet, one file per call.
+
+        Scanned files wait for batch OCR, whose results come in by ``accept_ocr``.
+        """
+        services, cloud = self.services, self.pdf_engine == "cloud" and self.services.cloud_pdf is not None
+        todo = self.staged().where("staging_category <> 'cloud'").join(
+            self.table("raw", RAW_DDL).select("folder_id"), "folder_id", "left_anti")
         content = self._content(todo)
         if content is None:
             return
@@ -145,7 +149,7 @@ class Ingest:
                         data = bytes(row.content)
                         if row.classification == "epub":
                             text = services.epub(data)
-                        elif services.cloud_pdf is not None:
+                        elif cloud:
                             (text, pages), method = services.cloud_pdf(data), "cloud"
                         else:
                             text, pages = services.native_pdf(data)
@@ -163,19 +167,36 @@ class Ingest:
             F.when(F.col("raw_text").isNull(), "failed").when(thin, "reclassify").otherwise("ok").alias("outcome"),
             "method", "error"))
 
+    def accept_ocr(self, results: DataFrame) -> None:
+        """Take finished OCR texts (custom_id, raw_text) as raw text of their folders."""
+        have = self.table("raw", RAW_DDL).where("outcome = 'ok'").select("folder_id")
+        texts = results.where(F.col("raw_text").isNotNull()).select(F.col("custom_id").alias("folder_id"), "raw_text")
+        fresh = texts.join(have, "folder_id", "left_anti").groupBy("folder_id").agg(F.max("raw_text").alias("raw_text"))
+        none = F.lit(None)
+        self._append("raw", fresh.select(
+            "folder_id", "raw_text", none.cast("int").alias("page_count"), F.length("raw_text").alias("raw_chars"),
+            none.cast("double").alias("chars_per_page"), F.lit("ok").alias("outcome"), F.lit("ocr").alias("method"),
+            none.cast("string").alias("error")))
+
+    def _todo(self, stage: str, ddl: str, *columns: str) -> DataFrame:
+        """Small columns of the folders that ``stage`` lacks.
+
+        Narrowed down before any text is joined, so texts are shuffled once at most.
+        """
+        return self.staged().select("folder_id", *columns).join(
+            self.table(stage, ddl).select("folder_id"), "folder_id", "left_anti")
+
     def clean(self) -> None:
         raw = self.table("raw", RAW_DDL).where("outcome = 'ok'").select("folder_id", "raw_text")
-        todo = raw.join(self.table("clean", CLEAN_DDL).select("folder_id"), "folder_id", "left_anti")
-        todo = todo.join(self.staged().select("folder_id", "file_type"), "folder_id")
+        todo = raw.join(self._todo("clean", CLEAN_DDL, "file_type"), "folder_id")
         done = cleaning.clean(todo, self.cleanup, self.normalize, self.repair)
         self._append("clean", done.drop("raw_text", "file_type"))
 
     def index(self, maps: DataFrame | None = None) -> int:
         """File cleaned texts under their slug and index them; only indexed books are marked."""
-        todo = self.table("clean", CLEAN_DDL).join(
-            self.table("indexed", INDEXED_DDL).select("folder_id"), "folder_id", "left_anti")
-        named = todo.join(self.staged().select("folder_id", "original_name"), "folder_id").select(
-            "folder_id", book_slug(F.col("original_name")).alias("book_id"), F.col("clean_text").alias("text"))
+        texts = self.table("clean", CLEAN_DDL).select("folder_id", F.col("clean_text").alias("text"))
+        named = texts.join(self._todo("indexed", INDEXED_DDL, "original_name"), "folder_id").select(
+            "folder_id", book_slug(F.col("original_name")).alias("book_id"), "text")
         # Two files may share a slug; the later folder id stands for the book, as a later copy would.
         books = named.groupBy("book_id").agg(F.max_by("text", "folder_id").alias("text"))
         scratch = shared_dir(self.spark, "books")
@@ -188,16 +209,15 @@ class Ingest:
 
     def deliver(self, maps: DataFrame | None = None) -> None:
         none = self.spark.createDataFrame([], "id string, title string, author string, summary string, key_themes array<string>")
-        todo = self.table("indexed", INDEXED_DDL).join(self.table("sent", SENT_DDL).select("folder_id"), "folder_id", "left_anti")
-        staged = todo.join(self.staged().select(
-            "folder_id", "path", "original_name", "file_type", "modification_time"), "folder_id")
-        staged = staged.join(self.table("clean", CLEAN_DDL).select("folder_id", "clean_text"), "folder_id")
+        todo = self._todo("sent", SENT_DDL, "path", "original_name", "file_type", "modification_time")
+        staged = todo.join(self.table("indexed", INDEXED_DDL), "folder_id")
         about = bookmaps.delivery_metadata(
             staged.withColumn("fallback_title", stem(F.col("original_name"))), maps if maps is not None else none)
         if self.kindle.configured:
             content = self._content(staged)
             if content is None:
                 return
+            about = about.join(self.table("clean", CLEAN_DDL).select("folder_id", "clean_text"), "folder_id")
             about = about.join(content, "path")
         self._append("sent", D.deliver(about, self.kindle))
 
@@ -214,16 +234,19 @@ class Ingest:
         return self.table("indexed", INDEXED_DDL).join(sent, "folder_id", "left_semi")
 
     def state(self) -> DataFrame:
-        """The staging table with its markers, for the pending/ready queries."""
+        """The staging table with its markers, for the pending, ready and OCR queries."""
         def flag(name: str, df: DataFrame) -> DataFrame:
             return df.select("folder_id").distinct().withColumn(name, F.lit(True))
 
+        raw = self.table("raw", RAW_DDL)
+        thin = raw.where("outcome = 'reclassify'").select("folder_id", "page_count", F.lit("failed").alias("quality_gate"))
         rows = self.staged().withColumn("created_at", F.col("modification_time"))
-        rows = rows.join(flag("has_raw", self.table("raw", RAW_DDL)), "folder_id", "left")
+        rows = rows.join(flag("has_raw", raw.where("outcome = 'ok'")), "folder_id", "left")
         rows = rows.join(flag("has_clean", self.table("clean", CLEAN_DDL)), "folder_id", "left")
-        rows = rows.join(flag("is_done", self.done()), "folder_id", "left")
-        return rows.fillna(False, ["has_raw", "has_clean", "is_done"]).withColumns(
-            {"has_meta": F.lit(True), "is_locked": F.lit(False)})
+        rows = rows.join(flag("is_done", self.done()), "folder_id", "left").join(thin, "folder_id", "left")
+        return G.reclassify(rows.fillna(False, ["has_raw", "has_clean", "is_done"]).withColumns(
+            {"has_meta": F.lit(True), "is_locked": F.lit(False),
+             "page_count": F.coalesce("page_count", "probe.total_pages")}))
 
     def run_once(self, files: DataFrame | None = None, maps: DataFrame | None = None) -> None:
         if files is not None:

@@ -90,6 +90,7 @@ def test_rerun_changes_nothing(spark, ingest, drop):
     first = {n: ingest.table(n, "folder_id string").count() for n in ("staged", "quarantined", "raw", "clean", "indexed", "sent")}
     ingest.run_once(arrivals)
     assert first == {n: ingest.table(n, "folder_id string").count() for n in first}
+    assert ingest.table("done", "folder_id string").count() == first["sent"] == 2
     kept = {r.original_name for r in ingest.staged().collect()}
     assert "Abe - First Book (2001).epub" in kept and "Zed - Later.epub" not in kept  # the older copy
 
@@ -109,6 +110,28 @@ def test_failed_index_is_retried(spark, ingest, drop):
     assert {r.is_done for r in ingest.state().where("has_clean").collect()} == {True}
 
 
+def test_scanned_books_come_back_from_ocr(spark, ingest, drop):
+    ingest.run_once(files.inbox(spark, str(drop)).where(T.finished(F.col("name"))))
+    waiting = {r.original_name: r for r in ingest.state().where("staging_category = 'cloud'").collect()}
+    assert set(waiting) == {"Scan.pdf", "Medium.pdf"} and waiting["Medium.pdf"].reclassified_from == "local"
+    results = spark.createDataFrame([(r.folder_id, f"recognised {n}") for n, r in waiting.items()], "custom_id string, raw_text string")
+    ingest.accept_ocr(results)
+    ingest.accept_ocr(results)  # a repeated poll adds nothing
+    ingest.run_once()
+    assert {r.book_id for r in ingest.library.search("recognised", 5, "keyword").collect()} == {"scan", "medium"}
+    assert ingest.done().count() == 4
+
+
+def test_cloud_engine_takes_native_pdfs(spark, tmp_path, drop):
+    services = Readers(probe=fake_probe, native_pdf=SERVICES.native_pdf, epub=fake_epub, cloud_pdf=lambda d: ("cloud text", 2))
+    for engine, methods in (("cloud", {"cloud", "epub"}), ("local", {"native", "epub"})):
+        lib = Library(spark, str(tmp_path / engine / "index"), Embedder(name="tiny", dims=8), buckets=2)
+        job = Ingest(spark, str(tmp_path / engine), lib, services, pdf_engine=engine)
+        job.stage(files.inbox(spark, str(drop)).where(T.finished(F.col("name"))))
+        job.convert()
+        assert {r.method for r in job.table("raw", "method string").collect()} == methods
+
+
 def test_markdown_scan(spark, tmp_path):
     (tmp_path / "a-b.md").write_text("# A\n\nx\n", encoding="utf-8")
     (tmp_path / "c.md").write_text("y", encoding="utf-8")
