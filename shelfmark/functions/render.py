@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions.numbers import round_exact
 from shelfmark.functions.text import notes_preview, pretty_preview, query_slug
 
 # Field order of a JSON result and the columns they come from.
@@ -25,8 +26,8 @@ def score(df: DataFrame) -> Column:
 
 
 def four_places(c: Column) -> Column:
-    """Four decimals, ties to even."""
-    return F.format_string("%.4f", F.bround(c, 4))
+    """Four decimals of the exact value, ties to even."""
+    return F.format_string("%.4f", round_exact(c, 4))
 
 
 def _known(c: Column) -> Column:

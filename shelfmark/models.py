@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.schemas import EMBED_BATCH, EMBED_DIMS
 
-EmbedBatch = Callable[[list[str]], list[list[float]]]
+# One vector, a list or an array of floats, per text.
+EmbedBatch = Callable[[list[str]], list]
 
 # Environment variable of each provider's key and its placeholders.
 PROVIDER_KEYS = {"openrouter": "OPENROUTER_API_KEY", "gemini": "GEMINI_API_KEY"}
@@ -106,7 +107,7 @@ def patient(request: Callable[..., str], attempts: int = 3, pause: float = 5.0,
     return run
 
 
-def hashed_embedding(texts: list[str], dims: int = EMBED_DIMS) -> list[list[float]]:
+def hashed_embedding(texts: list[str], dims: int = EMBED_DIMS) -> list[np.ndarray]:
     """Offline stand-in: a unit vector of hashed word counts, equal for equal texts."""
     out = []
     for text in texts:
@@ -115,7 +116,7 @@ def hashed_embedding(texts: list[str], dims: int = EMBED_DIMS) -> list[list[floa
             code = zlib.crc32(word.encode("utf-8"))
             vector[code % dims] += 1.0 if code & 0x10000 else -1.0
         norm = np.linalg.norm(vector)
-        out.append((vector / norm if norm else vector).tolist())
+        out.append(vector / norm if norm else vector)
     return out
 
 
@@ -129,7 +130,7 @@ class Embedder:
     query: Callable[[str], list[float]] | None = None
     retry: Retry | None = None
 
-    def embed_documents(self, texts: list[str]) -> list[list[float]]:
+    def embed_documents(self, texts: list[str]) -> list:
         fn = self.documents or partial(hashed_embedding, dims=self.dims)
         vectors = self.retry.call(fn, texts) if self.retry else fn(texts)
         if len(vectors) != len(texts) or any(len(v) != self.dims for v in vectors):
@@ -148,9 +149,9 @@ def embed_children(children: DataFrame, embedder: Embedder, batch: int = EMBED_B
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["context_text"].tolist()
-            vectors: list[list[float]] = []
+            vectors: list = []
             for at in range(0, len(texts), batch):
-                vectors.extend(embedder.embed_documents(texts[at:at + batch]))
+                vectors.extend(np.asarray(v, dtype=np.float32) for v in embedder.embed_documents(texts[at:at + batch]))
             yield frame.assign(vector=vectors)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in children.schema) + ", vector array<float>"

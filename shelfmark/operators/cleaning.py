@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.cleanup import full_cleanup, quality_score
+from shelfmark.functions.numbers import round_exact
 from shelfmark.functions.text import let
 from shelfmark.schemas import FUZZY_SAMPLE_CHARS
 from shelfmark.sources.config import Cleanup
@@ -68,8 +69,8 @@ def clean(raw: DataFrame, options: Cleanup = Cleanup(), normalize: Rewrite | Non
                            .otherwise(F.col("clean_text"))).drop("_head")
     after = let(F.col("clean_text"), quality_score)
     return df.select(
-        *raw.columns, "clean_text", F.bround("_score", 3).alias("quality_score"),
+        *raw.columns, "clean_text", round_exact(F.col("_score"), 3).alias("quality_score"),
         method.alias("cleanup_method"), F.length("clean_text").alias("clean_chars"),
-        F.when(F.col("_poor"), F.bround(after, 3)).alias("quality_score_after_repair"))
+        F.when(F.col("_poor"), round_exact(after, 3)).alias("quality_score_after_repair"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions.numbers import round_exact
 from shelfmark.functions.text import sha256_hex, stem, suffix
 from shelfmark.schemas import NATIVE_CHARS_PER_PAGE, QUALITY_CHARS_PER_PAGE, SAMPLE_PAGES
 
@@ -67,7 +68,7 @@ def probe_pages(pages: DataFrame) -> DataFrame:
     sampled_pages = F.coalesce("sampled_pages", F.lit(0))
     average = F.coalesce(F.col("chars") / F.col("sampled_pages"), F.lit(0.0))
     return joined.select(
-        "file", F.bround(average, 1).alias("avg_chars_per_page"), sampled_pages.alias("sampled_pages"),
+        "file", round_exact(average, 1).alias("avg_chars_per_page"), sampled_pages.alias("sampled_pages"),
         "total_pages", density_class(average).alias("classification"),
     )
 
@@ -122,7 +123,7 @@ def quality_gate(text: Column, pages: Column) -> Column:
     """(chars_per_page, outcome) of a local conversion; thin text is re-filed as scanned."""
     density = F.length(text) / F.greatest(pages, F.lit(1))
     return F.struct(
-        F.bround(density, 1).alias("chars_per_page"),
+        round_exact(density, 1).alias("chars_per_page"),
         F.when(density < QUALITY_CHARS_PER_PAGE, "reclassify").otherwise("ok").alias("outcome"),
     )
 

@@ -106,7 +106,7 @@ def sample_positions(spark, sf):
 @check("src_9_probe", f"with {PAGES_SQL}, n as (select file, count(*) as n from pages_t group by file), "
        "want as (select file, unnest(case when n <= 5 then range(0, n) else list_transform(range(0, 5), lambda i: cast(floor(i * (n / 5.0::double)) as bigint)) end) as page_no from n), "
        "s as (select file, sum(n_chars)::double / count(*) as a, count(*) as k from pages_t join want using (file, page_no) group by file) "
-       "select n.file, round_even(coalesce(a, 0), 1) as avg_chars_per_page, coalesce(k, 0) as sampled_pages, n as total_pages, "
+       "select n.file, cast(printf('%.1f', coalesce(a, 0)) as double) as avg_chars_per_page, coalesce(k, 0) as sampled_pages, n as total_pages, "
        "case when coalesce(a, 0) >= 100 then 'native' else 'scanned' end as classification from n left join s using (file)")
 def probe(spark, sf):
     """Text density over the sampled pages of every file (AGG-8)."""
@@ -272,7 +272,7 @@ def backlog(spark, sf):
     return G.backlog(staging(spark, sf)).select("folder_id")
 
 
-@check("agg_9_quality_gate", "select doc_id, round_even(length(text)::double / greatest(p, 1), 1) as chars_per_page, case when length(text)::double / greatest(p, 1) < 500 then 'reclassify' else 'ok' end as outcome "
+@check("agg_9_quality_gate", "select doc_id, cast(printf('%.1f', length(text)::double / greatest(p, 1)) as double) as chars_per_page, case when length(text)::double / greatest(p, 1) < 500 then 'reclassify' else 'ok' end as outcome "
        "from (select doc_id, text, n_chars // 1000 as p from documents)")
 def quality_gate(spark, sf):
     """Characters per page and the re-filing decision (STG-8)."""

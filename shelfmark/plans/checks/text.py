@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import render, text as X
+from shelfmark.functions.numbers import round_exact
 from shelfmark.plans.checks.registry import (
     SP, WORD, check, d_clean_heading, d_squeeze, d_strip, d_sub, d_title, d_tokens, documents, quote, table,
 )
@@ -126,10 +127,10 @@ def token_count(spark, sf):
     return documents(spark, sf).select("doc_id", X.whitespace_token_count(F.col("text")).cast("bigint").alias("tokens"))
 
 
-@check("mth_1_half_even", "select event_id, round_even(value, 1) as v1, round_even(value / 7, 3) as v3 from events")
+@check("mth_1_half_even", "select event_id, cast(printf('%.1f', value) as double) as v1, cast(printf('%.3f', value / 7) as double) as v3 from events")
 def half_even(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.bround("value", 1).alias("v1"),
-                                             F.bround(F.col("value") / 7, 3).alias("v3"))
+    return table(spark, sf, "events").select("event_id", round_exact(F.col("value"), 1).alias("v1"),
+                                             round_exact(F.col("value") / 7, 3).alias("v3"))
 
 
 RESULT_SQL = ("with r as (select doc_id, cast(doc_id as varchar) as id, source as book_id, lang as author, "

@@ -100,7 +100,7 @@ class OcrBatches:
         known = ocr.open_batches(self.batches()).select("batch_id").collect()
         states = [(r.batch_id, self.client.status(r.batch_id)) for r in known]
         polled = self.spark.createDataFrame(states, "batch_id string, polled_status string")
-        return self.batches().join(F.broadcast(polled), "batch_id")
+        return self.batches().join(polled, "batch_id")
 
     def status(self) -> DataFrame:
         rows = self._polled()

@@ -216,4 +216,4 @@ def test_rendering_of_missing_values_and_zero_scores(spark):
 
 def test_hashed_embedding_is_deterministic():
     a, b = hashed_embedding(["x y", "x y"], 8)
-    assert a == b and abs(sum(v * v for v in a) - 1) < 1e-9
+    assert list(a) == list(b) and abs(sum(v * v for v in a) - 1) < 1e-9

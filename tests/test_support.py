@@ -155,3 +155,14 @@ def test_command_line(spark, tmp_path):
     assert run("absent", "--mode", "keyword") == "No results found."
     assert "words-20240102.md" in run("words", "--format", "obsidian")
     assert note_uri("/x/my vault", "a-b") == "obsidian://open?vault=my%20vault&file=Queries/a-b"
+
+
+def test_rounding_matches_python(spark):
+    import random
+    from shelfmark.functions.numbers import round_exact
+    rng = random.Random(1)
+    values = [6.55, 6.45, 0.125, 0.375, 2.5, -6.55, 0.4475, 1e-9, 0.0, 123456.05] + [rng.randint(0, 10 ** 6) / 10 ** rng.randint(0, 5) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    for digits in (1, 3, 4):
+        got = [r.r for r in rows.select("i", round_exact(F.col("x"), digits).alias("r")).orderBy("i").collect()]
+        assert got == [round(v, digits) for v in values]
