@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import quality, sharding
+from shelfmark.llm import jaccard, packing, quality, sharding
 
 QUERIES = {f.__name__: f for f in (
-    quality.op4_ngram_llr, sharding.op8_jump_hash,
+    packing.op1_best_fit, quality.op4_ngram_llr, sharding.op8_jump_hash, jaccard.op9_prefix_join,
 )}
 
 SQL: dict[str, str] = {}
