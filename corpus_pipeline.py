@@ -7,11 +7,15 @@ stage's result is written and read again, so a lost executor costs a reread.
 
 from __future__ import annotations
 
-from shelfmark.llm import quality
+from shelfmark.llm import decontam, jaccard, linededup, packing, quality
 from shelfmark.llm.common import table, written
 
 STAGES = [
     ("quality_rules", quality.stage),
+    ("line_dedup", linededup.stage),
+    ("near_duplicates", jaccard.stage),
+    ("decontamination", decontam.stage),
+    ("packing", packing.stage),
 ]
 
 # Hashes and a tokenizer are outside SQL; tests/llm compares every stage with a brute-force version.

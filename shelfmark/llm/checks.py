@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import jaccard, packing, quality, sharding
+from shelfmark.llm import decontam, jaccard, linededup, packing, quality, sharding
 
 QUERIES = {f.__name__: f for f in (
-    packing.op1_best_fit, quality.op4_ngram_llr, sharding.op8_jump_hash, jaccard.op9_prefix_join,
+    packing.op1_best_fit, quality.op4_ngram_llr, decontam.op5_templates, sharding.op8_jump_hash, jaccard.op9_prefix_join,
+    linededup.op10_winnowing,
 )}
 
 SQL: dict[str, str] = {}

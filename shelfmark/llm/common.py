@@ -48,3 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+LAST = (1 << 63) - 1
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as a struct with the key of a document: ``d`` (id, null last) and ``c`` (content hash)."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"),
+                       F.xxhash64("text").alias("c"), F.col("text").alias("body"))
