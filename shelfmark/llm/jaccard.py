@@ -5,9 +5,11 @@ global order, rarest first; two sets of similarity ``4 / 5`` or more share a
 shingle among the first ``n - ceil(4 n / 5) + 1``. Shingles that only one node has
 lead that order and can never match, so most nodes drop out at once.
 
-1. Each shingle goes once to the task that counts it (rows of two numbers). Frequent
-   shingles are recognised while the texts are read and are spread over many tasks;
-   they come last in the order, as their counts are the largest.
+1. A first pass sends the two fifths of each set with the smallest hashes to the tasks
+   that count them; linked sets share a sure number of these, so most nodes drop out.
+   The others' shingles are sent and counted in full. Frequent shingles are recognised
+   while the texts are read and are spread over many tasks; they come last in the
+   order, as their counts are the largest.
 2. Per prefix shingle, all nodes are compared with one pivot: the node with the
    fewest shingles of its own, in a family of edited copies the one nearest the
    original. Length, positional and suffix filters come first, then one exact check
@@ -27,7 +29,7 @@ gives no rows; only ``doc_id`` and ``text`` are read. Shingles and sets are name
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shelfmark.llm.common import carried, table, written
+from shelfmark.llm.common import LAST, carried, table, written
 from shelfmark.llm.graph import components
 
 carried(__name__)
@@ -68,14 +70,14 @@ def set_key(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
 
-def _read(docs: DataFrame) -> DataFrame:
+def _read(rows: DataFrame) -> DataFrame:
     """Per document its set's size and key; besides, rows (shingle, count) of shingles that are frequent in a batch."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, keys, some = batch.column(0).to_pylist(), [], [], []
+            ids, contents, n, keys, some = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], [], []
             step = max(1, len(ids) // LOOKED_AT)
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 found = shingle_set(text.as_py())
                 n.append(len(found))
                 keys.append(set_key(found))
@@ -85,27 +87,38 @@ def _read(docs: DataFrame) -> DataFrame:
             often = counts >= max(8, len(some) // 100)
             every, counts = every[often].view(np.int64), counts[often] * step
             gap = [None] * len(every)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids + gap, pa.int64()), pa.array(n + gap, pa.int64()),
-                pa.array(np.array(keys, np.uint64).view(np.int64).tolist() + gap, pa.int64()),
-                pa.array([None] * len(ids) + every.tolist(), pa.int64()), pa.array([None] * len(ids) + counts.tolist(), pa.int64())],
-                ["doc_id", "n", "k", "h", "often"])
+            columns = [ids + gap, contents + gap, n + gap, np.array(keys, np.uint64).view(np.int64).tolist() + gap,
+                       [None] * len(ids) + every.tolist(), [None] * len(ids) + counts.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["d", "c", "n", "k", "h", "often"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(summarise, "doc_id long, n long, k long, h long, often long")
+    return rows.select("d", "c", "text").mapInArrow(summarise, "d long, c long, n long, k long, h long, often long")
 
 
-def _shingles(docs: DataFrame, at_once: int = 256) -> DataFrame:
-    """One row (h, k) per shingle of each document's set."""
+def _shingles(rows: DataFrame, part: Callable[[int], int] = lambda n: n, at_once: int = 256) -> DataFrame:
+    """Rows (h, k, s) of the ``part(n)`` smallest shingles of each document's set; s is a salt."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, at_once):
-                sets = [shingle_set(t.as_py()) for t in batch.column(0).slice(start, at_once)]
-                keys = np.array([set_key(s) for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(keys, [len(s) for s in sets]).view(np.int64))], ["h", "k"])
+                some = batch.slice(start, at_once)
+                sets = [shingle_set(t.as_py()) for t in some.column(1)]
+                keys = np.array([set_key(x) for x in sets], np.uint64).view(np.int64)
+                sets = [x[:part(len(x))] for x in sets]
+                sizes = [len(x) for x in sets]
+                salts = np.array(some.column(0).to_pylist(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(keys, sizes)),
+                                                  pa.array(np.repeat(salts, sizes))], ["h", "k", "s"])
 
-    return docs.select("text").mapInArrow(spread, "h long, k long")
+    salt = F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")
+    return rows.select(salt.alias("s"), "text").mapInArrow(spread, "h long, k long, s int")
+
+
+def _dealt(shingles: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Shingles brought together by hash, frequent ones over ``SALTS`` tasks, with ``df`` (at least 2: others go)."""
+    rows = shingles.join(F.broadcast(frequent), "h", "left")
+    together = rows.withColumn("s", F.when(F.col("often").isNotNull(), F.col("s")).otherwise(F.lit(0))).repartition("h", "s")
+    counted = F.coalesce(F.col("often"), F.count("*").over(Window.partitionBy("h", "s")))
+    return together.withColumn("df", counted).filter("df > 1")
 
 
 def needed(n: Column) -> Column:
@@ -113,13 +126,38 @@ def needed(n: Column) -> Column:
     return F.floor((n * 4 + 4) / 5)
 
 
-def prefixes(docs: DataFrame, nodes: DataFrame, frequent: DataFrame) -> DataFrame:
+def first_part(n: int) -> int:
+    """How many of a set's smallest shingles the first pass looks at: two fifths, at least a prefix."""
+    return max(n - (4 * n + 4) // 5 + 1, (2 * n + 4) // 5)
+
+
+def first_shared(n: Column) -> Column:
+    """How many of them two linked sets have in common at least, for the smaller partner's size.
+
+    Prefixes of length ``n - needed(n) + j`` of two linked sets share j; ``first_part``
+    has j = ceil(2 n / 5) - floor(n / 5), and a partner has at least ``needed(n)`` shingles.
+    """
+    m = needed(n)
+    return F.greatest(F.ceil(m * 2 / 5) - F.floor(m / 5) - 1, F.lit(1))
+
+
+def promising(rows: DataFrame, documents: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The texts of nodes that may have a partner, one per node.
+
+    Only two fifths of the shingles are sent for this, and only the few texts left are
+    sent whole afterwards.
+    """
+    shared = _dealt(_shingles(rows, first_part), frequent).groupBy("k").agg(F.count("*").alias("shared"))
+    nodes = documents.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.min(F.struct("d", "c")).alias("place"))
+    left = nodes.join(shared, "k").filter(F.col("shared") >= first_shared(F.col("n"))).select("place.*")
+    return rows.join(left, ["d", "c"], "left_semi")
+
+
+def prefixes(rows: DataFrame, documents: DataFrame, frequent: DataFrame) -> DataFrame:
     """Nodes that may have a partner: k, n, own (shingles nobody else has), shared (in the global order)."""
-    rows = _shingles(docs).join(F.broadcast(frequent), "h", "left")
-    dealt = rows.withColumn("salt", F.when(F.col("often").isNotNull(), F.pmod("k", F.lit(SALTS))).otherwise(F.lit(0))).repartition("h", "salt")
-    counted = dealt.withColumn("df", F.coalesce(F.col("often"), F.count("*").over(Window.partitionBy("h", "salt")))).filter("df > 1")
-    once = counted.groupBy("h", "salt", "k", "df").agg(F.lit(1).alias("one"))
+    once = _dealt(_shingles(promising(rows, documents, frequent)), frequent).select("h", "s", "k", "df").distinct()
     shared = once.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    nodes = documents.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"))
     out = shared.join(nodes, "k").select("k", "n", (F.col("n") - F.size("shared")).alias("own"), F.transform("shared", lambda x: x["h"]).alias("shared"))
     return out.filter(F.col("own") < F.col("n") - needed(F.col("n")) + 1)
 
@@ -168,13 +206,13 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with n and k, roots of the nodes that have a link)."""
-    read = written(_read(docs), "sets")
-    documents = read.filter("h is null").select("doc_id", "n", "k")
-    nodes = documents.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("c"), "text")
+    read = written(_read(rows), "sets")
+    documents = read.filter("h is null").select("d", "c", "n", "k")
     often = read.filter("h is not null").groupBy("h").agg(F.sum("often").alias("often"))
     # Beyond any exact count, so that these come last.
     frequent = often.orderBy(F.desc("often"), "h").limit(FREQUENT).withColumn("often", F.col("often") + F.lit(1 << 40))
-    sets = written(prefixes(docs, nodes, frequent), "prefixes")
+    sets = written(prefixes(rows, documents, frequent), "prefixes")
     inside = F.slice("shared", F.lit(1), (F.col("n") - needed(F.col("n")) + 1 - F.col("own")).cast("int"))
     entries = sets.select("k", "n", "own", F.posexplode(inside).alias("at", "h")).select("h", "k", "n", "own", (F.col("own") + F.col("at")).alias("pos"))
 
@@ -208,9 +246,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     documents, roots = groups(docs)
     placed = documents.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    with_set = placed.filter("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return with_set.union(documents.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    least = placed.filter("n > 0").groupBy("root").agg(F.min("d").alias("least"))
+    alone = documents.filter("n = 0").select("d", "n", F.col("d").alias("least"))
+    every = placed.filter("n > 0").join(least, "root").select("d", "n", "least").union(alone)
+    known = lambda c: F.when(F.col(c) < LAST, F.col(c))
+    return every.select(known("d").alias("doc_id"), F.col("n").alias("n_shingles"), known("least").alias("component_id"))
 
 
 def op9_prefix_join(spark, sf_dir):
