@@ -82,3 +82,16 @@ class Encoder:
         except _Irregular:
             ids = self.encode(text)
             return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def token_widths(ranks_path: str):
+    """Bytes of each token id."""
+    import numpy as np
+
+    with open(ranks_path, "rb") as lines:
+        pairs = [(int(rank), len(base64.b64decode(token))) for token, rank in map(bytes.split, lines)]
+    widths = np.zeros(max(rank for rank, _ in pairs) + 2, np.int64)
+    for rank, width in pairs:
+        widths[rank] = width
+    widths[-1] = len(SPECIAL)
+    return widths

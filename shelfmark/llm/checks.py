@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import decontam, jaccard, linededup, packing, quality, sharding
+from shelfmark.llm import decontam, jaccard, licenses, linededup, packing, quality, sharding, tokencount
 
 QUERIES = {f.__name__: f for f in (
-    packing.op1_best_fit, quality.op4_ngram_llr, decontam.op5_templates, sharding.op8_jump_hash, jaccard.op9_prefix_join,
+    packing.op1_best_fit, quality.op4_ngram_llr, decontam.op5_templates,
+    licenses.op6_sentence_rules, tokencount.op7_offset_counts, sharding.op8_jump_hash, jaccard.op9_prefix_join,
     linededup.op10_winnowing,
 )}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_sentence_rules": licenses.SQL}
 
 
 def queries():
