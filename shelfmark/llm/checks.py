@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import decontam, jaccard, licenses, linededup, packing, quality, sharding, tokencount
+from shelfmark.llm import chat, decontam, jaccard, licenses, linededup, packing, quality, secrets, sharding, tokencount
 
 QUERIES = {f.__name__: f for f in (
-    packing.op1_best_fit, quality.op4_ngram_llr, decontam.op5_templates,
+    packing.op1_best_fit, secrets.op2_forest, chat.op3_tool_calls, quality.op4_ngram_llr, decontam.op5_templates,
     licenses.op6_sentence_rules, tokencount.op7_offset_counts, sharding.op8_jump_hash, jaccard.op9_prefix_join,
     linededup.op10_winnowing,
 )}
