@@ -47,6 +47,7 @@ WORDS = 5
 # only decides how rows are dealt, never what is found.
 FREQUENT = 10_000
 SALTS = 64
+DROPPED = 16
 LOOKED_AT = 1024
 MULTIPLIER, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -94,8 +95,11 @@ def _read(rows: DataFrame) -> DataFrame:
     return rows.select("d", "c", "text").mapInArrow(summarise, "d long, c long, n long, k long, h long, often long")
 
 
-def _shingles(rows: DataFrame, part: Callable[[int], int] = lambda n: n, at_once: int = 256) -> DataFrame:
-    """Rows (h, k, s) of the ``part(n)`` smallest shingles of each document's set; s is a salt."""
+def _shingles(rows: DataFrame, part: Callable[[int], int] = lambda n: n, dropped: int = 0, at_once: int = 256) -> DataFrame:
+    """Rows (h, k, s) of the ``part(n)`` smallest shingles of each document's set; s is a salt.
+
+    ``dropped`` low bits are left out of the shingles' hashes, to send fewer bytes.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +107,7 @@ def _shingles(rows: DataFrame, part: Callable[[int], int] = lambda n: n, at_once
                 some = batch.slice(start, at_once)
                 sets = [shingle_set(t.as_py()) for t in some.column(1)]
                 keys = np.array([set_key(x) for x in sets], np.uint64).view(np.int64)
-                sets = [x[:part(len(x))] for x in sets]
+                sets = [x[:part(len(x))] >> np.uint64(dropped) for x in sets]
                 sizes = [len(x) for x in sets]
                 salts = np.array(some.column(0).to_pylist(), np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(keys, sizes)),
@@ -147,7 +151,9 @@ def promising(rows: DataFrame, documents: DataFrame, frequent: DataFrame) -> Dat
     Only two fifths of the shingles are sent for this, and only the few texts left are
     sent whole afterwards.
     """
-    shared = _dealt(_shingles(rows, first_part), frequent).groupBy("k").agg(F.count("*").alias("shared"))
+    # Fewer bits can only make more shingles look shared, so no node is lost by them.
+    short = frequent.withColumn("h", F.shiftrightunsigned("h", DROPPED)).groupBy("h").agg(F.max("often").alias("often"))
+    shared = _dealt(_shingles(rows, first_part, DROPPED), short).groupBy("k").agg(F.count("*").alias("shared"))
     nodes = documents.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.min(F.struct("d", "c")).alias("place"))
     left = nodes.join(shared, "k").filter(F.col("shared") >= first_shared(F.col("n"))).select("place.*")
     return rows.join(left, ["d", "c"], "left_semi")
