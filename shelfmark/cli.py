@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import logging
+import uuid
 from datetime import datetime
 from pathlib import Path
 from urllib.parse import quote
@@ -20,11 +22,13 @@ from shelfmark.schemas import OCR_BATCH_DDL, TOP_K
 from shelfmark.sources import files, readers, tables
 from shelfmark.sources.config import ensure_config, ensure_directories
 
+log = logging.getLogger(__name__)
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="shelfmark")
     p.add_argument("--config")
-    p.add_argument("--embedder", help="module:attribute of an Embedder; default is the offline one")
+    p.add_argument("--embedder", help="module:attribute of an Embedder; needed by query, index and watch ('offline' for the hashing stand-in)")
     sub = p.add_subparsers(dest="command", required=True)
     q = sub.add_parser("query")
     q.add_argument("query")
@@ -55,6 +59,13 @@ def load(spec: str):
     return getattr(importlib.import_module(module), name)
 
 
+def embedder_of(args) -> Embedder:
+    """The embedder named on the command line; the stand-in only where it is asked for or none is used."""
+    if args.command in ("query", "index", "watch") and not args.embedder:
+        raise SystemExit("--embedder module:attribute is needed (or --embedder offline)")
+    return Embedder() if args.embedder in (None, "offline") else load(args.embedder)
+
+
 def search(lib: Library, args, vault: str, now: datetime) -> str:
     """Results in the chosen format; the row count is bounded by ``top_k``."""
     hits = lib.search(args.query, args.top_k, args.mode, args.book_filter, args.author_filter)
@@ -81,22 +92,36 @@ def convert_epubs(spark: SparkSession, source: str, target: str, force: bool = F
     """EPUBs to (book_id, text) rows; those already converted are skipped unless forced."""
     books = files.epub_files(spark, source).select(files.stem(F.col("name")).alias("book_id"), "content")
     if not force and tables.exists(spark, target):
-        books = books.join(spark.read.parquet(target).select("book_id"), "book_id", "left_anti")
+        books = books.join(spark.read.parquet(target).where("error is null").select("book_id"), "book_id", "left_anti")
 
     def read(frames):
         for frame in frames:
-            yield frame[["book_id"]].assign(text=[readers.epub_markdown(bytes(c)) for c in frame["content"]])
-
-    raw = books.mapInPandas(read, "book_id string, text string")
+            texts, errors = [], []
+            for content in frame["content"]:
+                try:
+                    texts.append(readers.epub_markdown(bytes(content)))
+                    errors.append(None)
+                except Exception as exc:  # a broken file is reported and does not stop the others
+                    texts.append(None)
+                    errors.append(str(exc) or type(exc).__name__)
+            yield frame[["book_id"]].assign(text=texts, error=errors)
+
+    raw = books.mapInPandas(read, "book_id string, text string, error string")
     clean = raw.withColumn("text", markdown_cleanup(strip_cover_images(F.col("text"))))
     clean.write.mode("overwrite" if force else "append").parquet(target)
+    failed = spark.read.parquet(target).where("error is not null")
+    for row in failed.select("book_id", "error").orderBy("book_id").limit(20).collect():
+        log.warning("%s was not converted: %s", row.book_id, row.error)
 
 
 def make_maps(spark: SparkSession, books, folder: str, model, force: bool = False):
     """Generate maps for the books that have none (or for all); returns cost totals."""
     if not force and tables.exists(spark, folder):
         books = books.join(files.generated_maps(spark, folder).select(F.col("id").alias("book_id")), "book_id", "left_anti")
-    answers = bookmaps.ask(bookmaps.prompts(books), model)
+    # The model is paid once: maps and cost are both read from the stored answers.
+    stored = f"{folder.rstrip('/')}-answers/{uuid.uuid4().hex}"
+    bookmaps.ask(bookmaps.prompts(books), model).write.parquet(stored)
+    answers = spark.read.parquet(stored)
     maps = bookmaps.assemble(answers)
     files.write_maps(maps.where("error is null").drop("book_id", "error", "prompt_tokens", "completion_tokens"), folder)
     return bookmaps.token_cost(answers)
@@ -107,7 +132,7 @@ def main(argv: list[str] | None = None) -> None:
     cfg = ensure_config(args.config)
     ensure_directories(cfg)
     spark = SparkSession.builder.appName("shelfmark").getOrCreate()
-    lib = Library(spark, cfg.paths.index, load(args.embedder) if args.embedder else Embedder())
+    lib = Library(spark, cfg.paths.index, embedder_of(args))
     if args.command == "query":
         print(search(lib, args, cfg.paths.obsidian_vault, datetime.now()))
     elif args.command == "index":
@@ -115,7 +140,13 @@ def main(argv: list[str] | None = None) -> None:
         generated = f"{cfg.paths.maps}/generated"
         if tables.exists(spark, generated):
             maps = maps.unionByName(files.generated_maps(spark, generated)).dropDuplicates(["id"])
-        lib.add_books(files.markdown_books(spark, cfg.paths.markdown, args.book), maps, args.force)
+        books = files.markdown_books(spark, cfg.paths.markdown, args.book)
+        converted = f"{cfg.paths.repo_root}/books"
+        if tables.exists(spark, converted):
+            fresh = spark.read.parquet(converted).where("error is null").select("book_id", "text")
+            fresh = fresh.where(F.col("book_id") == args.book) if args.book else fresh
+            books = books.select("book_id", "text").unionByName(fresh.join(books.select("book_id"), "book_id", "left_anti"))
+        lib.add_books(books, maps, args.force)
     elif args.command == "maps":
         books = files.markdown_books(spark, cfg.paths.markdown, args.book)
         make_maps(spark, books, f"{cfg.paths.maps}/generated", load(args.model), args.force).show()

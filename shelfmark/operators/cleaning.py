@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import subprocess
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.cleanup import full_cleanup, quality_score
@@ -17,28 +16,33 @@ from shelfmark.sources.config import Cleanup
 Rewrite = Callable[[str], str]
 
 
-def rewrite_text(df: DataFrame, column: str, rewrite: Rewrite, only: Column | None = None) -> DataFrame:
-    """Apply a Python text service per Arrow batch; a failure leaves the text as it was."""
+def rewrite_text(df: DataFrame, column: str, rewrite: Rewrite, only: Column | None = None, window: int | None = None) -> DataFrame:
+    """Apply a Python text service per Arrow batch; a failure leaves the text as it was.
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return rewrite(text) or text
-            except Exception:
-                return text
+    Only rows where ``only`` holds reach the service, in windows of ``window`` characters.
+    """
 
-        return texts.map(one, na_action="ignore")
+    def one(text: str) -> str:
+        try:
+            return rewrite(text) or text
+        except Exception:
+            return text
 
-    target = run(F.col(column))
-    return df.withColumn(column, target if only is None else F.when(only, target).otherwise(F.col(column)))
+    def whole(text: str) -> str:
+        size = window or max(len(text), 1)
+        return "".join(one(text[at:at + size]) for at in range(0, len(text), size))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            rows = zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
+            fixed = pa.array([whole(t) if t is not None and wanted else t for t, wanted in rows], pa.string())
+            arrays = [fixed if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-1])
 
-def pandoc_rewrite(text: str) -> str:
-    """Round trip through pandoc; used only where the program is installed."""
-    done = subprocess.run(["pandoc", "-f", "markdown", "-t", "markdown", "--wrap=none"],
-                          input=text, capture_output=True, text=True, timeout=60)
-    return done.stdout if done.returncode == 0 and done.stdout.strip() else text
+    # One pass over whole rows: the service is called once per window, whatever is computed from the text later.
+    marked = df.withColumn("_wanted", F.lit(True) if only is None else F.coalesce(only, F.lit(False)))
+    return marked.mapInArrow(run, df.schema)
 
 
 def needs_repair(score: Column, threshold: float, enabled: bool) -> Column:
@@ -46,11 +50,12 @@ def needs_repair(score: Column, threshold: float, enabled: bool) -> Column:
 
 
 def clean(raw: DataFrame, options: Cleanup = Cleanup(), normalize: Rewrite | None = None,
-          repair: Rewrite | None = None) -> DataFrame:
+          repair: Rewrite | None = None, window: int | None = FUZZY_SAMPLE_CHARS) -> DataFrame:
     """(.., raw_text, file_type) -> adds clean_text, quality_score, cleanup_method, clean_chars.
 
-    ``repair`` sees the first 20,000 characters of texts below the threshold;
-    the rest of such a text is appended unchanged.
+    ``repair`` sees texts below the threshold, whole, in consecutive windows of
+    ``window`` characters (None: in one piece); a window it fails on stays as it is.
+    ``cleanup_method`` names the steps that ran.
     """
     df = raw.withColumn("clean_text", full_cleanup(
         F.col("raw_text"), F.col("file_type"), options.strip_images, options.strip_tables))
@@ -59,14 +64,10 @@ def clean(raw: DataFrame, options: Cleanup = Cleanup(), normalize: Rewrite | Non
     df = df.withColumn("_score", quality_score(F.col("clean_text")))
     poor = needs_repair(F.col("_score"), options.fuzzy_threshold, repair is not None)
     df = df.withColumn("_poor", poor)
-    method = F.when(F.col("_poor"), "regex+pandoc+deepseek").otherwise("regex+pandoc")
+    steps = "regex" if normalize is None else "regex+normalize"
+    method = F.when(F.col("_poor"), f"{steps}+repair").otherwise(steps)
     if repair is not None:
-        head = F.left("clean_text", F.lit(FUZZY_SAMPLE_CHARS))
-        df = df.withColumn("_head", F.when(F.col("_poor"), head))
-        df = rewrite_text(df, "_head", repair)
-        rest = F.substr("clean_text", F.lit(FUZZY_SAMPLE_CHARS + 1))
-        df = df.withColumn("clean_text", F.when(F.col("_poor"), F.concat("_head", rest))
-                           .otherwise(F.col("clean_text"))).drop("_head")
+        df = rewrite_text(df, "clean_text", repair, F.col("_poor"), window)
     after = let(F.col("clean_text"), quality_score)
     return df.select(
         *raw.columns, "clean_text", round_exact(F.col("_score"), 3).alias("quality_score"),

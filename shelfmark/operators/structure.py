@@ -243,7 +243,7 @@ def chapter_level(text: Column) -> Column:
     return let(heading_counts(text), decide)
 
 
-def chapters_at(text: Column, level: Column) -> Column:
+def chapters_at(text: Column, level: Column, min_body: int = CHAPTER_MIN_BODY) -> Column:
     """Chapters at H1 or H2 as (heading, text); preamble and spacers drop out."""
 
     def at(n: int) -> Column:
@@ -257,5 +257,5 @@ def chapters_at(text: Column, level: Column) -> Column:
     both = F.when(level == 2, at(2)).otherwise(at(1))
     return F.filter(both, lambda ch: (
         (clean_heading(ch["heading"]) != "")
-        & (F.length(ch["text"]) - F.length(F.substring_index(ch["text"], "\n", 1)) > CHAPTER_MIN_BODY)
+        & (F.length(ch["text"]) - F.length(F.substring_index(ch["text"], "\n", 1)) > min_body)
     ))

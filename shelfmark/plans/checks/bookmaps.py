@@ -67,8 +67,8 @@ def truncated(spark, sf):
     select doc_id, text, case when level = 2 then '## ' else '# ' end as m from levels)),
 parts as (select doc_id, u.i as i, u.t as text, """ + d_strip("substr(string_split(u.t, chr(10))[1], length(m) + 1)") + """ as heading, string_split(u.t, chr(10))[1] as head from cut where u.i > 1),
 kept as (select *, row_number() over (partition by doc_id order by i) as number from parts where """ + d_clean_heading("heading") + """ <> '' and length(text) - length(head) > 200)
-select doc_id, cast(number as int) as number, 'Chapter number: ' || number || chr(10) || 'Chapter heading: ' || """ + d_clean_heading("heading")
-       + " || chr(10) || chr(10) || 'Chapter text:' || chr(10) || '---' || chr(10) || text || chr(10) || '---' as prompt from kept")
+select doc_id, cast(number as int) as number, 'Describe one chapter as JSON.' || chr(10) || 'Number ' || number || ', titled: ' || """ + d_clean_heading("heading")
+       + " || chr(10) || 'Its text follows.' || chr(10) || chr(10) || text as prompt from kept")
 def chapter_prompts(spark, sf):
     """Prompt of every chapter, numbered over the kept chapters."""
     from shelfmark.operators import structure as S
@@ -78,8 +78,7 @@ def chapter_prompts(spark, sf):
                     B.chapter_prompt(F.col("i") + 1, F.col("c.heading"), F.col("c.text")).alias("prompt"))
 
 
-@check("txt_27_book_prompt", "select doc_id, 'Filename: doc' || doc_id || chr(10) || chr(10) || 'Below is the full text of the book. Produce the JSON map.' || chr(10) || chr(10) || '---' || chr(10) "
-       "|| text || chr(10) as prompt from documents")
+@check("txt_27_book_prompt", "select doc_id, 'Map this book as JSON.' || chr(10) || 'Book id: doc' || doc_id || chr(10) || 'Its text follows.' || chr(10) || chr(10) || text as prompt from documents")
 def book_prompt(spark, sf):
     return documents(spark, sf).select("doc_id", B.book_prompt(F.concat(F.lit("doc"), "doc_id"), F.col("text")).alias("prompt"))
 

@@ -15,7 +15,6 @@ PRETTY_PREVIEW = 300
 NOTES_PREVIEW = 500
 QUERY_SLUG_CHARS = 60
 LONG_BOOK_CHARS = 100_000
-MAP_OPENING_CHARS = 10_000
 CHAPTER_MIN_BODY = 200
 NATIVE_CHARS_PER_PAGE = 100
 SAMPLE_PAGES = 5

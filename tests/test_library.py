@@ -14,8 +14,8 @@ from shelfmark.plans.library import IndexNotBuilt, Library
 
 EMBED = Embedder(name="tiny", dims=16)
 BOOKS = [
-    ("burke-reflections", "# Liberty\n\n" + "\n\n".join(f"inherited liberty paragraph {i} of ancient rights" for i in range(40))),
-    ("nisbet-quest", "# Community\n\n" + "\n\n".join(f"community and association number {i}" for i in range(40)) + "\n\n# Power\n\nthe state and liberty"),
+    ("miller-bread", "# Liberty\n\n" + "\n\n".join(f"inherited liberty paragraph {i} of ancient rights" for i in range(40))),
+    ("keeper-bees", "# Community\n\n" + "\n\n".join(f"community and association number {i}" for i in range(40)) + "\n\n# Power\n\nthe state and liberty"),
     ("plain", "no heading here, only trees and rivers"),
 ]
 
@@ -99,11 +99,11 @@ def test_hybrid_mode_matches_brute_force(library):
 
 
 def test_filters(library):
-    assert {r.book_id for r in library.search("liberty", 20, "keyword", book_id="burke-reflections").collect()} == {"burke-reflections"}
-    assert {r.author for r in library.search("liberty", 20, "hybrid", author="NIS").collect()} == {"Nisbet"}
-    assert {r.author for r in library.search("liberty", 20, "keyword", author="b_rke").collect()} == {"Burke"}
+    assert {r.book_id for r in library.search("liberty", 20, "keyword", book_id="miller-bread").collect()} == {"miller-bread"}
+    assert {r.author for r in library.search("liberty", 20, "hybrid", author="KEE").collect()} == {"Keeper"}
+    assert {r.author for r in library.search("liberty", 20, "keyword", author="m_ller").collect()} == {"Miller"}
     assert library.search("liberty", 20, "keyword", author="%").count() > 0
-    assert library.search("liberty", 20, "keyword", book_id="nisbet-quest", author="burke").count() == 0
+    assert library.search("liberty", 20, "keyword", book_id="keeper-bees", author="miller").count() == 0
     assert library.search("liberty", 5, "keyword", author="o'brien").count() == 0
 
 
@@ -112,7 +112,7 @@ def plan_of(df):
 
 
 def test_scans_are_pruned(library):
-    words = plan_of(library.keyword_list("liberty of rights", 5, "burke-reflections", None))
+    words = plan_of(library.keyword_list("liberty of rights", 5, "miller-bread", None))
     assert "In(term, [liberty,of,rights])" in words and "PartitionFilters: [isnotnull(bucket" in words
     found = plan_of(library.search("liberty", 5, "keyword"))
     assert "PushedFilters: [In(id" in found or "In(id, [" in found or "EqualTo(id" in found
@@ -130,7 +130,7 @@ def test_incremental_and_replace(spark, tmp_path):
     ids = [r.id for r in lib.parents().collect()]
     assert len(ids) == len(set(ids))  # replaced, not appended
     after = {r.book_id: (r.parents, r.children) for r in lib.counts().collect()}
-    assert after["burke-reflections"] == before["burke-reflections"] and after["extra"] == (1, 1)
+    assert after["miller-bread"] == before["miller-bread"] and after["extra"] == (1, 1)
     assert lib.search("rivers", 5, "keyword").count() == 0
     assert [r.book_id for r in lib.search("oceans", 5, "keyword").collect()] == ["plain"]
     assert lib.add_books(books(spark, [("plain", "  ")]), force=True) == 1  # a book may become empty
@@ -148,7 +148,7 @@ def test_metadata_from_maps(spark, tmp_path):
     maps = spark.createDataFrame([("plain", "A. Writer", None)], "id string, author string, title string")
     lib.add_books(books(spark), maps)
     named = {r.book_id: (r.author, r.title) for r in lib.parents().collect()}
-    assert named == {"plain": ("A. Writer", "plain"), "burke-reflections": ("Burke", "Reflections"), "nisbet-quest": ("Nisbet", "Quest")}
+    assert named == {"plain": ("A. Writer", "plain"), "miller-bread": ("Miller", "Bread"), "keeper-bees": ("Keeper", "Bees")}
 
 
 def ranked(spark, rows, schema):
