@@ -6,37 +6,29 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, functions as F, types as T
+import sys
 
-# From this width on, one Arrow batch through NumPy is cheaper than the
-# element-wise lambda, Python hop included.
-ARROW_MIN_DIMS = 256
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def query_literal(query: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in query])
-
-
-def squared_l2_expr(vector: Column, query: Sequence[float]) -> Column:
-    """JVM-side squared Euclidean distance in double precision."""
-    gaps = F.zip_with(vector, query_literal(query), lambda a, b: a.cast("double") - b)
-    return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
-
+def squared_l2(vector: Column, query: Sequence[float]) -> Column:
+    """Squared Euclidean distance in double precision, one Arrow batch at a time.
 
-def squared_l2_arrow(vector: Column, query: Sequence[float]) -> Column:
-    """The same distance computed one Arrow batch at a time."""
+    Null for a vector that is null, has another width, or holds a null or a NaN.
+    """
     target = np.asarray(query, dtype=np.float64)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def distance(batch: pa.Array) -> pa.Array:
-        matrix = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        gaps = matrix.reshape(len(batch), target.size) - target
-        return pa.array(np.einsum("ij,ij->i", gaps, gaps))
+        widths = batch.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        fits = widths == target.size
+        out = np.full(len(batch), np.nan)
+        if fits.any():
+            flat = batch.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            gaps = flat.reshape(-1, target.size) - target
+            out[fits] = np.einsum("ij,ij->i", gaps, gaps)
+        return pa.array(out, pa.float64(), mask=np.isnan(out))
 
     return distance(vector)
-
-
-def squared_l2(vector: Column, query: Sequence[float]) -> Column:
-    if len(query) >= ARROW_MIN_DIMS:
-        return squared_l2_arrow(vector, query)
-    return squared_l2_expr(vector, query)

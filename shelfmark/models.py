@@ -8,6 +8,7 @@ operator, which runs it per Arrow batch inside the tasks.
 from __future__ import annotations
 
 import os
+import sys
 import time
 import zlib
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.schemas import EMBED_BATCH, EMBED_DIMS
@@ -30,6 +32,9 @@ PLACEHOLDER_KEYS = ("...", "sk-or-...")
 RETRY_STATUS = (429, 500, 502, 503)
 RETRY_TEXTS = ("429", "500", "502", "503", "RESOURCE_EXHAUSTED")
 
+# Model calls travel with the plan, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Retry:
@@ -152,6 +157,8 @@ def embed_children(children: DataFrame, embedder: Embedder, batch: int = EMBED_B
             vectors: list = []
             for at in range(0, len(texts), batch):
                 vectors.extend(np.asarray(v, dtype=np.float32) for v in embedder.embed_documents(texts[at:at + batch]))
+            if any(v.shape != (embedder.dims,) or np.isnan(v).any() for v in vectors):
+                raise ValueError(f"embedder {embedder.name} must give {embedder.dims} numbers per text")
             yield frame.assign(vector=vectors)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in children.schema) + ", vector array<float>"

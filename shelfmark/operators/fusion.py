@@ -29,12 +29,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def nearest(
     children: DataFrame, query: Sequence[float], n: int,
-    book_id: str | None = None, author: str | None = None,
+    book_id: str | None = None, author: str | None = None, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The ``n`` children closest to ``query``; filters apply before the cut."""
+    """The ``n`` children closest to ``query``; filters apply before the cut.
+
+    Children without a usable vector have no distance and are left out.
+    """
     rows = apply_filters(children, book_id, author)
-    measured = rows.select("id", "parent_id", squared_l2(F.col("vector"), query).alias("_distance"))
-    return measured.orderBy("_distance", "id").limit(n)
+    measured = rows.select("id", "parent_id", *carry, squared_l2(F.col("vector"), query).alias("_distance"))
+    return measured.where("_distance is not null").orderBy("_distance", "id").limit(n)
 
 
 def rank_share(position: Column) -> Column:
@@ -42,22 +45,23 @@ def rank_share(position: Column) -> Column:
     return F.lit(1.0) / (F.lit(RRF_K) + position)
 
 
-def fuse(vector_list: DataFrame, keyword_list: DataFrame, k: int) -> DataFrame:
+def fuse(vector_list: DataFrame, keyword_list: DataFrame, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, _rrf_score, place) of the ``k`` best parents of two ranked lists.
 
     Every child row of a parent contributes.  Shares are added in list order and
     ties keep the order of first appearance, the vector list before the other.
     """
-    votes = vector_list.select(F.col("parent_id").alias("id"), F.lit(0).alias("src"), "rn").unionByName(
-        keyword_list.select("id", F.lit(1).alias("src"), "rn"))
-    ballots = votes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("src", "rn"))).alias("votes"))
+    votes = vector_list.select(F.col("parent_id").alias("id"), F.lit(0).alias("src"), "rn", *carry).unionByName(
+        keyword_list.select("id", F.lit(1).alias("src"), "rn", *carry))
+    ballots = votes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("src", "rn"))).alias("votes"),
+                                       *(F.first(c).alias(c) for c in carry))
     scored = ballots.select(
-        "id", F.col("votes")[0].alias("first"),
+        "id", *carry, F.col("votes")[0].alias("first"),
         F.aggregate("votes", F.lit(0.0), lambda s, v: s + rank_share(v["rn"])).alias("_rrf_score"),
     )
     best = scored.orderBy(F.desc("_rrf_score"), "first").limit(k)
     return numbered(best, F.desc("_rrf_score"), "first").select(
-        "id", "_rrf_score", F.col("rn").alias("place"))
+        "id", *carry, "_rrf_score", F.col("rn").alias("place"))
 
 
 def hybrid(vector_list: DataFrame, keyword_list: DataFrame, parents: DataFrame, k: int) -> DataFrame:
@@ -66,10 +70,10 @@ def hybrid(vector_list: DataFrame, keyword_list: DataFrame, parents: DataFrame,
     return parents.join(small(top, k), "id").orderBy("place")
 
 
-def best_children(vector_list: DataFrame) -> DataFrame:
+def best_children(vector_list: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, place, _score): the first child of every parent and ``1 - distance``."""
-    best = vector_list.groupBy("parent_id").agg(F.min(F.struct("rn", "_distance")).alias("best"))
-    return best.select(F.col("parent_id").alias("id"), F.col("best.rn").alias("place"),
+    best = vector_list.groupBy("parent_id").agg(F.min(F.struct("rn", "_distance", *carry)).alias("best"))
+    return best.select(F.col("parent_id").alias("id"), *(F.col(f"best.{c}").alias(c) for c in carry), F.col("best.rn").alias("place"),
                        (F.lit(1.0) - F.col("best._distance")).alias("_score"))
 
 

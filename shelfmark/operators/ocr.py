@@ -16,9 +16,9 @@ TAKEN_STATES = ("submitted", "complete")
 
 
 def to_submit(staging: DataFrame) -> DataFrame:
-    """Scanned books that are in no open or finished batch, in folder order."""
+    """Scanned books that are in no open or finished batch; unsorted, since the rows may carry file contents."""
     free = F.coalesce(~F.col("batch_status").isin(*TAKEN_STATES), F.lit(True))
-    return staging.where((F.col("staging_category") == "cloud") & free).orderBy("folder_id")
+    return staging.where((F.col("staging_category") == "cloud") & free)
 
 
 def submit_summary(pending: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def triage(prints: DataFrame, probes: DataFrame, staged: DataFrame) -> DataFrame
         "path", "left")
     kind = classification(F.col("name"), F.col("probed"))
     return rows.select(
-        F.left("sha256", F.lit(12)).alias("folder_id"), "sha256", "path",
+        F.col("sha256").alias("folder_id"), "sha256", "path",
         F.col("name").alias("original_name"), file_type(F.col("name")).alias("file_type"),
         kind.alias("classification"), staging_area(kind).alias("staging_category"), "probe",
         "modification_time",
@@ -126,7 +126,3 @@ def quality_gate(text: Column, pages: Column) -> Column:
         round_exact(density, 1).alias("chars_per_page"),
         F.when(density < QUALITY_CHARS_PER_PAGE, "reclassify").otherwise("ok").alias("outcome"),
     )
-
-
-def fallback_title(name: Column) -> Column:
-    return stem(name)

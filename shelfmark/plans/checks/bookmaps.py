@@ -12,8 +12,8 @@ from shelfmark.plans.checks.structure import LEVEL_SQL, LEVELED
 BOOK = "concat(source, '-', lang, '-', cast(doc_id as varchar(20)))"
 BOOKS_SQL = f"books as (select doc_id, {BOOK} as book_id, text from documents)"
 MAPS_SQL = ("maps as (select source || '-' || lang || '-' || doc_id as id, case when toxic = 1 then null else upper(lang) end as author, "
-            "case when quality = 0 then null else 'The ' || source end as title, left(text, 200) as summary, "
-            "string_split(left(text, 60), ' ') as key_themes from documents join labels using (doc_id))")
+            "case when quality = 0 then null else 'The ' || source end as title, text as summary, "
+            "string_split(text, ' ') as key_themes from documents join labels using (doc_id))")
 
 
 def books(spark, sf):
@@ -24,7 +24,7 @@ def maps(spark, sf):
     d = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     return d.select(F.expr(BOOK).alias("id"), F.when(F.col("toxic") != 1, F.upper("lang")).alias("author"),
                     F.when(F.col("quality") != 0, F.concat(F.lit("The "), "source")).alias("title"),
-                    F.left("text", F.lit(200)).alias("summary"), F.split(F.left("text", F.lit(60)), " ", -1).alias("key_themes"))
+                    F.col("text").alias("summary"), F.split("text", " ", -1).alias("key_themes"))
 
 
 @check("src_5_book_metadata", f"with {BOOKS_SQL}, {MAPS_SQL} select doc_id, b.book_id, case when m.id is not null then coalesce(m.author, 'Unknown') else "

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import sha256_hex
 from shelfmark.operators import conversion, ocr, staging as G, triage as T
+from shelfmark.models import Embedder
 from shelfmark.plans.checks.registry import check, d_strip, documents, table
+from shelfmark.plans.library import Library
+from shelfmark.session import shared_dir
 
 NAME = "concat(source, '-', cast(doc_id as varchar(20)), case when n_chars % 4 = 0 then '.epub' when n_chars % 4 = 1 then '.PDF' when n_chars % 4 = 2 then '.txt' else '' end)"
 FILES_SQL = f"files as (select doc_id, {NAME} as name, sha256(text) as sha256, text, n_chars, source, lang from documents)"
@@ -62,7 +65,7 @@ def first_copies(spark, sf):
        "fresh as (select * from one where rn = 1 and sha256 not in (select sha256(d.text) from documents d join labels l using (doc_id) where l.quality = 0)), "
        "p as (select *, case when s <> '.pdf' then null when n_chars >= 100 then 'native' else 'scanned' end as probed from fresh), "
        "c as (select *, case when s = '.epub' then 'epub' when s = '.pdf' then probed else 'unsupported' end as classification from p) "
-       "select left(sha256, 12) as folder_id, sha256, name as original_name, ltrim(s, '.') as file_type, classification, "
+       "select sha256 as folder_id, sha256, name as original_name, ltrim(s, '.') as file_type, classification, "
        "case classification when 'epub' then 'epub' when 'native' then 'local' when 'scanned' then 'cloud' end as staging_category, doc_id from c")
 def triage(spark, sf):
     """Dedup inside the batch and against staged digests, classify, route."""
@@ -288,23 +291,42 @@ def reclassify(spark, sf):
     return G.reclassify(s).select("doc_id", "staging_category", "reclassified_from")
 
 
-@check("agg_4_run_counters", "select event_type as status, count(*) as n from events group by event_type")
+INDEXED_SQL = "select 'doc' || doc_id as book_id, min(quality) as quality from documents join labels using (doc_id) group by doc_id"
+_libraries: dict[tuple[str, str], Library] = {}
+
+
+def library(spark, sf):
+    """A stored library of the labelled documents, added in two runs; built once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _libraries:
+        lib = Library(spark, shared_dir(spark, "check-library"), Embedder(dims=8), buckets=4)
+        known = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        every = documents(spark, sf).join(known, "doc_id").select(F.concat(F.lit("doc"), "doc_id").alias("book_id"), "text", "quality")
+        lib.add_books(every.where("quality = 1"))
+        lib.add_books(every)  # only the others are new
+        _libraries[key] = lib
+    return _libraries[key]
+
+
+@check("agg_4_run_counters", f"select case when quality = 1 then 0 else 1 end as seq, count(*) as books, 0 as replaced, count(*) as indexed from ({INDEXED_SQL}) group by quality")
 def run_counters(spark, sf):
-    """Outcome counters of a run from its result rows."""
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    """Counters of every run that built the library."""
+    lib = library(spark, sf)
+    seqs = spark.createDataFrame([(r.batch, r.seq) for r in lib.log()], "batch string, seq bigint")
+    alive = lib.versions().where("parents > 0").join(F.broadcast(seqs), "batch").groupBy("seq").agg(F.count("*").alias("indexed"))
+    return lib.run_counters().select("seq", "books", "replaced").join(alive, "seq").withColumns({c: F.col(c).cast("int") for c in ("seq", "replaced")})
 
 
-@check("agg_2_indexed_books", "select distinct source as book_id from documents")
+@check("agg_2_indexed_books", f"select book_id from ({INDEXED_SQL})")
 def indexed_books(spark, sf):
     """Distinct indexed books, uncapped (FLT-6)."""
-    return table(spark, sf, "documents").select(F.col("source").alias("book_id")).distinct()
+    return library(spark, sf).indexed_books()
 
 
 @check("jon_6_not_indexed", "select 'doc' || doc_id as book_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def not_indexed(spark, sf):
     """Books left after dropping the indexed ones (FLT-7, FLT-8)."""
-    have = table(spark, sf, "labels").select(F.concat(F.lit("doc"), "doc_id").alias("book_id")).distinct()
-    return documents(spark, sf).select(F.concat(F.lit("doc"), "doc_id").alias("book_id")).join(have, "book_id", "left_anti")
+    return library(spark, sf).to_index(documents(spark, sf).select(F.concat(F.lit("doc"), "doc_id").alias("book_id"))).select("book_id")
 
 
 @check("snk_6_library_books", f"with {FILES_SQL} select doc_id, lower(source) || '-' || doc_id as book_id, sha256(text) as digest from files")

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import WHITESPACE
-from shelfmark.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,8 +39,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents, spread over the slots because the checks on them are CPU-heavy."""
-    return spread(table(spark, sf, "documents"))
+    """Documents, dealt over the slots because the checks on them are CPU-heavy and small tables are one split."""
+    return table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism)
 
 
 # Expressions that both engines read the same way (no backslashes, no casts of kind).

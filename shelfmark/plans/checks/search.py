@@ -244,13 +244,16 @@ def key_filter(spark, sf):
     return p.join(fusion.small(fusion.fuse(near, hits, K), K), "id", "left_semi").select("id", "book_id")
 
 
-@check("snk_10_hybrid_json", BASE + "select cast(place as int) as place, p.id as parent_id, p.text, p.title from top join parents p using (id)")
+@check("snk_10_hybrid_json", BASE + "select cast(place as int) as place, round(_rrf_score, 9) as score, p.book_id, p.author, p.title, p.chapter_number, p.chapter_title, p.text, p.char_start, p.char_end, p.id as parent_id "
+       "from top join parents p using (id)")
 def hybrid_json(spark, sf):
-    """Hybrid results as JSON lines, read back field by field."""
+    """Hybrid results as JSON lines, all ten fields read back."""
     p, near, hits = lists(spark, sf)
     r = fusion.hybrid(near, hits, p, K)
-    j = r.select("place", render.json_object(r).alias("j"))
-    return j.select("place", *[F.get_json_object("j", f"$.{n}").alias(n) for n in ("parent_id", "text", "title")])
+    fields = ("score double, book_id string, author string, title string, chapter_number int, chapter_title string, "
+              "text string, char_start bigint, char_end bigint, parent_id string")
+    j = r.select("place", F.from_json(render.json_object(r), fields).alias("j"))
+    return rounded(j.select("place", "j.*"), "score")
 
 
 @check("snk_11_hybrid_notes", BASE + f"""select 'the-tion-thering-der-20240102' as filename, '# Query: {QUERY}' || chr(10) || '*Generated 2024-01-02 03:04 | ' || count(*) || ' results*'

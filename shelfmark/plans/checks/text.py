@@ -11,7 +11,7 @@ from shelfmark.plans.checks.registry import (
 )
 
 # A file name per document, shared by both engines: mixed case, brackets, marks.
-NAME = ("concat(source, ' - ', upper(lang), ' ', left(replace(text, chr(10), ' '), 40), '!_', "
+NAME = ("concat(source, ' - ', upper(lang), ' ', replace(text, chr(10), ' '), '!_', "
         "case when doc_id % 3 = 0 then ' (2020)' else '' end, "
         "case when doc_id % 4 = 0 then '.EPUB' when doc_id % 4 = 1 then '.pdf' when doc_id % 4 = 2 then '.txt' else '' end)")
 
@@ -41,7 +41,7 @@ def query_slug(spark, sf):
     return both.select("id", X.query_slug(F.col("text")).alias("slug"))
 
 
-BOOK_ID = "concat(lower(lang), case when doc_id % 5 = 0 then '' else '-' end, replace(left(lower(text), 30), ' ', '-'))"
+BOOK_ID = "concat(lower(lang), case when doc_id % 5 = 0 then '' else '-' end, replace(lower(text), ' ', '-'))"
 
 
 @check("txt_16_slug_names", f"with b as (select doc_id, {BOOK_ID} as book_id from documents) select doc_id, "
@@ -53,10 +53,10 @@ def slug_names(spark, sf):
                     X.slug_title(F.col("book_id")).alias("title"))
 
 
-@check("txt_13_clean_heading", "with h as (select doc_id, '[' || left(text, 50) || ']{.title}  x' || chr(9) || ' {#a' || doc_id || '}' as h from documents) "
+@check("txt_13_clean_heading", "with h as (select doc_id, '[' || text || ']{.title}  x' || chr(9) || ' {#a' || doc_id || '}' as h from documents) "
        "select doc_id, " + d_clean_heading("h") + " as heading from h")
 def clean_heading(spark, sf):
-    h = F.concat(F.lit("["), F.left("text", F.lit(50)), F.lit("]{.title}  x\t {#a"), F.col("doc_id"), F.lit("}"))
+    h = F.concat(F.lit("["), F.col("text"), F.lit("]{.title}  x\t {#a"), F.col("doc_id"), F.lit("}"))
     return documents(spark, sf).select("doc_id", X.clean_heading(h).alias("heading"))
 
 
@@ -69,9 +69,9 @@ def previews(spark, sf):
 
 
 @check("txt_18_safe_file_name", "select doc_id, case when s = '' then 'output.epub' else s || '.epub' end as file_name from (select doc_id, "
-       + d_strip(d_sub("case when doc_id % 7 = 0 then '!?' else left(text, 80) end", r"[^\p{L}\p{N} _-]")) + " as s from documents)")
+       + d_strip(d_sub("case when doc_id % 7 = 0 then '!?' else text end", r"[^\p{L}\p{N} _-]")) + " as s from documents)")
 def safe_file_name(spark, sf):
-    title = F.expr("case when doc_id % 7 = 0 then '!?' else left(text, 80) end")
+    title = F.expr("case when doc_id % 7 = 0 then '!?' else text end")
     return documents(spark, sf).select("doc_id", X.safe_file_name(title).alias("file_name"))
 
 
@@ -116,9 +116,9 @@ def base64(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.base64_text(F.col("html").cast("binary")).alias("body"))
 
 
-@check("flt_4_escape_literal", "select doc_id, replace(replace(left(text, 200), ' ', ''''), '''', '''''') as escaped from documents")
+@check("flt_4_escape_literal", "select doc_id, replace(replace(text, ' ', ''''), '''', '''''') as escaped from documents")
 def escape_literal(spark, sf):
-    quoted = F.replace(F.left("text", F.lit(200)), F.lit(" "), F.lit("'"))
+    quoted = F.replace(F.col("text"), F.lit(" "), F.lit("'"))
     return documents(spark, sf).select("doc_id", X.escape_literal(quoted).alias("escaped"))
 
 

@@ -1,15 +1,18 @@
 """The library: build and maintain the index, and answer questions from it.
 
-Tables under one root, all partitioned by a hash bucket of the book id:
-``parents``, ``children`` (with vectors), ``postings``, ``terms`` (document
-frequencies) and ``corpus`` (counts).  A bucket is a self-contained segment, so
-adding books rewrites only their buckets and the keyword statistics, being
-additive, are always consistent with the stored parents.
+Tables under one root, in append-only segments by batch and hash bucket of the book
+id: ``parents``, ``children`` (with vectors), ``postings``, ``terms`` (document
+frequencies), ``corpus`` (counts) and ``books`` (what each batch holds).  A batch
+counts from the moment its one-row entry is in ``log``, which is written last; a
+run that dies before leaves folders nothing reads, and its books are indexed by the
+next run.  A newer version of a book hides the older one, whose share of the keyword
+statistics is taken back by negative rows.  ``compact`` rewrites what is alive into one
+batch, and ``vacuum`` removes the folders nothing reads any more.
 """
 
 from __future__ import annotations
 
-import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,16 +20,15 @@ from shelfmark.functions import render
 from shelfmark.models import Embedder, embed_children
 from shelfmark.operators import bookmaps, fusion, keyword, structure
 from shelfmark.schemas import CHILDREN_DDL, PARENTS_DDL, TOP_K
-from shelfmark.session import BROADCAST_MAX_ROWS, shared_dir, spread
 from shelfmark.sources import tables
 
-log = logging.getLogger(__name__)
-
 POSTINGS_DDL = "term string, id string, book_id string, author string, tf int, dl int"
 TERMS_DDL = "term string, df bigint"
 CORPUS_DDL = "n bigint, total_dl bigint"
 SETTINGS_DDL = "embedder string, dims int, buckets int"
-PARENT_ID = r"(?s)^(.*)::ch\d+::parent\d+$"
+BOOKS_DDL = "book_id string, parents bigint, children bigint"
+LOG_DDL = "seq bigint, batch string, base boolean, replaced bigint, books bigint"
+TABLES = ("parents", "children", "postings", "terms", "corpus", "books")
 MODES = ("hybrid", "semantic", "keyword")
 
 
@@ -41,6 +43,7 @@ class Library:
         self.root = root.rstrip("/")
         self.embedder = embedder or Embedder()
         self.token_counter = token_counter
+        self._seen, self._log = [], []
         self.buckets = self._settings(buckets)
 
     def _path(self, name: str) -> str:
@@ -62,24 +65,57 @@ class Library:
 
     # -- tables ----------------------------------------------------------
 
+    def log(self) -> list:
+        """Committed batches since the last compaction, oldest first; one small row each."""
+        names = sorted(tables.folders(self.spark, self._path("log")))
+        if names != self._seen:
+            rows = self.spark.read.schema(LOG_DDL).parquet(*names).orderBy("seq").collect() if names else []
+            start = max((i for i, r in enumerate(rows) if r.base), default=0)
+            self._seen, self._log = names, rows[start:]
+        return self._log
+
+    def _committed(self, name: str, ddl: str) -> DataFrame:
+        known = [r.batch for r in self.log()]
+        return tables.open_segments(self.spark, self._path(name), ddl).where(F.col("batch").isin(known) if known else F.lit(False))
+
+    def versions(self) -> DataFrame:
+        """The newest version of each book: book_id, batch, parents, children."""
+        order = self.spark.createDataFrame([(r.batch, r.seq) for r in self.log()], "batch string, seq bigint")
+        rows = self._committed("books", BOOKS_DDL).join(F.broadcast(order), "batch")  # one row per batch
+        newest = rows.groupBy("book_id").agg(F.max(F.struct("seq", "batch", "parents", "children")).alias("v"))
+        return newest.select("book_id", "v.batch", "v.parents", "v.children")
+
+    def _alive(self, name: str, ddl: str) -> DataFrame:
+        """Rows of the newest versions; the join is skipped while no book was ever replaced."""
+        rows = self._committed(name, ddl)
+        if not sum(r.replaced for r in self.log()):
+            return rows
+        every = self._committed("books", BOOKS_DDL).select("book_id", "batch")
+        hidden = every.join(self.versions().select("book_id", "batch"), ["book_id", "batch"], "left_anti")
+        return rows.join(hidden, ["book_id", "batch"], "left_anti")
+
     def parents(self) -> DataFrame:
-        return tables.open_table(self.spark, self._path("parents"), PARENTS_DDL)
+        return self._alive("parents", PARENTS_DDL).drop("batch")
 
     def children(self) -> DataFrame:
-        return tables.open_table(self.spark, self._path("children"), CHILDREN_DDL)
+        return self._alive("children", CHILDREN_DDL).drop("batch")
 
     def postings(self) -> DataFrame:
-        return tables.open_table(self.spark, self._path("postings"), POSTINGS_DDL)
+        return self._alive("postings", POSTINGS_DDL).drop("batch")
 
     def indexed_books(self) -> DataFrame:
         """Every indexed book id; no cap on how many are recognised."""
-        return self.parents().select("book_id").distinct()
+        return self.versions().where("parents > 0").select("book_id")
 
     def counts(self) -> DataFrame:
         """Parents and children per book."""
-        p = self.parents().groupBy("book_id").agg(F.count("*").alias("parents"))
-        c = self.children().groupBy("book_id").agg(F.count("*").alias("children"))
-        return p.join(c, "book_id", "left").fillna(0, ["children"])
+        return self.versions().where("parents > 0").select("book_id", "parents", "children")
+
+    def run_counters(self) -> DataFrame:
+        """Per committed batch: books, those that replaced another version, parents and children."""
+        sums = self._committed("books", BOOKS_DDL).groupBy("batch").agg(F.sum("parents").alias("parents"), F.sum("children").alias("children"))
+        entries = self.spark.createDataFrame([(r.seq, r.batch, r.books, r.replaced) for r in self.log()], "seq bigint, batch string, books bigint, replaced bigint")
+        return entries.join(sums, "batch", "left").fillna(0)
 
     # -- writing ---------------------------------------------------------
 
@@ -89,67 +125,83 @@ class Library:
     def add_books(self, books: DataFrame, maps: DataFrame | None = None, force: bool = False) -> int:
         """Index (book_id, text); a book already present is replaced when ``force`` is set.
 
-        Returns the number of books indexed.
+        Writes only the rows of these books. Returns the number of books indexed.
         """
         todo = self.to_index(books.select("book_id", "text"), force)
         none = self.spark.createDataFrame([], "id string, author string, title string")
-        named = bookmaps.book_metadata(todo, maps if maps is not None else none)
-        scratch = shared_dir(self.spark, "index")
-        # Written once: later steps read the new books' ids without redoing the reads and joins.
-        named.withColumn("bucket", tables.bucket_of(F.col("book_id"), self.buckets)).write.parquet(scratch)
-        staged = self.spark.read.parquet(scratch)
-        touched = [r.bucket for r in staged.select("bucket").distinct().collect()]  # at most `buckets` values
-        if not touched:
+        batch = uuid.uuid4().hex
+        ids = f"{self._path('arrivals')}/batch={batch}"
+        todo.select("book_id").write.parquet(ids)
+        new_ids = self.spark.read.schema("book_id string").parquet(ids)
+        if new_ids.isEmpty():
             return 0
-        new_ids = staged.select("book_id")
-
-        fresh_parents = self._bucketed(structure.build_parents(
-            spread(staged), count=self.token_counter))
-        self._merge("parents", PARENTS_DDL, fresh_parents, new_ids, touched, ["id"])
-
-        stored = self.parents().where(F.col("bucket").isin(touched))
-        of_new = stored.join(new_ids, "book_id", "left_semi").drop("bucket")
-        embedded = embed_children(structure.build_children(of_new, count=self.token_counter), self.embedder)
-        self._merge("children", CHILDREN_DDL, self._bucketed(embedded), new_ids, touched, ["id"])
-
-        self._rebuild_keyword_segments(touched)
+        named = bookmaps.book_metadata(todo, maps if maps is not None else none)
+        parents = self._segment_of("parents", PARENTS_DDL, batch, structure.build_parents(named, count=self.token_counter), ["id"])
+        embedded = embed_children(structure.build_children(parents.drop("bucket"), count=self.token_counter), self.embedder)
+        children = self._segment_of("children", CHILDREN_DDL, batch, embedded, ["id"])
+        self._add_keywords(batch, parents, new_ids)
+        return self._commit(batch, new_ids, parents, children)
+
+    def _segment_of(self, name: str, ddl: str, batch: str, rows: DataFrame, sort: list[str]) -> DataFrame:
+        """Write a segment and read it back."""
+        if "bucket" not in rows.columns:
+            rows = rows.withColumn("bucket", tables.bucket_of(F.col("book_id"), self.buckets))
+        tables.write_segment(rows, self._path(name), batch, sort)
+        return tables.open_segments(self.spark, self._path(name), ddl).where(F.col("batch") == batch).drop("batch")
+
+    def _add_keywords(self, batch: str, parents: DataFrame, new_ids: DataFrame) -> None:
+        """Postings and statistics of a batch, with negative statistics for the versions it replaces."""
+        index = self._segment_of("postings", POSTINGS_DDL, batch, keyword.postings(parents, ("id", "book_id", "author", "bucket")), ["term", "id"])
+        terms, corpus = keyword.term_stats(index, "bucket"), keyword.corpus_stats(parents, "bucket")
+        if self.log():
+            gone = new_ids.join(self.versions().where("parents > 0").select("book_id"), "book_id", "left_semi")
+            old_terms = keyword.term_stats(self.postings().join(gone, "book_id", "left_semi"), "bucket")
+            old_corpus = keyword.corpus_stats(self.parents().join(gone, "book_id", "left_semi"), "bucket")
+            terms = terms.unionByName(old_terms.withColumn("df", -F.col("df")))
+            corpus = corpus.unionByName(old_corpus.withColumns({"n": -F.col("n"), "total_dl": -F.col("total_dl")}))
+        self._segment_of("terms", TERMS_DDL, batch, terms, ["term"])
+        self._segment_of("corpus", CORPUS_DDL, batch, corpus, [])
+
+    def _commit(self, batch: str, new_ids: DataFrame, parents: DataFrame, children: DataFrame, base: bool = False) -> int:
+        """The books of a batch, then its entry in the log: one file, the last thing written."""
+        per = lambda rows, name: rows.groupBy("book_id").agg(F.count("*").alias(name))
+        counted = new_ids.distinct().join(per(parents, "parents"), "book_id", "full_outer").join(per(children, "children"), "book_id", "left")
+        books = self._segment_of("books", BOOKS_DDL, batch, counted.fillna(0, ["parents", "children"]), [])
+        log = self.log()
+        replaced = 0 if base or not log else books.join(self.versions(), "book_id", "left_semi").count()
+        added = books.count()
         self._write_settings()
-        return staged.count()
-
-    def _bucketed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", tables.bucket_of(F.col("book_id"), self.buckets))
-
-    def _merge(self, name: str, ddl: str, fresh: DataFrame, new_ids: DataFrame, touched: list[int],
-               sort: list[str]) -> None:
-        """New rows plus the untouched books of the same buckets."""
-        kept = tables.open_table(self.spark, self._path(name), ddl).where(F.col("bucket").isin(touched))
-        kept = kept.join(new_ids, "book_id", "left_anti").select(*fresh.columns)
-        self._replace(name, fresh.unionByName(kept), touched, sort)
-
-    def _replace(self, name: str, rows: DataFrame, touched: list[int], sort: list[str]) -> None:
-        """Write through a staged copy: the old files stay readable until all new ones exist."""
-        scratch = shared_dir(self.spark, name)
-        rows.write.parquet(scratch)
-        staged = self.spark.read.schema(rows.schema).parquet(scratch)
-        tables.replace_buckets(staged, self._path(name), sort)
-        filled = {r.bucket for r in staged.select("bucket").distinct().collect()}
-        for bucket in set(touched) - filled:
-            tables.drop_bucket(self.spark, self._path(name), bucket)
-
-    def _rebuild_keyword_segments(self, touched: list[int]) -> None:
-        stored = self.parents().where(F.col("bucket").isin(touched))
-        keep = ("id", "book_id", "author", "bucket")
-        self._replace("postings", keyword.postings(stored, keep), touched, ["term", "id"])
-        index = self.postings().where(F.col("bucket").isin(touched))
-        self._replace("terms", keyword.term_stats(index, "bucket"), touched, ["term"])
-        self._replace("corpus", keyword.corpus_stats(stored, "bucket"), touched, [])
+        seq = log[-1].seq + 1 if log else 0
+        (self.spark.createDataFrame([(seq, batch, base, replaced, added)], LOG_DDL).coalesce(1)
+         .write.parquet(f"{self._path('log')}/{seq:012d}-{batch}"))
+        return added
+
+    def compact(self) -> None:
+        """Rewrite everything that is alive as one batch; readers switch when its log entry appears."""
+        if not self.log():
+            return
+        batch = uuid.uuid4().hex
+        ids = self.versions().select("book_id")
+        parents = self._segment_of("parents", PARENTS_DDL, batch, self.parents(), ["id"])
+        children = self._segment_of("children", CHILDREN_DDL, batch, self.children(), ["id"])
+        index = self._segment_of("postings", POSTINGS_DDL, batch, self.postings(), ["term", "id"])
+        self._segment_of("terms", TERMS_DDL, batch, keyword.term_stats(index, "bucket"), ["term"])
+        self._segment_of("corpus", CORPUS_DDL, batch, keyword.corpus_stats(parents, "bucket"), [])
+        self._commit(batch, ids, parents, children, base=True)
+
+    def vacuum(self) -> None:
+        """Remove segments that no committed batch names; run it when no writer is at work."""
+        known = {r.batch for r in self.log()}
+        for name in (*TABLES, "arrivals"):
+            for folder in tables.folders(self.spark, self._path(name)):
+                if folder.rsplit("=", 1)[-1] not in known or name == "arrivals":
+                    tables.remove(self.spark, folder)
 
     # -- reading ---------------------------------------------------------
 
     def _guard(self) -> None:
-        for name in ("parents", "children"):
-            if not tables.exists(self.spark, self._path(name)):
-                raise IndexNotBuilt("Index not built yet; add books first.")
+        if not self.log():
+            raise IndexNotBuilt("There is no index here yet: add_books builds one.")
 
     def _segment(self, rows: DataFrame, book_id: str | None) -> DataFrame:
         """With a book filter only that book's bucket can hold hits; prune to it."""
@@ -157,38 +209,31 @@ class Library:
             return rows
         return rows.where(F.col("bucket") == tables.bucket_of(F.lit(book_id), self.buckets))
 
-    def _lookup(self, ranked: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-        """A ranked list and the parents behind it.
-
-        A short list (its length is bounded by the request) is taken to the driver
-        once, and the parents are read by literals: buckets prune partitions and,
-        the files being sorted by id, the id list skips row groups.  A longer list
-        is joined.
-        """
-        if rows > BROADCAST_MAX_ROWS:
-            return ranked, self.parents().drop("bucket")
-        book = F.regexp_extract("id", PARENT_ID, 1)
-        taken = ranked.withColumn("bucket", tables.bucket_of(book, self.buckets)).collect()
-        listed = self.spark.createDataFrame([r[:-1] for r in taken], ranked.schema)
-        found = self.parents().where(
-            F.col("bucket").isin(sorted({r.bucket for r in taken})) & F.col("id").isin([r.id for r in taken]))
-        return listed, found.drop("bucket")
+    def _found(self, ranked: DataFrame, rows: int) -> DataFrame:
+        """The parents behind a ranked list of at most ``rows`` (id, bucket, ...); its buckets prune the partitions."""
+        return self.parents().join(fusion.small(ranked, rows), ["bucket", "id"]).drop("bucket")
 
     def keyword_list(self, query: str, n: int, book_id: str | None, author: str | None) -> DataFrame:
-        """Ranked keyword hits; a missing keyword index is reported and yields no hits."""
-        terms = keyword.query_terms(query)
-        if not tables.exists(self.spark, self._path("postings")):
-            log.warning("keyword index missing, keyword results unavailable")
-            terms = []
+        """Ranked keyword hits."""
         scored = keyword.score_postings(
-            self._segment(self.postings(), book_id), tables.open_table(self.spark, self._path("terms"), TERMS_DDL),
-            tables.open_table(self.spark, self._path("corpus"), CORPUS_DDL), terms, book_id, author)
+            self._segment(self.postings(), book_id), self._committed("terms", TERMS_DDL), self._committed("corpus", CORPUS_DDL),
+            keyword.query_terms(query), book_id, author, carry=("bucket",))
         return fusion.numbered(keyword.top_scores(scored, n), F.desc("_score"), "id")
 
     def vector_list(self, vector: list[float], n: int, book_id: str | None, author: str | None) -> DataFrame:
-        near = fusion.nearest(self._segment(self.children(), book_id), vector, n, book_id, author)
+        near = fusion.nearest(self._segment(self.children(), book_id), vector, n, book_id, author, carry=("bucket",))
         return fusion.numbered(near, "_distance", "id")
 
+    def semantic_list(self, query: str, k: int, book_id: str | None, author: str | None) -> DataFrame:
+        """The ``k`` best parents by their nearest child: fetches on until there are k or the children end."""
+        vector, n = self.embedder.embed_query(query), fusion.fetch_size(k)
+        while True:
+            near = self.vector_list(vector, n, book_id, author)
+            got = near.agg(F.count("*").alias("rows"), F.count_distinct("parent_id").alias("parents")).first()
+            if got.parents >= k or got.rows < n:
+                return fusion.best_children(near, ("bucket",)).orderBy("place").limit(k)
+            n *= 2
+
     def search(self, query: str, k: int = TOP_K, mode: str = "hybrid", book_id: str | None = None,
                author: str | None = None) -> DataFrame:
         """Best parents with their score and ``place``; both filters apply together."""
@@ -197,15 +242,13 @@ class Library:
         fetched = fusion.fetch_size(k)
         self._guard()
         if mode == "keyword":
-            hits = self.keyword_list(query, fetched, book_id, author).where(F.col("rn") <= k)
-            hits, parents = self._lookup(hits.withColumnRenamed("rn", "place"), k)
-            return parents.join(fusion.small(hits, k), "id").orderBy("place")
-        near = self.vector_list(self.embedder.embed_query(query), fetched, book_id, author)
-        if mode == "semantic":
-            best, parents = self._lookup(fusion.best_children(near), fetched)
-            return parents.join(fusion.small(best, fetched), "id").orderBy("place").limit(k)
-        top, parents = self._lookup(fusion.fuse(near, self.keyword_list(query, fetched, book_id, author), k), k)
-        return parents.join(fusion.small(top, k), "id").orderBy("place")
+            hits = self.keyword_list(query, fetched, book_id, author).where(F.col("rn") <= k).withColumnRenamed("rn", "place")
+        elif mode == "semantic":
+            hits = self.semantic_list(query, k, book_id, author)
+        else:
+            near = self.vector_list(self.embedder.embed_query(query), fetched, book_id, author)
+            hits = fusion.fuse(near, self.keyword_list(query, fetched, book_id, author), k, ("bucket",))
+        return self._found(hits, k).orderBy("place")
 
     # -- output ----------------------------------------------------------
 

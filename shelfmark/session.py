@@ -1,4 +1,4 @@
-"""Session helpers: defaults for local runs, shared scratch, input spreading."""
+"""Session helpers: defaults for local runs, shared scratch."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # A broadcast hint is only given below this many rows of known-bounded data.
 BROADCAST_MAX_ROWS = 10_000
@@ -42,13 +42,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = _local_scratch()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of a few large row groups before CPU-heavy expressions.
-
-    A scan that already fills the cluster is returned untouched, so at scale
-    this adds no shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() * 2 <= slots else df

@@ -1,8 +1,7 @@
-"""Parquet tables partitioned by a hash bucket of their key.
+"""Parquet tables of append-only segments, partitioned by a hash bucket of their key.
 
-A bucket is the unit of replacement: rewriting some books touches only the
-buckets that hold them.  Hashing keeps buckets even, whatever the book names,
-and avoids one directory per book.
+Each run adds a folder ``batch=...`` to a table.  Hashing keeps buckets even,
+whatever the book names, and avoids one directory per book.
 """
 
 from __future__ import annotations
@@ -20,29 +19,34 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def open_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """The stored table, or an empty one with its schema when nothing was written yet."""
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly below a path."""
     if not exists(spark, path):
-        return spark.createDataFrame([], ddl + ", bucket int")
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # the folder holds no data file yet
-        return spark.createDataFrame([], ddl + ", bucket int")
+        return []
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base)
+    return [f.getPath().toString() for f in listed if f.isDirectory()]
 
 
-def replace_buckets(rows: DataFrame, path: str, sort: list[str] | None = None) -> None:
-    """Overwrite exactly the buckets present in ``rows``.
+def open_segments(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """All segments of a table, or an empty one with its schema when nothing was written yet."""
+    schema = f"{ddl}, batch string, bucket int"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # no folder yet
+        return spark.createDataFrame([], schema)
 
-    Range partitioning on (bucket, sort keys) splits a bucket or a hot sort key
-    over several files, and sorted files let min/max statistics skip row groups.
-    """
-    keys = ["bucket", *(sort or [])]
-    (rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(path))
 
+def write_segment(rows: DataFrame, path: str, batch: str, sort: list[str]) -> None:
+    """Write rows with a ``bucket`` as one segment that nothing reads before it is committed.
 
-def drop_bucket(spark: SparkSession, path: str, bucket: int) -> None:
-    """Remove a bucket that ended up without rows."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    Dealing by hash needs no sampling pass, so costly columns are computed once;
+    sorted files let min/max statistics skip row groups.
+    """
+    (rows.repartition("bucket").sortWithinPartitions("bucket", *sort)
+     .write.partitionBy("bucket").parquet(f"{path}/batch={batch}"))
