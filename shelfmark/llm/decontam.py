@@ -16,15 +16,17 @@ Defined cases: null and empty texts have no windows; an item shorter than a wind
 is one window of its own length; a window needs literal words for half of its
 tokens, and an item without such a window is never matched; items with equal text
 are each reported; equal documents are each flagged; an empty benchmark flags
-nothing; other columns pass through untouched.
+nothing; other columns pass through untouched, but for one named ``leaks``, which is replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.text import let
-from shelfmark.llm.common import keyed, table
+from shelfmark.llm.common import keyed, others, pair_up, restored, slim, table, unkeyed
 
 WINDOW, COVERAGE = 8, 0.5
 BROADCAST_ROWS = 200_000
@@ -45,11 +47,20 @@ def canonical(raw: Column) -> Column:
         x.isin(*UNITS) & F.coalesce(F.get(r, i - 1).rlike(r"^\p{N}"), F.lit(False)), F.lit(UNIT)).otherwise(x)))
 
 
-def window_hashes(tokens: Column, size: int | Column) -> Column:
+def _windows(hashes: Column, size: int) -> Column:
+    """Hashes of all windows of ``size`` tokens, from halves, so each costs a few steps instead of ``size``."""
+    if size == 1:
+        return hashes
+    if size % 2 == 0:
+        return let(_windows(hashes, size // 2), lambda half: pair_up(half, size // 2))
+    fits = F.greatest(F.size(hashes) - (size - 1), F.lit(0))
+    return let(_windows(hashes, size - 1), lambda most: F.transform(
+        F.slice(most, F.lit(1), fits), lambda h, i: F.shiftleft(h, 1).bitwiseXOR(F.get(hashes, i + size - 1))))
+
+
+def window_hashes(tokens: Column, size: int) -> Column:
     """Hash of the window that starts at each token, as long as it fits."""
-    size = F.lit(size) if isinstance(size, int) else size
-    return F.when(F.size(tokens) < size, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.slice(tokens, F.lit(1), F.size(tokens) - size + 1), lambda _, i: F.xxhash64(F.slice(tokens, i + 1, size))))
+    return let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: _windows(h, size))
 
 
 def items(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -58,9 +69,10 @@ def items(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return raw.select("item_id", "raw", canonical(F.col("raw")).alias("canon"), F.least(F.size("raw"), F.lit(window)).alias("size"))
 
 
-def item_windows(known: DataFrame) -> DataFrame:
+def item_windows(known: DataFrame, window: int = WINDOW) -> DataFrame:
     """(h, item_id, at, size) of windows with enough literal words, and how many the item has."""
-    every = known.select("item_id", "canon", "size", F.posexplode(window_hashes(F.col("canon"), F.col("size"))).alias("at", "h"))
+    hashes = reduce(lambda other, n: F.when(F.col("size") == n, window_hashes(F.col("canon"), n)).otherwise(other), range(1, window), window_hashes(F.col("canon"), window))
+    every = known.select("item_id", "canon", "size", F.posexplode(hashes).alias("at", "h"))
     literal = F.size(F.filter(F.slice("canon", F.col("at") + 1, F.col("size")), lambda x: ~x.startswith("<")))
     usable = every.filter(literal * 2 >= F.col("size")).select("h", "item_id", "at", "size")
     return usable.join(usable.groupBy("item_id").agg(F.count("*").alias("windows")), "item_id")
@@ -71,10 +83,10 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def candidates(docs: DataFrame, known: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def candidates(docs: DataFrame, known: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(d, c, item_id, diagonal, hits, windows): items with enough windows on one diagonal."""
-    wanted = item_windows(known)
-    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # at most WINDOW numbers
+    wanted = item_windows(known, window)
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # at most ``window`` numbers
     probe = _bounded(wanted, BROADCAST_ROWS)
     tokens = docs.filter("body is not null").select("d", "c", canonical(raw_tokens("body")).alias("canon"))
     hits = None
@@ -105,7 +117,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     """``docs`` with ``leaks``: the items found in a document (null where none was looked at closely)."""
     rows = keyed(docs)
     known = items(benchmark, window)
-    near = candidates(rows, known, coverage).join(_bounded(known.select("item_id", "raw", "canon").dropDuplicates(["item_id"]), BROADCAST_ROWS), "item_id")
+    near = candidates(rows, known, window, coverage).join(_bounded(known.select("item_id", "raw", "canon").dropDuplicates(["item_id"]), BROADCAST_ROWS), "item_id")
     per_doc = near.groupBy("d", "c").agg(F.collect_list(F.struct("item_id", "diagonal", "hits", "windows", "raw", "canon")).alias("near"))
     joined = rows.join(per_doc, ["d", "c"], "left")
 
@@ -115,7 +127,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
             F.exists(pairs, lambda p: p["of"] != p["to"]).alias("changed"), _consistent(pairs).alias("consistent")))), lambda x: x["consistent"]))
 
     leaks = F.when(F.col("near").isNotNull(), let(raw_tokens("body"), confirmed))
-    return joined.select(*(F.col("row")[n].alias(n) for n in docs.columns), leaks.alias("leaks"))
+    return joined.select(*unkeyed(others(docs, "leaks")), leaks.alias("leaks"))
 
 
 def op5_templates(spark, sf_dir):
@@ -128,5 +140,5 @@ def op5_templates(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: documents with a benchmark item in them go."""
-    flagged = flag(docs, table(spark, sf_dir, "benchmark"))
-    return flagged.filter(F.coalesce(F.size("leaks"), F.lit(0)) <= 0).select(*docs.columns)
+    flagged = flag(slim(docs), table(spark, sf_dir, "benchmark"))
+    return restored(flagged.filter(F.coalesce(F.size("leaks"), F.lit(0)) <= 0), docs.columns)
