@@ -22,7 +22,8 @@ Since every pair that could be a link was compared or is connected already, the
 components are exact, for any size of group.
 
 Defined cases: null and blank texts have no shingles and stand alone; a text of
-fewer than five words is one shingle; repeated rows share their node; an empty table
+fewer than five words is one shingle; repeated rows share their node; a null id is the
+largest id and comes out null; an empty table
 gives no rows; only ``doc_id`` and ``text`` are read. Shingles and sets are named by
 64-bit hashes.
 """
@@ -37,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shelfmark.llm.common import LAST, carried, table, written
+from shelfmark.llm.common import LAST, carried, keyed, table, unkeyed, written
 from shelfmark.llm.graph import components
 
 carried(__name__)
@@ -248,15 +249,19 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return documents, final
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(d, c, n, rep) of every document: ``rep`` is the smallest (id, content) of its group."""
+    documents, roots = groups(docs)
+    rooted = documents.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    least = rooted.filter("n > 0").groupBy("root").agg(F.min(F.struct("d", "c")).alias("rep"))
+    grouped = rooted.filter("n > 0").join(least, "root").select("d", "c", "n", "rep")
+    return grouped.union(documents.filter("n = 0").select("d", "c", "n", F.struct("d", "c").alias("rep")))
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    documents, roots = groups(docs)
-    placed = documents.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    least = placed.filter("n > 0").groupBy("root").agg(F.min("d").alias("least"))
-    alone = documents.filter("n = 0").select("d", "n", F.col("d").alias("least"))
-    every = placed.filter("n > 0").join(least, "root").select("d", "n", "least").union(alone)
     known = lambda c: F.when(F.col(c) < LAST, F.col(c))
-    return every.select(known("d").alias("doc_id"), F.col("n").alias("n_shingles"), known("least").alias("component_id"))
+    return _placed(docs).select(known("d").alias("doc_id"), F.col("n").alias("n_shingles"), known("rep.d").alias("component_id"))
 
 
 def op9_prefix_join(spark, sf_dir):
@@ -265,8 +270,7 @@ def op9_prefix_join(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: of each group the document with the smallest id stays."""
-    groups_of = cluster(docs)
-    stay = groups_of.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Pipeline stage: of each group the document with the smallest id stays; equal rows are one document."""
+    stay = _placed(docs).filter((F.col("d") == F.col("rep.d")) & (F.col("c") == F.col("rep.c"))).select("d", "c").distinct()
+    kept = keyed(docs).join(stay, ["d", "c"], "left_semi").dropDuplicates(["d", "c"])
+    return kept.select(*unkeyed(docs.columns))

@@ -18,7 +18,8 @@ execution splits.
 
 Defined cases: null and empty texts stay as they are; equal rows (id and text) are
 one document, so neither loses lines to the other; a null id comes after all
-others; an empty table gives no rows; other columns pass through untouched.
+others; an empty table gives no rows; other columns pass through
+untouched, but for one named ``deleted_lines``, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.text import let
-from shelfmark.llm.common import keyed, table, words, written
+from shelfmark.llm.common import keyed, others, restored, slim, table, unkeyed, words, written
 
 MIN_WORDS = 50
 
@@ -100,8 +101,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cut = F.filter(F.split("body", "\n", -1), lambda _, k: ~inside(k))
     out = joined.select("row", F.when(F.col("runs").isNull(), F.col("body")).otherwise(F.array_join(cut, "\n")).alias("rest"),
                         F.when(F.col("runs").isNull(), F.lit(0)).otherwise(F.size(F.split("body", "\n", -1)) - F.size(cut)).alias("deleted"))
-    return out.select(*(F.col("rest").alias("text") if n == "text" else F.col("row")[n].alias(n) for n in docs.columns),
-                      F.col("deleted").alias("deleted_lines"))
+    return out.select(*unkeyed(others(docs, "deleted_lines"), "rest"), F.col("deleted").alias("deleted_lines"))
 
 
 def op10_winnowing(spark, sf_dir):
@@ -112,7 +112,9 @@ def op10_winnowing(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: texts without their repeated runs; documents that were nothing else go."""
-    cut = dedup(docs)
+    cut = dedup(slim(docs))
     left = cut.filter((F.col("deleted_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    sized = left.withColumn("n_chars", F.when(F.col("deleted_lines") == 0, F.col("n_chars")).otherwise(F.length("text"))) if "n_chars" in docs.columns else left
-    return sized.select(*docs.columns)
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("deleted_lines") == 0, F.col("_rest.n_chars")).otherwise(F.length("text"))
+        left = left.withColumn("_rest", F.col("_rest").withField("n_chars", size))
+    return restored(left, docs.columns)
