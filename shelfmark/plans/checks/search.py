@@ -148,6 +148,28 @@ def keyword_mode(spark, sf):
     return rounded(fusion.keyword(s, K), "_score", digits=6)
 
 
+ALL_QUESTIONS_SQL = f"""with {PARENTS_SQL},
+asked as (select item_id as qid, unnest(list_distinct({d_words('text')})) as term from benchmark),
+words as (select id, len(ws) as dl, ws from (select id, {d_words('text')} as ws from parents)),
+corpus as (select count(*) as n, avg(dl) as avgdl from words),
+tf as (select id, dl, term, count(*) as tf from (select id, dl, unnest(ws) as term from words) where term in (select term from asked) group by id, dl, term),
+df as (select term, count(*) as df from tf group by term),
+scored as (select qid, tf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as _score
+  from tf join df using (term) join asked using (term), corpus group by qid, tf.id)
+select qid, id, round(_score, 6) as _score, cast(place as int) as place from
+  (select *, row_number() over (partition by qid order by round(_score, 9) desc, id) as place from scored) where place <= {K}"""
+
+
+@check("rnk_6_all_questions", ALL_QUESTIONS_SQL)
+def all_questions(spark, sf):
+    """Keyword mode with every benchmark item as a question, in one run over the postings."""
+    p = parents(spark, sf)
+    index = keyword.postings(p, ("id",))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    s = keyword.score_questions(index, keyword.term_stats(index), keyword.corpus_stats(p), asked, K)
+    return rounded(s, "_score", digits=6)
+
+
 @check("flt_2_keyword_author_filter", f"with {PARENTS_SQL}, {bm25_sql(QUERY_TERMS, "lower(author) like '%e_%'")}, {keyword_list_sql(K)} "
        "select id, round(_score, 6) as _score from klist")
 def keyword_author(spark, sf):

@@ -127,14 +127,16 @@ class Ingest:
         files = self.spark.read.format("binaryFile").load(span.folders)
         return files.where(F.col("modificationTime") >= F.lit(span.oldest)).select("path", "content")
 
-    def convert(self) -> None:
-        """Read every staged file that has no raw text yet, one file per call.
+    def convert(self, retry: bool = False) -> None:
+        """Read every staged file that has no raw text yet, one file per call; with ``retry`` also those that failed.
 
         Scanned files wait for batch OCR, whose results come in by ``accept_ocr``.
         """
         services, cloud = self.services, self.pdf_engine == "cloud" and self.services.cloud_pdf is not None
-        todo = self.staged().where("staging_category <> 'cloud'").join(
-            self.table("raw", RAW_DDL).select("folder_id"), "folder_id", "left_anti")
+        tried = self.table("raw", RAW_DDL)
+        if retry:
+            tried = tried.where("outcome <> 'failed'")
+        todo = self.staged().where("staging_category <> 'cloud'").join(tried.select("folder_id"), "folder_id", "left_anti")
         content = self._content(todo)
         if content is None:
             return
@@ -167,6 +169,14 @@ class Ingest:
             F.when(F.col("raw_text").isNull(), "failed").when(thin, "reclassify").otherwise("ok").alias("outcome"),
             "method", "error"))
 
+    def quarantine_failed(self) -> None:
+        """File the rows of conversions that failed, and never succeeded later, under quarantine."""
+        raw = self.table("raw", RAW_DDL)
+        good = raw.where("outcome <> 'failed'").select("folder_id")
+        bad = raw.where("outcome = 'failed'").join(good, "folder_id", "left_anti").select("folder_id").distinct()
+        have = self.quarantined().select("folder_id")
+        self._append("quarantined", self.staged().join(bad, "folder_id", "left_semi").join(have, "folder_id", "left_anti"))
+
     def accept_ocr(self, results: DataFrame) -> None:
         """Take finished OCR texts (custom_id, raw_text) as raw text of their folders."""
         have = self.table("raw", RAW_DDL).where("outcome = 'ok'").select("folder_id")
@@ -195,21 +205,33 @@ class Ingest:
     def index(self, maps: DataFrame | None = None) -> int:
         """File cleaned texts under their slug and index them; only indexed books are marked."""
         texts = self.table("clean", CLEAN_DDL).select("folder_id", F.col("clean_text").alias("text"))
-        named = texts.join(self._todo("indexed", INDEXED_DDL, "original_name"), "folder_id").select(
-            "folder_id", book_slug(F.col("original_name")).alias("book_id"), "text")
-        # Two files may share a slug; the later folder id stands for the book, as a later copy would.
-        books = named.groupBy("book_id").agg(F.max_by("text", "folder_id").alias("text"))
-        scratch = shared_dir(self.spark, "books")
-        books.write.parquet(scratch)
         marked = shared_dir(self.spark, "marked")
-        named.select("folder_id", "book_id").write.parquet(marked)
-        count = self.library.add_books(self.spark.read.parquet(scratch), maps, force=True)
-        self._append("indexed", self.spark.read.parquet(marked))
+        self._book_ids(self._todo("indexed", INDEXED_DDL, "original_name")).write.parquet(marked)
+        named = self.spark.read.parquet(marked).join(texts, "folder_id")
+        count = self.library.add_books(named.select("book_id", "text"), maps, force=True)
+        self._append("indexed", named.select("folder_id", "book_id"))
         return count
 
+    def _book_ids(self, todo: DataFrame) -> DataFrame:
+        """(folder_id, book_id): the slug of the name, made distinct where another file has it.
+
+        Different files are different books: one file per slug keeps it plain, the
+        others carry part of their digest.
+        """
+        slugs = todo.join(self.table("clean", CLEAN_DDL).select("folder_id"), "folder_id", "left_semi").select(
+            "folder_id", book_slug(F.col("original_name")).alias("slug"))
+        first = slugs.groupBy("slug").agg(F.min("folder_id").alias("first"))
+        taken = self.table("indexed", INDEXED_DDL).select(F.col("book_id").alias("slug"), F.lit(True).alias("taken"))
+        rows = slugs.join(first.join(taken, "slug", "left"), "slug")
+        plain = F.col("taken").isNull() & (F.col("folder_id") == F.col("first"))
+        return rows.select("folder_id", F.when(plain, F.col("slug")).otherwise(
+            F.concat_ws("-", "slug", F.left("folder_id", F.lit(32)))).alias("book_id"))
+
     def deliver(self, maps: DataFrame | None = None) -> None:
         none = self.spark.createDataFrame([], "id string, title string, author string, summary string, key_themes array<string>")
-        todo = self._todo("sent", SENT_DDL, "path", "original_name", "file_type", "modification_time")
+        # A delivery that failed is not done and is tried again.
+        todo = self.staged().select("folder_id", "path", "original_name", "file_type", "modification_time").join(
+            self.table("sent", SENT_DDL).where("sent").select("folder_id"), "folder_id", "left_anti")
         staged = todo.join(self.table("indexed", INDEXED_DDL), "folder_id")
         about = bookmaps.delivery_metadata(
             staged.withColumn("fallback_title", stem(F.col("original_name"))), maps if maps is not None else none)
@@ -252,6 +274,7 @@ class Ingest:
         if files is not None:
             self.stage(files)
         self.convert()
+        self.quarantine_failed()
         self.clean()
         self.index(maps)
         self.deliver(maps)

@@ -7,6 +7,7 @@ only batch records, a few per run, pass through the driver.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -18,6 +19,10 @@ from shelfmark.schemas import OCR_BATCH_DDL
 from shelfmark.session import shared_dir
 from shelfmark.sources import files, tables
 
+log = logging.getLogger(__name__)
+
+# States in which a batch gave nothing and its folders are free again.
+FAILED_STATES = ("cancelled", "failed", "expired", "timeout_exceeded")
 FOLDER_DDL = "batch_id string, folder_id string, file_id string"
 UPLOAD_DDL = "folder_id string, page_count int, file_id string"
 RESULT_DDL = "custom_id string, raw_text string, batch_status string, batch_error string, raw_chars int, batch_id string"
@@ -56,7 +61,7 @@ class OcrBatches:
     def with_status(self, staging: DataFrame) -> DataFrame:
         """Staging rows with the state of the batch they are in."""
         folders = self._read("folders", FOLDER_DDL).join(self.batches().select("batch_id", "status"), "batch_id")
-        folders = folders.select("batch_id", "folder_id", F.when(F.col("status") == "cancelled", "cancelled").otherwise("submitted").alias("s"))
+        folders = folders.select("batch_id", "folder_id", F.when(F.lower("status").isin(*FAILED_STATES), "cancelled").otherwise("submitted").alias("s"))
         got = self.results().select("batch_id", F.col("custom_id").alias("folder_id"), F.col("batch_status").alias("r"))
         # "submitted" sorts after the other states, so a failed folder sent again counts as taken.
         latest = folders.join(got, ["batch_id", "folder_id"], "left").groupBy("folder_id").agg(
@@ -96,9 +101,14 @@ class OcrBatches:
         return batch_id
 
     def _polled(self) -> DataFrame:
-        """Open batches with the state the service reports now."""
-        known = ocr.open_batches(self.batches()).select("batch_id").collect()
-        states = [(r.batch_id, self.client.status(r.batch_id)) for r in known]
+        """Open batches with the state the service reports now; one that cannot be asked keeps its state."""
+        states = []
+        for r in ocr.open_batches(self.batches()).select("batch_id", "status").collect():  # few: the open batches
+            try:
+                states.append((r.batch_id, self.client.status(r.batch_id)))
+            except Exception as exc:
+                log.warning("batch %s cannot be asked: %s", r.batch_id, exc)
+                states.append((r.batch_id, r.status))
         polled = self.spark.createDataFrame(states, "batch_id string, polled_status string")
         return self.batches().join(polled, "batch_id")
 
@@ -113,12 +123,32 @@ class OcrBatches:
         return answer
 
     def poll(self, staging: DataFrame) -> list[str]:
-        """Fetch the results of finished batches; returns the batches closed."""
-        finished = [r.batch_id for r in ocr.finished_batches(self._polled()).select("batch_id").collect()]
+        """Fetch the results of finished batches; returns the batches closed.
+
+        Every state is recorded, so a batch that failed is closed and its folders may be
+        sent again. A batch whose results cannot be fetched stays open and does not stop
+        the others; results count only for folders of their own batch.
+        """
+        polled = shared_dir(self.spark, "polled")
+        self._polled().write.parquet(polled)
+        now = self.spark.read.parquet(polled)
+        finished = [r.batch_id for r in ocr.finished_batches(now).select("batch_id").collect()]
+        moved = now.where((F.col("polled_status") != F.col("status")) & ~F.col("batch_id").isin(finished))
+        state = F.lower("polled_status")
+        self._record(moved.withColumn("status", F.when(state == "cancelled", "cancelled").when(state.isin(*FAILED_STATES), "failed").otherwise(
+            F.col("polled_status"))).drop("polled_status"))
+        closed = []
         for batch_id in finished:
-            target = shared_dir(self.spark, "ocr")
-            self.client.download(batch_id, target)
-            texts = ocr.result_texts(ocr.matched(files.ocr_results(self.spark, target), staging))
-            texts.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{self.root}/results")
+            try:
+                target = shared_dir(self.spark, "ocr")
+                self.client.download(batch_id, target)
+                own = self._read("folders", FOLDER_DDL).where(F.col("batch_id") == batch_id).select("folder_id")
+                mine = staging.join(own, "folder_id", "left_semi")
+                texts = ocr.result_texts(ocr.matched(files.ocr_results(self.spark, target), mine))
+                texts.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{self.root}/results")
+            except Exception as exc:
+                log.warning("results of batch %s cannot be fetched: %s", batch_id, exc)
+                continue
             self._record(ocr.with_status(self.batches().where(F.col("batch_id") == batch_id), batch_id, "complete"))
-        return finished
+            closed.append(batch_id)
+        return closed

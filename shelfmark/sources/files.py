@@ -20,9 +20,13 @@ def _named(files: DataFrame) -> DataFrame:
 
 
 def inbox(spark: SparkSession, folder: str) -> DataFrame:
-    """Waiting files, hidden ones excluded, oldest first."""
-    files = _named(spark.read.format("binaryFile").load(folder))
-    return files.where(visible(F.col("name"))).orderBy("modification_time", "path")
+    """Waiting files, hidden ones excluded; unsorted, as sorting would shuffle the contents."""
+    return _named(spark.read.format("binaryFile").load(folder)).where(visible(F.col("name")))
+
+
+def oldest_first(files: DataFrame) -> DataFrame:
+    """Listing of files without their contents."""
+    return files.select("path", "name", "modification_time", "length").orderBy("modification_time", "path")
 
 
 def inbox_stream(spark: SparkSession, folder: str, per_trigger: int = MAX_FILES_PER_TRIGGER,
@@ -40,7 +44,7 @@ def inbox_stream(spark: SparkSession, folder: str, per_trigger: int = MAX_FILES_
 
 def epub_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(folder)
-    return _named(files).orderBy("name")
+    return _named(files)
 
 
 def markdown_books(spark: SparkSession, folder: str, book: str | None = None) -> DataFrame:

@@ -57,10 +57,22 @@ def drop(tmp_path):
     return box
 
 
+def test_files_of_one_name_are_two_books(spark, ingest, tmp_path):
+    for folder, body, at in (("a", b"first mill", 1000), ("b", b"second mill", 2000)):
+        (tmp_path / folder).mkdir()
+        put(tmp_path / folder, "Mill Book.epub", body, at)
+    for folder in ("a", "b"):
+        ingest.run_once(files.inbox(spark, str(tmp_path / folder)))
+    both = ingest.library.indexed_books().collect()
+    assert len(both) == 2 and "mill-book" in {r.book_id for r in both}
+    assert ingest.library.search("first", 5, "keyword").count() == ingest.library.search("second", 5, "keyword").count() == 1
+
+
 def test_inbox_order_and_filters(spark, drop):
-    names = [r.name for r in files.inbox(spark, str(drop)).select("name").collect()]
+    names = [r.name for r in files.oldest_first(files.inbox(spark, str(drop))).collect()]
     assert names[0] == "half.epub.part" and names[1].startswith("Abe") and ".hidden.epub" not in names
-    assert [r.name for r in files.epub_files(spark, str(drop)).collect()] == [
+    assert "Exchange" not in files.inbox(spark, str(drop))._jdf.queryExecution().executedPlan().toString()  # no contents are moved
+    assert sorted(r.name for r in files.epub_files(spark, str(drop)).collect()) == [
         "Abe - First Book (2001).epub", "Bad.epub", "Zed - Later.epub"]
 
 
@@ -73,7 +85,7 @@ def test_stream_runs_every_stage(spark, ingest, drop, tmp_path):
     assert len([n for n in staged if n[:3] in ("Abe", "Zed")]) == 1  # one of the two copies
     assert {staged[n].staging_category for n in ("Thick.PDF", "Medium.pdf")} == {"local"}
     assert staged["Scan.pdf"].staging_category == "cloud"
-    assert [r.original_name for r in ingest.quarantined().collect()] == ["notes.txt"]
+    assert sorted(r.original_name for r in ingest.quarantined().collect()) == ["Bad.epub", "notes.txt"]
     raw = {r.folder_id: r for r in ingest.table("raw", "folder_id string, outcome string, error string").collect()}
     assert raw[staged["Bad.epub"].folder_id].error == "bad archive"
     assert raw[staged["Medium.pdf"].folder_id].outcome == "reclassify"

@@ -63,6 +63,40 @@ def test_cancelled_batch_is_closed(spark, tmp_path):
     assert jobs.status().count() == 0 and jobs.batches().first().status == "cancelled"
 
 
+def test_a_failed_batch_frees_its_folders_and_stops_no_other(spark, tmp_path):
+    class Several(FakeOcr):
+        n, states = 0, {}
+
+        def submit(self, request_path):
+            super().submit(request_path)
+            self.n += 1
+            return f"batch-{self.n}", "req", "QUEUED"
+
+        def status(self, batch_id):
+            if self.states[batch_id] == "down":
+                raise OSError("no answer")
+            return self.states[batch_id]
+
+        def download(self, batch_id, target):
+            if batch_id == "batch-3":
+                raise OSError("gone")
+            super().download(batch_id, target)
+
+    client = Several(tmp_path)
+    jobs = OcrBatches(spark, str(tmp_path / "ocr"), client)
+    rows = staging(spark)
+    for n, folder in enumerate("ab", 1):
+        assert jobs.submit(rows.where(f"folder_id = '{folder}'")) == f"batch-{n}"
+    client.states = {"batch-1": "FAILED", "batch-2": "down"}
+    assert jobs.poll(rows) == []
+    assert {r.batch_id: r.status for r in jobs.batches().collect()} == {"batch-1": "failed", "batch-2": "QUEUED"}
+    assert [r.folder_id for r in jobs.pending(rows).collect()] == ["a"]
+    assert jobs.submit(rows) == "batch-3"
+    client.states = {"batch-2": "SUCCESS", "batch-3": "SUCCESS"}
+    assert jobs.poll(rows) == ["batch-2"]  # the other stays open
+    assert jobs.results().count() == 0  # the answers were those of another batch's folder
+
+
 def test_patient_requests():
     waits, seen = [], []
 
