@@ -131,8 +131,8 @@ def sequences(docs: DataFrame, placed: DataFrame, length: int = LENGTH) -> DataF
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ids = pieces(docs, length, with_ids=True).dropDuplicates(keys)
     parts = placed.join(ids.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).withColumnRenamed("doc_id", "_id"),
-                        [F.coalesce(placed.doc_id, F.lit(-1)) == F.col("_id"), *(placed[k] == ids[k] for k in keys[1:])])
-    ordered = F.sort_array(F.collect_list(F.struct(placed.offset, ids.ids)))
+                        [F.coalesce(placed["doc_id"], F.lit(-1)) == F.col("_id"), *(placed[k] == ids[k] for k in keys[1:])])
+    ordered = F.sort_array(F.collect_list(F.struct(placed["offset"], ids["ids"])))
     return parts.groupBy("sequence_id").agg(F.array_join(F.transform(ordered, lambda x: F.hex(x["ids"])), "").alias("hex")).select(
         "sequence_id", F.unhex("hex").alias("ids"))
 
