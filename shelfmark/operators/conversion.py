@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions.text import let
 from shelfmark.schemas import CLOUD_PAGE_BATCH, LOCAL_PAGE_BATCH
 
 PAGE_JOIN = "\n\n"
@@ -33,6 +34,11 @@ def work_items(documents: DataFrame, size: int = LOCAL_PAGE_BATCH) -> DataFrame:
     return items.select(*rest, "part", F.col("r.first").alias("first"), F.col("r.stop").alias("stop"))
 
 
+def split_pages(pages: Column, size: int = LOCAL_PAGE_BATCH) -> Column:
+    """The pages of each range, cut inside the row, so the text is not repeated per range."""
+    return let(pages, lambda p: F.transform(page_ranges(F.size(p), size), lambda r: F.slice(p, r["first"] + 1, r["stop"] - r["first"])))
+
+
 def remaining(items: DataFrame, converted: DataFrame) -> DataFrame:
     """Resume: only the ranges that have no stored result yet."""
     return items.join(converted.select("file", "part"), ["file", "part"], "left_anti")

@@ -129,11 +129,8 @@ def page_ranges(spark, sf):
        "select doc_id, string_agg('<' || array_to_string(ls[first + 1:first + 3], chr(10)) || '>', chr(10) || chr(10) order by first) as text from r group by doc_id")
 def ordered_concat(spark, sf):
     """Page ranges converted apart and put back in order, one string per file (SRC-11, SRC-12)."""
-    pages = F.split("text", "\n", -1)
-    d = documents(spark, sf).select("doc_id", "text", F.size(pages).alias("total_pages"))
-    items = conversion.work_items(d, 3)
-    done = items.select("doc_id", "part", F.concat(F.lit("<"), F.array_join(
-        F.slice(pages, F.col("first") + 1, F.col("stop") - F.col("first")), "\n"), F.lit(">")).alias("text"))
+    cut = documents(spark, sf).select("doc_id", F.posexplode(conversion.split_pages(F.split("text", "\n", -1), 3)).alias("part", "pages"))
+    done = cut.select("doc_id", "part", F.concat(F.lit("<"), F.array_join("pages", "\n"), F.lit(">")).alias("text"))
     return conversion.ordered_text(done, "doc_id", "part", "text")
 
 

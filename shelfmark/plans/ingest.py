@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import book_slug, stem
 from shelfmark.models import Embedder
-from shelfmark.operators import bookmaps, cleaning, delivery as D, staging as G, triage as T
+from shelfmark.operators import bookmaps, cleaning, conversion, delivery as D, staging as G, triage as T
 from shelfmark.plans.library import Library
+from shelfmark.schemas import LOCAL_PAGE_BATCH
 from shelfmark.sources import readers, tables
 from shelfmark.sources.config import Cleanup, Kindle
 from shelfmark.session import shared_dir
@@ -30,6 +31,7 @@ STAGED_DDL = (
 RAW_DDL = "folder_id string, raw_text string, page_count int, raw_chars int, chars_per_page double, outcome string, method string, error string"
 CLEAN_DDL = ("folder_id string, clean_text string, quality_score double, cleanup_method string, clean_chars int, "
              "quality_score_after_repair double")
+RANGES_DDL = "file string, part int, text string, error string"
 INDEXED_DDL = "folder_id string, book_id string"
 DONE_DDL = ("folder_id string, book_id string, sha256 string, path string, original_name string, file_type string, "
             "classification string")
@@ -44,6 +46,8 @@ class Readers:
     native_pdf: Callable[[bytes], tuple[str, int]] = readers.pdf_markdown
     cloud_pdf: Callable[[bytes], tuple[str, int]] | None = None
     epub: Callable[[bytes], str] = readers.epub_markdown
+    # (content, first page, stop page) -> text: native PDFs are then converted by ranges that are stored one by one.
+    page_range: Callable[[bytes, int, int], str] | None = None
 
 
 class Ingest:
@@ -137,6 +141,10 @@ class Ingest:
         if retry:
             tried = tried.where("outcome <> 'failed'")
         todo = self.staged().where("staging_category <> 'cloud'").join(tried.select("folder_id"), "folder_id", "left_anti")
+        if services.page_range is not None and not cloud:
+            ranged = F.coalesce((F.col("classification") == "native") & (F.col("probe.total_pages") > 0), F.lit(False))
+            self._convert_ranges(todo.where(ranged))
+            todo = todo.where(~ranged)
         content = self._content(todo)
         if content is None:
             return
@@ -161,13 +169,49 @@ class Ingest:
                 yield pd.DataFrame(rows, columns=["folder_id", "raw_text", "page_count", "method", "error"])
 
         got = work.mapInPandas(read, "folder_id string, raw_text string, page_count int, method string, error string")
+        self._append("raw", self._raw_rows(got))
+
+    def _convert_ranges(self, todo: DataFrame, size: int = LOCAL_PAGE_BATCH) -> None:
+        """Convert native PDFs by page ranges; ranges that have a stored text are not converted again."""
+        convert = self.services.page_range
+        items = conversion.work_items(todo.select(F.col("folder_id").alias("file"), "path", F.col("probe.total_pages").alias("total_pages")), size)
+        good = self.table("ranges", RANGES_DDL).where("text is not null")
+        rest = conversion.remaining(items, good).groupBy("file", "path").agg(F.collect_list(F.struct("part", "first", "stop")).alias("ranges"))
+        content = self._content(todo)
+        if content is None:
+            return
+
+        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = []
+                for row in frame.itertuples(index=False):
+                    text, error = None, None
+                    try:
+                        text = convert(bytes(row.content), row.first, row.stop)
+                    except Exception as exc:
+                        error = str(exc) or type(exc).__name__
+                    rows.append((row.file, row.part, text, error))
+                yield pd.DataFrame(rows, columns=["file", "part", "text", "error"])
+
+        # A file meets its bytes once; its ranges are spread inside the row.
+        work = rest.join(content, "path").select("file", "content", F.explode("ranges").alias("r")).select("file", "r.*", "content")
+        self._append("ranges", work.mapInPandas(read, RANGES_DDL))
+        parts = self.table("ranges", RANGES_DDL).join(todo.select(F.col("folder_id").alias("file"), F.col("probe.total_pages").alias("page_count")), "file")
+        best = parts.groupBy("file", "part", "page_count").agg(F.max("text").alias("text"), F.max(F.when(F.col("text").isNull(), F.col("error"))).alias("error"))
+        pages = best.select("file", "page_count").distinct()
+        whole = conversion.whole_documents(best.select("file", "part", "text", F.when(F.col("text").isNull(), F.col("error")).alias("error"))).join(pages, "file")
+        self._append("raw", self._raw_rows(whole.select(F.col("file").alias("folder_id"), "raw_text", "page_count", F.lit("native").alias("method"), "error")))
+
+    @staticmethod
+    def _raw_rows(got: DataFrame) -> DataFrame:
+        """Rows of the raw table with the quality gate's verdict."""
         gate = T.quality_gate(F.col("raw_text"), F.col("page_count"))
         thin = (F.col("method") == "native") & (gate["outcome"] == "reclassify")
-        self._append("raw", got.select(
+        return got.select(
             "folder_id", "raw_text", "page_count", F.length("raw_text").alias("raw_chars"),
             F.when(F.col("page_count").isNotNull(), gate["chars_per_page"]).alias("chars_per_page"),
             F.when(F.col("raw_text").isNull(), "failed").when(thin, "reclassify").otherwise("ok").alias("outcome"),
-            "method", "error"))
+            "method", "error")
 
     def quarantine_failed(self) -> None:
         """File the rows of conversions that failed, and never succeeded later, under quarantine."""

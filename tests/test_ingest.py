@@ -57,6 +57,33 @@ def drop(tmp_path):
     return box
 
 
+def test_conversion_resumes_by_page_range(spark, tmp_path):
+    """Ranges that were stored are not converted again after one of them failed."""
+    seen, down = tmp_path / "seen", tmp_path / "down"
+    seen.mkdir()
+    down.touch()
+    pages = lambda d: {"avg_chars_per_page": 900.0, "sampled_pages": 1, "total_pages": 120, "classification": "native"}
+
+    def convert(data, first, stop):
+        (seen / f"{first}-{len(list(seen.iterdir()))}").touch()
+        if first == 50 and down.exists():
+            raise RuntimeError("no memory")
+        return f"pages {first} to {stop} " + "word " * 30_000
+
+    box = tmp_path / "inbox"
+    box.mkdir()
+    put(box, "Long.pdf", b"%PDF", 1000)
+    job = Ingest(spark, str(tmp_path / "work"), Library(spark, str(tmp_path / "index"), Embedder("tiny", 8), 2), Readers(probe=pages, page_range=convert))
+    job.stage(files.inbox(spark, str(box)))
+    job.convert()
+    assert [(r.outcome, r.error) for r in job.table("raw", "folder_id string, outcome string, error string").collect()] == [("failed", "no memory")]
+    down.unlink()
+    job.convert(retry=True)
+    assert sorted(int(p.name.split("-")[0]) for p in seen.iterdir()) == [0, 50, 50, 100]
+    text = job.table("raw", "folder_id string, raw_text string, outcome string").where("outcome = 'ok'").first().raw_text
+    assert [text.index(f"pages {n} to") for n in (0, 50, 100)] == sorted(text.index(f"pages {n} to") for n in (0, 50, 100))
+
+
 def test_files_of_one_name_are_two_books(spark, ingest, tmp_path):
     for folder, body, at in (("a", b"first mill", 1000), ("b", b"second mill", 2000)):
         (tmp_path / folder).mkdir()
