@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import render
 from shelfmark.operators import fusion, keyword
 from shelfmark.plans.checks.registry import check, d_words, documents, table
+from shelfmark.session import shared_dir
 
 QUERY = "The tion, thering der!"
 K = 20
@@ -98,9 +99,25 @@ def rounded(df, *names, digits=9):
     return df
 
 
+_indexes: dict[tuple[str, str], tuple] = {}
+
+
+def stored_index(spark, sf):
+    """Postings, term and corpus statistics of the documents, stored once per session and data folder (see ``snk_2_postings`` for the build)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        root = shared_dir(spark, "check-index")
+        keyword.postings(parents(spark, sf)).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{root}/postings")
+        index = spark.read.parquet(f"{root}/postings")
+        keyword.term_stats(index).sort("term").write.parquet(f"{root}/terms")
+        keyword.corpus_stats(parents(spark, sf)).write.parquet(f"{root}/corpus")
+        _indexes[key] = (index, spark.read.parquet(f"{root}/terms"), spark.read.parquet(f"{root}/corpus"))
+    return _indexes[key]
+
+
 def lists(spark, sf, n=2 * K):
     near = fusion.numbered(fusion.nearest(children(spark, sf), query_vector(spark, sf), n), "_distance", "id")
-    hits = keyword.top_scores(keyword.score_texts(parents(spark, sf), keyword.query_terms(QUERY)).select("id", "_score"), n)
+    hits = keyword.top_scores(keyword.score_postings(*stored_index(spark, sf), keyword.query_terms(QUERY)), n)
     return parents(spark, sf, heavy=False), near, fusion.numbered(hits, F.desc("_score"), "id")
 
 
@@ -129,10 +146,8 @@ def bm25(spark, sf):
 
 @check("rnk_5_bm25_postings", f"with {PARENTS_SQL}, {bm25_sql(QUERY_TERMS)} select id, round(_score, 6) as _score from scored")
 def bm25_postings(spark, sf):
-    """The same scores from the inverted index."""
-    p = parents(spark, sf)
-    index = keyword.postings(p)
-    s = keyword.score_postings(index, keyword.term_stats(index), keyword.corpus_stats(p), keyword.query_terms(QUERY))
+    """The same scores from the stored inverted index."""
+    s = keyword.score_postings(*stored_index(spark, sf), keyword.query_terms(QUERY))
     return rounded(s, "_score", digits=6)
 
 
@@ -144,8 +159,9 @@ BENCH_TERMS = terms_sql("(select text from benchmark where item_id = 0)")
 def keyword_mode(spark, sf):
     """Keyword mode with a whole benchmark item as the question."""
     question = table(spark, sf, "benchmark").where("item_id = 0").first().text
-    s = keyword.score_texts(parents(spark, sf), keyword.query_terms(question))
-    return rounded(fusion.keyword(s, K), "_score", digits=6)
+    scored = keyword.score_postings(*stored_index(spark, sf), keyword.query_terms(question))
+    top = fusion.keyword(scored, K)
+    return rounded(parents(spark, sf, heavy=False).join(fusion.small(top, K), "id"), "_score", digits=6)
 
 
 ALL_QUESTIONS_SQL = f"""with {PARENTS_SQL},
@@ -163,10 +179,8 @@ select qid, id, round(_score, 6) as _score, cast(place as int) as place from
 @check("rnk_6_all_questions", ALL_QUESTIONS_SQL)
 def all_questions(spark, sf):
     """Keyword mode with every benchmark item as a question, in one run over the postings."""
-    p = parents(spark, sf)
-    index = keyword.postings(p, ("id",))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    s = keyword.score_questions(index, keyword.term_stats(index), keyword.corpus_stats(p), asked, K)
+    s = keyword.score_questions(*stored_index(spark, sf), asked, K)
     return rounded(s, "_score", digits=6)
 
 
