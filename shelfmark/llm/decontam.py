@@ -3,10 +3,11 @@
 A text's tokens are canonicalised: numbers become ``<num>``, units after a number
 ``<unit>``, capitalised words ``<name>``. Windows of ``WINDOW`` canonical tokens of
 the benchmark items are hash-joined with those of the documents. Where a document
-has at least ``COVERAGE`` of an item's windows on one diagonal, the slots are
-compared: each value of the item must stand for one value of the document and the
-other way round. So a question with other numbers or names is caught as well, while
-texts that only share a form of words are not.
+has at least ``COVERAGE`` of an item's windows, the slots under them are compared:
+each value of the item must stand for one value of the document and the other way
+round, over all windows or over those of one passage. So a question with other
+numbers or names, or with words put in or left out, is caught as well, while texts
+that only share a form of words are not.
 
 The windows of the benchmark are broadcast below a checked number of rows and
 shuffled beyond it. Document windows are made and probed in place; only hits are
@@ -84,7 +85,7 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, known: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """(d, c, item_id, diagonal, hits, windows): items with enough windows on one diagonal."""
+    """(d, c, item_id, places, windows, size, hits): items with enough windows in a document, and where these lie."""
     wanted = item_windows(known, window)
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # at most ``window`` numbers
     probe = _bounded(wanted, BROADCAST_ROWS)
@@ -92,19 +93,22 @@ def candidates(docs: DataFrame, known: DataFrame, window: int = WINDOW, coverage
     hits = None
     for size in sizes:
         found = (tokens.select("d", "c", F.posexplode(window_hashes(F.col("canon"), size)).alias("pos", "h"))
-                 .join(probe.filter(F.col("size") == size), "h").select("d", "c", "item_id", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "windows"))
+                 .join(probe.filter(F.col("size") == size), "h").select("d", "c", "item_id", "at", "size", (F.col("pos") - F.col("at")).alias("diagonal"), "windows"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        return docs.select("d", "c").limit(0).selectExpr("d", "c", "0L item_id", "0 diagonal", "0L hits", "0L windows")
-    once = hits.distinct().groupBy("d", "c", "item_id", "diagonal").agg(F.count("*").alias("hits"), F.first("windows").alias("windows"))
-    return once.filter(F.col("hits") >= F.col("windows") * coverage)
+        return docs.select("d", "c").limit(0).selectExpr(
+            "d", "c", "0L item_id", "array(struct(0 as diagonal, 0 as at)) places", "0L windows", "0 size", "0 hits")
+    places = F.collect_list(F.struct("diagonal", "at"))
+    per = hits.distinct().groupBy("d", "c", "item_id").agg(places.alias("places"), F.first("windows").alias("windows"), F.first("size").alias("size"))
+    found = per.withColumn("hits", F.size(F.array_distinct(F.transform("places", lambda x: x["at"]))))
+    return found.filter(F.col("hits") >= F.col("windows") * coverage)
 
 
-def _slots(item: Column, raw: Column, canon: Column) -> Column:
-    """Pairs (item's value, document's value) of the slots that lie on each other."""
-    pair = F.transform(item["raw"], lambda x, i: F.struct(x.alias("of"), F.get(raw, i + item["diagonal"]).alias("to"), F.get(item["canon"], i).alias("kind"),
-                                                          F.get(canon, i + item["diagonal"]).alias("there")))
-    return F.filter(pair, lambda p: p["kind"].startswith("<") & F.coalesce(p["kind"] == p["there"], F.lit(False)))
+def _slots(item: Column, places: Column, raw: Column) -> Column:
+    """Pairs (item's value, document's value) of the slots under matched windows."""
+    each = F.transform(places, lambda p: F.transform(F.sequence(p["at"], p["at"] + item["size"] - 1), lambda i: F.struct(
+        F.get(item["raw"], i).alias("of"), F.get(raw, i + p["diagonal"]).alias("to"), F.get(item["canon"], i).alias("kind"))))
+    return F.array_distinct(F.filter(F.flatten(each), lambda x: x["kind"].startswith("<")))
 
 
 def _consistent(pairs: Column) -> Column:
@@ -118,13 +122,20 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     rows = keyed(docs)
     known = items(benchmark, window)
     near = candidates(rows, known, window, coverage).join(_bounded(known.select("item_id", "raw", "canon").dropDuplicates(["item_id"]), BROADCAST_ROWS), "item_id")
-    per_doc = near.groupBy("d", "c").agg(F.collect_list(F.struct("item_id", "diagonal", "hits", "windows", "raw", "canon")).alias("near"))
+    per_doc = near.groupBy("d", "c").agg(F.collect_list(F.struct("item_id", "places", "hits", "windows", "size", "raw", "canon")).alias("near"))
     joined = rows.join(per_doc, ["d", "c"], "left")
 
+    def one_passage(item: Column, raw: Column) -> Column:
+        """Some diagonal alone has enough windows and consistent slots: one of several passages in the document."""
+        diagonal = lambda n: F.filter(item["places"], lambda p: p["diagonal"] == n)
+        return F.exists(F.array_distinct(F.transform(item["places"], lambda p: p["diagonal"])), lambda n: let(diagonal(n), lambda own: (
+            F.size(own) >= item["windows"] * coverage) & let(_slots(item, own, raw), _consistent)))
+
     def confirmed(raw: Column) -> Column:
-        return let(canonical(raw), lambda canon: F.filter(F.transform("near", lambda item: let(_slots(item, raw, canon), lambda pairs: F.struct(
+        return F.filter(F.transform("near", lambda item: let(_slots(item, item["places"], raw), lambda pairs: F.struct(
             item["item_id"].alias("item_id"), item["hits"].alias("hits"), item["windows"].alias("windows"),
-            F.exists(pairs, lambda p: p["of"] != p["to"]).alias("changed"), _consistent(pairs).alias("consistent")))), lambda x: x["consistent"]))
+            F.exists(pairs, lambda p: p["of"] != p["to"]).alias("changed"),
+            (_consistent(pairs) | one_passage(item, raw)).alias("consistent")))), lambda x: x["consistent"])
 
     leaks = F.when(F.col("near").isNotNull(), let(raw_tokens("body"), confirmed))
     return joined.select(*unkeyed(others(docs, "leaks")), leaks.alias("leaks"))

@@ -4,8 +4,9 @@ A window is a span of consecutive lines that just reaches ``min_words`` words. E
 window selects its smallest line hash as anchor, so a repeated run of that many
 words always has a fingerprint: (anchor, content of the window). Fingerprint
 positions are joined to their first occurrence in document order (smallest id, then
-content hash, then line); matches on one diagonal are one match. Each match is
-extended both ways while lines stay equal, and the later run is deleted.
+content hash, then line); matches on one diagonal are one match. On it equal lines
+are followed both ways, and each run of ``min_words`` words or more is deleted from
+the later place.
 
 Lines without a word are left out of runs and stay in the text unless they lie
 inside a deleted run. A run may repeat an earlier place of its own document; the

@@ -32,6 +32,13 @@ def test_other_numbers_names_and_units_are_caught(spark, documents):
     assert leaks(decontam.flag(documents(docs), bench(spark, [(7, QUESTION)]))) == {(1, 7, False), (2, 7, True)}
 
 
+def test_edited_and_several_passages(spark, documents):
+    """A word put in the middle moves the second half to another diagonal; two versions in one text do not hide each other."""
+    long = "first the miller fills the hopper with rye then he opens the sluice and waits until the stone turns fast enough to grind it fine"
+    docs = [(1, "x y " + long.replace("sluice", "old sluice") + " z"), (2, QUESTION + " and " + QUESTION.replace("Tom", "Bob").replace("Anna", "Tom"))]
+    assert leaks(decontam.flag(documents(docs), bench(spark, [(7, QUESTION), (8, long)]))) == {(1, 8, False), (2, 7, True)}
+
+
 def test_edge_cases(spark, documents):
     items = [(1, "short words only"), (2, "Name Name 5 6 Name"), (3, None), (4, ""), (5, "short words only")]
     docs = [(1, "these are short words only here"), (1, "these are short words only here"), (None, "short words only"), (2, "short words, but not only"), (3, "Name Name 5 6 Name"),
