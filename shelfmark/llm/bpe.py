@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import struct
+import sys
+import types
 
 from shelfmark.llm.common import carried
 
@@ -84,6 +86,16 @@ class Encoder:
             return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def encoder_of(vocabulary_path: str, ranks_path: str) -> Encoder:
+    """The worker process's encoder: its tasks share one, so their number does not add to its memory."""
+    kept = sys.modules.setdefault("shelfmark_encoders", types.ModuleType("shelfmark_encoders"))
+    known = kept.__dict__.setdefault("by_path", {})
+    key = (vocabulary_path, ranks_path)
+    if key not in known:
+        known[key] = Encoder(*key)
+    return known[key]
+
+
 def token_widths(ranks_path: str):
     """Bytes of each token id."""
     import numpy as np

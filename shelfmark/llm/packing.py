@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.bpe import Encoder, vocabulary
+from shelfmark.llm.bpe import encoder_of, vocabulary
 from shelfmark.llm.common import carried, table, written
 
 carried(__name__)
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, with_ids: bool = False) -> Dat
     width, end = 4 * length, struct.pack("<I", END)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(whole_path, ranks_path)
+        encoder = encoder_of(whole_path, ranks_path)
         for batch in batches:
             out = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

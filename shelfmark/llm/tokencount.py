@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.bpe import Encoder, token_widths, vocabulary
+from shelfmark.llm.bpe import encoder_of, token_widths, vocabulary
 from shelfmark.llm.common import carried, table
 
 carried(__name__)
@@ -81,7 +81,7 @@ def count(docs: DataFrame, rule: str = "majority") -> DataFrame:
     whole_path, ranks_path = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, widths = Encoder(whole_path, ranks_path), token_widths(ranks_path)
+        encoder, widths = encoder_of(whole_path, ranks_path), token_widths(ranks_path)
         for batch in batches:
             out = [[] for _ in range(6)]
             for doc_id, text, sizes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
