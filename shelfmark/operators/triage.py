@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.numbers import round_exact
-from shelfmark.functions.text import sha256_hex, stem, suffix
+from shelfmark.functions.text import sha256_hex, suffix
 from shelfmark.schemas import NATIVE_CHARS_PER_PAGE, QUALITY_CHARS_PER_PAGE, SAMPLE_PAGES
 
 # Partial-download extensions and the staging area of each class.
