@@ -2,12 +2,16 @@
 
 A text's tokens are canonicalised: numbers become ``<num>``, units after a number
 ``<unit>``, capitalised words ``<name>``. Windows of ``WINDOW`` canonical tokens of
-the benchmark items are hash-joined with those of the documents. Where a document
-has at least ``COVERAGE`` of an item's windows, the slots under them are compared:
-each value of the item must stand for one value of the document and the other way
-round, over all windows or over those of one passage. So a question with other
-numbers or names, or with words put in or left out, is caught as well, while texts
-that only share a form of words are not.
+the benchmark items are hash-joined with those of the documents; a second set of
+windows, of lower-case words with numbers and units typed only, finds copies in other
+case. Where a document has at least ``COVERAGE`` of an item's windows, the slots under
+them are compared: each value of the item must stand for one value of the document and
+the other way round (two numbers may become equal), over all windows or over those of
+one passage. So a question with other numbers or names, or with words put in or left
+out, is caught as well, while texts that only share a form of words are not.
+
+Whatever the length of the item, ``RUN`` tokens in a row that match with consistent
+slots are a leak too, so a conflict costs only the runs it lies in.
 
 The windows of the benchmark are broadcast below a checked number of rows and
 shuffled beyond it. Document windows are made and probed in place; only hits are
@@ -30,6 +34,7 @@ from shelfmark.functions.text import let
 from shelfmark.llm.common import keyed, others, pair_up, restored, slim, table, unkeyed
 
 WINDOW, COVERAGE = 8, 0.5
+RUN = 20
 BROADCAST_ROWS = 200_000
 TOKEN = r"\p{N}+(?:[.,:/]\p{N}+)*|\p{L}[\p{L}\p{M}]*"
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
@@ -45,7 +50,12 @@ def raw_tokens(text: Column) -> Column:
 def canonical(raw: Column) -> Column:
     """The typed tokens, one per raw token."""
     return let(raw, lambda r: F.transform(r, lambda x, i: F.when(x.rlike(r"^\p{Lu}"), F.lit(NAME)).when(x.rlike(r"^\p{N}"), F.lit(NUMBER)).when(
-        x.isin(*UNITS) & F.coalesce(F.get(r, i - 1).rlike(r"^\p{N}"), F.lit(False)), F.lit(UNIT)).otherwise(x)))
+        x.isin(*UNITS) & F.coalesce(F.get(r, i - 1).rlike(r"^\p{N}"), F.lit(False)), F.lit(UNIT)).otherwise(F.lower(x))))
+
+
+def folded(raw: Column) -> Column:
+    """The tokens in lower case, only numbers and units typed."""
+    return let(F.transform(raw, lambda x: F.lower(x)), canonical)
 
 
 def _windows(hashes: Column, size: int) -> Column:
@@ -64,6 +74,13 @@ def window_hashes(tokens: Column, size: int) -> Column:
     return let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: _windows(h, size))
 
 
+def _both(raw: Column, size: int) -> Column:
+    """(at, h) of the typed windows and of the folded ones that differ from them."""
+    at = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("h")))
+    return let(raw, lambda r: let(window_hashes(canonical(r), size), lambda typed: F.concat(
+        at(typed), F.filter(at(window_hashes(folded(r), size)), lambda x: x["h"] != F.get(typed, x["at"])))))
+
+
 def items(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per item its tokens and the size of its windows."""
     raw = benchmark.select("item_id", raw_tokens("text").alias("raw")).filter(F.size("raw") > 0)
@@ -72,11 +89,12 @@ def items(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def item_windows(known: DataFrame, window: int = WINDOW) -> DataFrame:
     """(h, item_id, at, size) of windows with enough literal words, and how many the item has."""
-    hashes = reduce(lambda other, n: F.when(F.col("size") == n, window_hashes(F.col("canon"), n)).otherwise(other), range(1, window), window_hashes(F.col("canon"), window))
-    every = known.select("item_id", "canon", "size", F.posexplode(hashes).alias("at", "h"))
+    of_size = lambda n: _both(F.col("raw"), n)
+    hashes = reduce(lambda other, n: F.when(F.col("size") == n, of_size(n)).otherwise(other), range(1, window), of_size(window))
+    every = known.select("item_id", "canon", "size", F.explode(hashes).alias("w")).select("item_id", "canon", "size", "w.at", "w.h")
     literal = F.size(F.filter(F.slice("canon", F.col("at") + 1, F.col("size")), lambda x: ~x.startswith("<")))
     usable = every.filter(literal * 2 >= F.col("size")).select("h", "item_id", "at", "size")
-    return usable.join(usable.groupBy("item_id").agg(F.count("*").alias("windows")), "item_id")
+    return usable.join(usable.groupBy("item_id").agg(F.countDistinct("at").alias("windows")), "item_id")
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -84,15 +102,27 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _longest(places: Column, size: Column) -> Column:
+    """Tokens of the longest stretch that windows of one diagonal cover without a break."""
+    start = F.struct(*(F.lit(0).alias(n) for n in ("diagonal", "first", "last", "best")))
+
+    def step(acc: Column, p: Column) -> Column:
+        on = (acc["best"] > 0) & (p["diagonal"] == acc["diagonal"]) & (p["at"] - acc["last"] <= size)
+        first = F.when(on, acc["first"]).otherwise(p["at"])
+        return F.struct(p["diagonal"].alias("diagonal"), first.alias("first"), p["at"].alias("last"), F.greatest(acc["best"], p["at"] + size - first).alias("best"))
+
+    return F.aggregate(F.sort_array(places), start, step, lambda acc: acc["best"])
+
+
 def candidates(docs: DataFrame, known: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """(d, c, item_id, places, windows, size, hits): items with enough windows in a document, and where these lie."""
+    """(d, c, item_id, places, windows, size, hits): items with enough windows or a long stretch in a document, and where these lie."""
     wanted = item_windows(known, window)
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # at most ``window`` numbers
     probe = _bounded(wanted, BROADCAST_ROWS)
-    tokens = docs.filter("body is not null").select("d", "c", canonical(raw_tokens("body")).alias("canon"))
+    tokens = docs.filter("body is not null").select("d", "c", raw_tokens("body").alias("raw"))
     hits = None
     for size in sizes:
-        found = (tokens.select("d", "c", F.posexplode(window_hashes(F.col("canon"), size)).alias("pos", "h"))
+        found = (tokens.select("d", "c", F.explode(_both(F.col("raw"), size)).alias("w")).select("d", "c", F.col("w.at").alias("pos"), "w.h")
                  .join(probe.filter(F.col("size") == size), "h").select("d", "c", "item_id", "at", "size", (F.col("pos") - F.col("at")).alias("diagonal"), "windows"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
@@ -101,20 +131,39 @@ def candidates(docs: DataFrame, known: DataFrame, window: int = WINDOW, coverage
     places = F.collect_list(F.struct("diagonal", "at"))
     per = hits.distinct().groupBy("d", "c", "item_id").agg(places.alias("places"), F.first("windows").alias("windows"), F.first("size").alias("size"))
     found = per.withColumn("hits", F.size(F.array_distinct(F.transform("places", lambda x: x["at"]))))
-    return found.filter(F.col("hits") >= F.col("windows") * coverage)
+    # windows at the ends of a run may lack literal words, so less than ``RUN`` is looked at closely
+    return found.filter((F.col("hits") >= F.col("windows") * coverage) | (_longest(F.col("places"), F.col("size")) >= RUN - window))
 
 
 def _slots(item: Column, places: Column, raw: Column) -> Column:
     """Pairs (item's value, document's value) of the slots under matched windows."""
     each = F.transform(places, lambda p: F.transform(F.sequence(p["at"], p["at"] + item["size"] - 1), lambda i: F.struct(
-        F.get(item["raw"], i).alias("of"), F.get(raw, i + p["diagonal"]).alias("to"), F.get(item["canon"], i).alias("kind"))))
+        F.lower(F.get(item["raw"], i)).alias("of"), F.lower(F.get(raw, i + p["diagonal"])).alias("to"), F.get(item["canon"], i).alias("kind"))))
     return F.array_distinct(F.filter(F.flatten(each), lambda x: x["kind"].startswith("<")))
 
 
 def _consistent(pairs: Column) -> Column:
-    kinds = lambda f: F.size(F.array_distinct(F.transform(pairs, f)))
-    both = kinds(lambda p: F.struct(p["of"], p["to"]))
-    return (both == kinds(lambda p: p["of"])) & (both == kinds(lambda p: p["to"]))
+    kinds = lambda of, f: F.size(F.array_distinct(F.transform(of, f)))
+    both = lambda p: F.struct(p["of"], p["to"])
+    others = F.filter(pairs, lambda p: p["kind"] != NUMBER)  # other numbers may happen to be equal
+    return (kinds(pairs, both) == kinds(pairs, lambda p: p["of"])) & (kinds(others, both) == kinds(others, lambda p: p["to"]))
+
+
+def _run(item: Column, raw: Column, canon: Column) -> Column:
+    """Some ``RUN`` tokens in a row match on a diagonal, with consistent slots."""
+
+    def at(n: Column) -> Column:
+        return F.transform(item["raw"], lambda x, i: F.struct(
+            F.lower(x).alias("of"), F.lower(F.get(raw, i + n)).alias("to"), F.get(item["canon"], i).alias("kind"),
+            F.coalesce((F.get(item["canon"], i) == F.get(canon, i + n)) | (F.lower(x) == F.lower(F.get(raw, i + n))), F.lit(False)).alias("same")))
+
+    def holds(part: Column) -> Column:
+        return F.when(F.forall(part, lambda x: x["same"]), _consistent(F.filter(part, lambda x: x["kind"].startswith("<")))).otherwise(F.lit(False))
+
+    starts = F.sequence(F.lit(1), F.size(item["raw"]) - (RUN - 1))
+    diagonals = F.array_distinct(F.transform(item["places"], lambda p: p["diagonal"]))
+    found = F.exists(diagonals, lambda n: let(at(n), lambda all_: F.exists(starts, lambda s: let(F.slice(all_, s, F.lit(RUN)), holds))))
+    return F.when(F.size(item["raw"]) >= RUN, found).otherwise(F.lit(False))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -131,13 +180,16 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         return F.exists(F.array_distinct(F.transform(item["places"], lambda p: p["diagonal"])), lambda n: let(diagonal(n), lambda own: (
             F.size(own) >= item["windows"] * coverage) & let(_slots(item, own, raw), _consistent)))
 
-    def confirmed(raw: Column) -> Column:
+    def enough(item: Column, pairs: Column, raw: Column) -> Column:
+        return (item["hits"] >= item["windows"] * coverage) & (_consistent(pairs) | one_passage(item, raw))
+
+    def confirmed(raw: Column, canon: Column) -> Column:
         return F.filter(F.transform("near", lambda item: let(_slots(item, item["places"], raw), lambda pairs: F.struct(
             item["item_id"].alias("item_id"), item["hits"].alias("hits"), item["windows"].alias("windows"),
             F.exists(pairs, lambda p: p["of"] != p["to"]).alias("changed"),
-            (_consistent(pairs) | one_passage(item, raw)).alias("consistent")))), lambda x: x["consistent"])
+            (enough(item, pairs, raw) | _run(item, raw, canon)).alias("consistent")))), lambda x: x["consistent"])
 
-    leaks = F.when(F.col("near").isNotNull(), let(raw_tokens("body"), confirmed))
+    leaks = F.when(F.col("near").isNotNull(), let(raw_tokens("body"), lambda raw: let(canonical(raw), lambda canon: confirmed(raw, canon))))
     return joined.select(*unkeyed(others(docs, "leaks")), leaks.alias("leaks"))
 
 

@@ -61,3 +61,16 @@ def test_both_join_routes_agree(spark, documents, monkeypatch):
     broad = leaks(decontam.flag(docs, bench(spark, [(7, QUESTION)])))
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     assert leaks(decontam.flag(docs, bench(spark, [(7, QUESTION)]))) == broad != set()
+
+
+STORY = ("Old Peter the miller fills the hopper with 30 kg of rye before the Sunday market and then he opens the sluice and waits until the stone turns fast enough to grind it "
+         "fine while his daughter Ruth counts the sacks that the farmers left at the gate and writes the sum of 12 coins in the long grey book of the house for Peter to read")
+
+
+def test_runs_case_and_single_conflicts_are_caught(spark, documents):
+    words = STORY.split()
+    part = " ".join(words[13:33])  # twenty words are far below half of the windows
+    docs = [(1, f"before that {part} and so on"), (2, STORY.lower()), (3, STORY.upper()), (4, STORY.title()), (5, STORY.replace("for Peter", "for Paul")),
+            (6, STORY.replace("30 ", "12 ")), (7, "x " + " ".join(words[13:25]) + " y"), (8, QUESTION.upper())]
+    want = {(1, 7, False), (2, 7, False), (3, 7, False), (4, 7, False), (5, 7, True), (6, 7, True), (8, 8, False)}
+    assert leaks(decontam.flag(documents(docs), bench(spark, [(7, STORY), (8, QUESTION)]))) == want
