@@ -1,15 +1,15 @@
 """Line dedup by winnowing over line hashes.
 
-A window is a span of consecutive lines that just reaches ``min_words`` words. Each
-window selects its smallest line hash as anchor, so a repeated run of that many
-words always has a fingerprint: (anchor, content of the window). Fingerprint
-positions are joined to their first occurrence in document order (smallest id, then
-content hash, then line); matches on one diagonal are one match. On it equal lines
-are followed both ways, and each run of ``min_words`` words or more is deleted from
-the later place.
+A window is a span of consecutive lines that just reaches ``min_words`` words, seen
+from its first line or from its last. Each window selects its smallest line hash as
+anchor, so a repeated run of that many words always has a fingerprint: (anchor,
+content of the window). Every line of such a run lies in a window that starts at it or
+in the one that ends with the run, so deleting each window whose fingerprint has an
+earlier place in document order (smallest id, then content hash, then line) deletes
+all of the run and nothing else, wherever its parts were seen before.
 
 Lines without a word are left out of runs and stay in the text unless they lie
-inside a deleted run. A run may repeat an earlier place of its own document; the
+inside a deleted run or between two. A run may repeat an earlier place of its own document; the
 first copy stays.
 
 Only line hashes are shuffled until the end, where deletions meet the texts once.
@@ -44,59 +44,58 @@ def line_arrays(rows: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per window: anchor (smallest line hash), content, and the window's first line.
+    """One row per window: anchor (smallest line hash), content, and the window's first and last line.
 
     A line has a word at least, so a window never spans more than ``min_words`` lines.
     """
 
-    def reach(n: Column, i: Column) -> Column:
-        grow = F.aggregate(F.slice(n, i + 1, F.lit(min_words)), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("len")),
+    def reach(part: Column) -> Column:
+        grow = F.aggregate(part, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("len")),
                            lambda acc, x: F.when(acc["sum"] >= min_words, acc).otherwise(
                                F.struct((acc["sum"] + x).alias("sum"), (acc["len"] + 1).alias("len"))))
-        return F.when(F.get(n, i) >= min_words, F.lit(1)).otherwise(let(grow, lambda g: F.when(g["sum"] >= min_words, g["len"])))
+        return let(grow, lambda g: F.when(g["sum"] >= min_words, g["len"]))
 
-    def window(h: Column, i: Column, length: Column) -> Column:
-        return let(F.slice(h, i + 1, length), lambda part: F.struct(
-            F.array_min(part).alias("anchor"), F.xxhash64(part).alias("content"), i.alias("i")))
+    def window(first: Column, length: Column) -> Column:
+        return F.when(length.isNotNull(), let(F.slice("h", first + 1, length), lambda part: F.struct(
+            F.array_min(part).alias("anchor"), F.xxhash64(part).alias("content"), first.alias("i"), (first + length - 1).alias("j"))))
 
-    found = F.transform("h", lambda _, i: let(reach(F.col("n"), i), lambda size: F.when(size.isNotNull(), window(F.col("h"), i, size))))
-    return lines.select("d", "c", F.explode(F.filter(found, lambda w: w.isNotNull())).alias("w")).select("d", "c", "w.*")
+    def from_line(n: Column, i: Column) -> Column:
+        length = F.when(n >= min_words, F.lit(1)).otherwise(reach(F.slice("n", i + 1, F.lit(min_words))))
+        return let(length, lambda size: window(i, size))
 
+    def to_line(n: Column, i: Column) -> Column:
+        some = F.least(i + 1, F.lit(min_words))
+        length = F.when(n < min_words, reach(F.reverse(F.slice("n", i - some + 2, some))))  # a line that is a window is one already
+        return let(length, lambda size: window(i - size + 1, size))
 
-def diagonals(found: DataFrame) -> DataFrame:
-    """Pairs of a document and an earlier place with a window in common: (d, c, d0, c0, delta)."""
-    first = (found.groupBy("anchor", "content").agg(F.min(F.struct("d", "c", "i")).alias("o"), F.count("*").alias("times"))
-             .filter("times > 1").select("anchor", "content", F.col("o.d").alias("d0"), F.col("o.c").alias("c0"), F.col("o.i").alias("i0")))
-    later = found.join(first, ["anchor", "content"]).filter("not (d = d0 and c = c0 and i = i0)")
-    return later.select("d", "c", "d0", "c0", (F.col("i") - F.col("i0")).alias("delta")).distinct()
+    found = F.array_distinct(F.array_compact(F.concat(F.transform("n", from_line), F.transform("n", to_line))))
+    return lines.select("d", "c", F.explode(found).alias("w")).select("d", "c", "w.*")
 
 
-def spans(lines: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def spans(lines: DataFrame, found: DataFrame) -> DataFrame:
     """Per document the runs to delete, as places (a, b) among all its lines, both included."""
-    origin = lines.select(F.col("d").alias("d0"), F.col("c").alias("c0"), F.col("h").alias("h0"))
-    both = found.join(lines, ["d", "c"]).join(origin, ["d0", "c0"])
-    marks = F.transform("h", lambda x, i: F.struct(F.coalesce((x == F.get("h0", i - F.col("delta"))) & (i >= F.col("delta")), F.lit(False)).alias("same"),
-                                                   F.get("n", i).alias("n"), i.alias("i")))
-    empty = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("runs"), F.lit(0).alias("start"), F.lit(0).alias("sum"))
-
-    def close(acc: Column, end: Column) -> Column:
-        run = F.array(F.struct(F.get("at", acc["start"]).alias("a"), F.get("at", end).alias("b")))
-        return F.when(acc["sum"] >= min_words, F.concat(acc["runs"], run)).otherwise(acc["runs"])
+    first = (found.groupBy("anchor", "content").agg(F.min(F.struct("d", "c", "i")).alias("o"), F.count("*").alias("times"))
+             .filter("times > 1").select("anchor", "content", F.col("o.d").alias("d0"), F.col("o.c").alias("c0"), F.col("o.i").alias("i0")))
+    later = found.join(first, ["anchor", "content"]).filter("not (d = d0 and c = c0 and i = i0)")
+    each = later.groupBy("d", "c").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("seen"))
+    empty = F.array().cast("array<struct<i:int,j:int>>")
 
-    def step(acc: Column, m: Column) -> Column:
-        return F.when(m["same"], F.struct(acc["runs"].alias("runs"), acc["start"].alias("start"), (acc["sum"] + m["n"]).alias("sum"))).otherwise(
-            F.struct(close(acc, m["i"] - 1).alias("runs"), (m["i"] + 1).alias("start"), F.lit(0).alias("sum")))
+    def step(runs: Column, w: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        grown = F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(last["i"].alias("i"), F.greatest(last["j"], w["j"]).alias("j"))))
+        return F.when((F.size(runs) > 0) & (last["j"] >= w["i"] - 1), grown).otherwise(F.concat(runs, F.array(w)))
 
-    runs = F.aggregate(marks, empty, step, lambda acc: close(acc, F.size("h") - 1))
-    each = both.select("d", "c", F.explode(runs).alias("run")).distinct()
-    return each.groupBy("d", "c").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    merged = each.select("d", "c", F.aggregate("seen", empty, step).alias("seen"))
+    place = lambda k: F.get("at", k)
+    return merged.join(lines.select("d", "c", "at"), ["d", "c"]).select(
+        "d", "c", F.transform("seen", lambda w: F.struct(place(w["i"]).alias("a"), place(w["j"]).alias("b"))).alias("runs"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut from ``text``; ``deleted_lines`` counts the lines that went."""
     rows = keyed(docs)
     lines = written(line_arrays(rows), "lines")
-    runs = spans(lines, diagonals(windows(lines, min_words)), min_words)
+    runs = spans(lines, windows(lines, min_words))
     joined = rows.join(runs, ["d", "c"], "left")
     inside = lambda k: F.exists("runs", lambda r: k.between(r["a"], r["b"]))
     cut = F.filter(F.split("body", "\n", -1), lambda _, k: ~inside(k))

@@ -81,3 +81,30 @@ def test_stage_drops_what_was_nothing_else(spark, documents):
     text = "word " * 60
     rows = linededup.stage(spark, documents([(1, text), (2, text), (3, f"mine\n{text}"), (4, "")]), SF)
     assert {r.doc_id: r.text for r in rows.collect()} == {1: text, 3: "mine", 4: ""} and rows.columns == documents([]).columns
+
+
+def test_tail_goes_when_the_first_place_is_shorter(spark, documents):
+    """The head is matched with document 0, the whole run with document 1: the tail goes from every later copy."""
+    head, tail = "p " * 60, "t " * 40
+    docs = [(0, f"{head}\nz")] + [(i, f"{head}\n{tail}\nown {i}") for i in range(1, 5)]
+    left = {r.doc_id: r.text for r in linededup.dedup(documents(docs)).collect()}
+    assert left == {0: docs[0][1], 1: f"{tail}\nown 1"} | {i: f"own {i}" for i in range(2, 5)}
+
+
+def test_random_lines_against_every_earlier_run(spark, documents):
+    """A line goes if it lies in some run of enough words that has an earlier place."""
+    rng = random.Random(4)
+    pool = [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 4))) for _ in range(7)]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(120)]
+    seen, want = set(), []
+    for i, text in docs:
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:b])
+                if sum(len(x.split()) for x in run) >= 6:
+                    if run in seen:
+                        gone.update(range(a, b))
+                    seen.add(run)
+        want.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    same(linededup.dedup(documents(docs), 6), want)
