@@ -148,8 +148,8 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that follow from plain conversations.
 
     Each assistant turn makes a call whose arguments are its first words and its length;
-    the next turn, if it is another's, is the result. Two of three calls build on the
-    call two turns before.
+    the next turn, if it is another's or nobody's (null role), is the result. Two of three
+    calls build on the call two turns before. A turn without a number has no call id.
     """
     name = lambda turn: F.concat("conv_id", F.lit("-"), turn)
     size = F.length(F.coalesce("text", F.lit("")))
@@ -158,7 +158,7 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.element_at(F.array(*map(F.lit, TOOLS)), (F.pmod("turn", F.lit(3)) + 1).cast("int")).alias("tool"),
         F.to_json(F.struct(F.substring_index("text", " ", 8).alias("query"), F.pmod(size, F.lit(97)).alias("limit"))).alias("arguments"),
         F.when(F.pmod(F.col("turn") + F.col("conv_id"), F.lit(3)) > 0, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"))
-    results = turns.filter("role <> 'assistant' and turn > 0").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = turns.filter("coalesce(role, '') <> 'assistant' and (turn > 0 or turn is null)").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

@@ -62,3 +62,11 @@ def test_query_against_brute_force(spark):
         want[k] = ("no_result" if k not in results else "bad_arguments" if bad else "ok", level(k), line)
     got = {r.call_id: (r.status, r.level, r.line if r.turn is not None else None) for r in chat.op3_tool_calls(spark, SF).collect()}
     assert got == want
+
+
+def test_turns_without_role_or_number_have_a_row(spark):
+    turns = spark.createDataFrame([(1, 1, "assistant", "hello there"), (1, 2, None, "answer"), (1, 4, None, "lone"), (1, None, "user", "when"), (1, None, "assistant", "what")],
+                                  "conv_id long, turn long, role string, text string")
+    rows = chat.link(*chat.from_turns(turns), chat.SCHEMAS).collect()
+    assert sorted((str(r.call_id), r.status) for r in rows) == [("1-1", "ok"), ("1-3", "no_call"), ("None", "no_id"), ("None", "no_id")]
+    assert [r.line for r in rows if r.call_id == "1-1"][0].endswith('"result":"answer"}')
