@@ -99,7 +99,7 @@ CAUSED AND ON ANY THEORY OF LIABILITY.
 
 
 def test_published_texts_wrapped_and_unwrapped(spark, documents):
-    """Whole licence texts, unshortened, as they are wrapped in files and with every paragraph on one line."""
+    """MIT, the Apache and GPL notices and BSD (the end of its last sentence shortened), as they are wrapped in files and with every paragraph on one line."""
     import re
     texts = {"MIT": MIT_FULL, "Apache": APACHE_FULL, "GPL-or-later": GPL_FULL, "BSD-2-Clause": BSD_FULL + BSD_END, "BSD-3-Clause": BSD_FULL + BSD_NAMES + BSD_END}
     unwrapped = {k: re.sub(r"(?<!\n)\n(?!\n)", " ", re.sub(r"(?m)^[# ]+", "", t)) for k, t in texts.items()}
