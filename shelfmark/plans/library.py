@@ -1,7 +1,7 @@
 """The library: build and maintain the index, and answer questions from it.
 
 Tables under one root, in append-only segments by batch and hash bucket of the book
-id: ``parents``, ``children`` (with vectors), ``postings``, ``terms`` (document
+id: ``parents``, ``children`` (with vectors), ``postings`` (in blocks), ``terms`` (document
 frequencies), ``corpus`` (counts) and ``books`` (what each batch holds).  A batch
 counts from the moment its one-row entry is in ``log``, which is written last; a
 run that dies before leaves folders nothing reads, and its books are indexed by the
@@ -22,7 +22,6 @@ from shelfmark.operators import bookmaps, fusion, keyword, structure
 from shelfmark.schemas import CHILDREN_DDL, PARENTS_DDL, TOP_K
 from shelfmark.sources import tables
 
-POSTINGS_DDL = "term string, id string, book_id string, author string, tf int, dl int"
 TERMS_DDL = "term string, df bigint"
 CORPUS_DDL = "n bigint, total_dl bigint"
 SETTINGS_DDL = "embedder string, dims int, buckets int"
@@ -86,8 +85,10 @@ class Library:
         return newest.select("book_id", "v.batch", "v.parents", "v.children")
 
     def _alive(self, name: str, ddl: str) -> DataFrame:
-        """Rows of the newest versions; the join is skipped while no book was ever replaced."""
-        rows = self._committed(name, ddl)
+        return self._newest(self._committed(name, ddl))
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """Rows (book_id, batch, ...) of the newest versions; the join is skipped while no book was ever replaced."""
         if not sum(r.replaced for r in self.log()):
             return rows
         every = self._committed("books", BOOKS_DDL).select("book_id", "batch")
@@ -101,7 +102,7 @@ class Library:
         return self._alive("children", CHILDREN_DDL).drop("batch")
 
     def postings(self) -> DataFrame:
-        return self._alive("postings", POSTINGS_DDL).drop("batch")
+        return self._newest(keyword.entries(self._committed("postings", keyword.BLOCKS_DDL), "batch", "bucket")).drop("batch")
 
     def indexed_books(self) -> DataFrame:
         """Every indexed book id; no cap on how many are recognised."""
@@ -149,10 +150,16 @@ class Library:
         tables.write_segment(rows, self._path(name), batch, sort)
         return tables.open_segments(self.spark, self._path(name), ddl).where(F.col("batch") == batch).drop("batch")
 
+    def _blocks_of(self, batch: str, parents: DataFrame) -> DataFrame:
+        placed = keyword.placed_postings(parents, ("bucket",))
+        # numbers of blocks start anew in every batch
+        placed = placed.withColumn("block", F.xxhash64(F.lit(batch), "block"))
+        return self._segment_of("postings", keyword.BLOCKS_DDL, batch, keyword.in_blocks(placed, ("bucket",)), ["term", "block"])
+
     def _add_keywords(self, batch: str, parents: DataFrame, new_ids: DataFrame) -> None:
         """Postings and statistics of a batch, with negative statistics for the versions it replaces."""
-        index = self._segment_of("postings", POSTINGS_DDL, batch, keyword.postings(parents, ("id", "book_id", "author", "bucket")), ["term", "id"])
-        terms, corpus = keyword.term_stats(index, "bucket"), keyword.corpus_stats(parents, "bucket")
+        index = self._blocks_of(batch, parents)
+        terms, corpus = keyword.block_stats(index, "bucket"), keyword.corpus_stats(parents, "bucket")
         if self.log():
             gone = new_ids.join(self.versions().where("parents > 0").select("book_id"), "book_id", "left_semi")
             old_terms = keyword.term_stats(self.postings().join(gone, "book_id", "left_semi"), "bucket")
@@ -184,8 +191,7 @@ class Library:
         ids = self.versions().select("book_id")
         parents = self._segment_of("parents", PARENTS_DDL, batch, self.parents(), ["id"])
         children = self._segment_of("children", CHILDREN_DDL, batch, self.children(), ["id"])
-        index = self._segment_of("postings", POSTINGS_DDL, batch, self.postings(), ["term", "id"])
-        self._segment_of("terms", TERMS_DDL, batch, keyword.term_stats(index, "bucket"), ["term"])
+        self._segment_of("terms", TERMS_DDL, batch, keyword.block_stats(self._blocks_of(batch, parents), "bucket"), ["term"])
         self._segment_of("corpus", CORPUS_DDL, batch, keyword.corpus_stats(parents, "bucket"), [])
         self._commit(batch, ids, parents, children, base=True)
 
@@ -214,11 +220,12 @@ class Library:
         return self.parents().join(fusion.small(ranked, rows), ["bucket", "id"]).drop("bucket")
 
     def keyword_list(self, query: str, n: int, book_id: str | None, author: str | None) -> DataFrame:
-        """Ranked keyword hits."""
-        scored = keyword.score_postings(
-            self._segment(self.postings(), book_id), self._committed("terms", TERMS_DDL), self._committed("corpus", CORPUS_DDL),
-            keyword.query_terms(query), book_id, author, carry=("bucket",))
-        return fusion.numbered(keyword.top_scores(scored, n), F.desc("_score"), "id")
+        """Ranked keyword hits; filters and replaced books are taken out of the blocks that are read."""
+        blocks = self._segment(self._committed("postings", keyword.BLOCKS_DDL), book_id).where(F.col("term").isin(keyword.query_terms(query)))
+        ranking = keyword.BlockRanking(
+            blocks, self._committed("terms", TERMS_DDL), self._committed("corpus", CORPUS_DDL), self.spark.createDataFrame([(0, query)], "qid int, text string"), n,
+            visible=lambda rows: self._newest(keyword.apply_filters(rows, book_id, author)), carry=("bucket", "batch"))
+        return ranking.best().select("id", "bucket", "_score", F.col("place").alias("rn"))
 
     def vector_list(self, vector: list[float], n: int, book_id: str | None, author: str | None) -> DataFrame:
         near = fusion.nearest(self._segment(self.children(), book_id), vector, n, book_id, author, carry=("bucket",))
