@@ -7,12 +7,13 @@ is ever gathered in one task. Arguments are parsed and checked against the tool'
 schema, and each linked call is written as one line of canonical JSON (sorted keys,
 no blanks, UTF-8). Lines sort by (conversation, level, turn, call id).
 
-Defined cases: a call or result without an id is never linked (``no_id``); of
+Defined cases: a call or result without an id or a conversation is never linked (``no_id``); of
 repeated ids the one with the smallest turn counts and ``repeats`` says how many
 there were; a call without result is ``no_result``, a result without call
 ``no_call``; a dependency on an unknown call is ignored and counted in
 ``missing``; calls on a cycle have a null level and status ``cycle``; null, empty or
-broken arguments are an error of the arguments; an empty table gives no rows; other
+broken arguments, numbers beyond a double and halves of surrogate pairs among them, are an
+error of the arguments and go into the line as they came; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -76,6 +77,7 @@ def _line(call_id: str | None, tool: str | None, arguments: str | None, content:
     try:
         parsed = json.loads(arguments or "", parse_constant=lambda _: 1 / 0)
         errors = violations(parsed, schemas[tool]) if tool in schemas else [f"$: no schema for {tool}"]
+        canonical(parsed).encode()  # numbers beyond a double and halves of surrogate pairs have no JSON text in UTF-8
     except (ValueError, ZeroDivisionError, RecursionError):
         parsed, errors = arguments, ["$: not JSON"]
     return canonical({"id": call_id, "name": tool, "arguments": parsed, "result": content}), "; ".join(errors)
@@ -92,7 +94,7 @@ def _lines(schemas: dict) -> Column:
 
 def first_of(rows: DataFrame, values: list[str]) -> DataFrame:
     """One row per (conversation, id): the one with the smallest turn (then values); combined on the map side."""
-    least = rows.filter("call_id is not null").groupBy(*KEY).agg(F.min(F.struct("turn", *values)).alias("v"), F.count("*").alias("repeats"))
+    least = rows.filter("call_id is not null and conv_id is not null").groupBy(*KEY).agg(F.min(F.struct("turn", *values)).alias("v"), F.count("*").alias("repeats"))
     return least.select(*KEY, "v.*", "repeats")
 
 
@@ -125,10 +127,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     got = first_of(results, ["content"]).select(*KEY, F.col("turn").alias("result_turn"), "content", F.lit(True).alias("answered"))
     level, missing = levels(made)
     both = made.withColumn("called", F.lit(True)).join(got, KEY, "full_outer").join(level, KEY, "left").join(missing, KEY, "left")
-    nameless = calls.filter("call_id is null").select(*KEY, "turn", "tool", "arguments").unionByName(
-        results.filter("call_id is null").select(*KEY, F.col("turn").alias("result_turn"), "content"), allowMissingColumns=True)
+    nameless = calls.filter("call_id is null or conv_id is null").select(*KEY, "turn", "tool", "arguments").unionByName(
+        results.filter("call_id is null or conv_id is null").select(*KEY, F.col("turn").alias("result_turn"), "content"), allowMissingColumns=True)
     rows = both.drop("after").unionByName(nameless, allowMissingColumns=True).withColumn("w", _lines(schemas))
-    status = (F.when(F.col("call_id").isNull(), "no_id").when(F.col("called").isNull(), "no_call").when(F.col("level").isNull(), "cycle")
+    status = (F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "no_id").when(F.col("called").isNull(), "no_call").when(F.col("level").isNull(), "cycle")
               .when(F.col("answered").isNull(), "no_result").when(F.col("w.errors") != "", "bad_arguments").otherwise("ok"))
     return rows.select(*KEY, "turn", "result_turn", "tool", "level", F.coalesce("repeats", F.lit(0)).alias("repeats"),
                        F.coalesce("missing", F.lit(0)).alias("missing"), status.alias("status"),
@@ -138,7 +140,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 TOOLS = ("search", "lookup", "sum")
 SCHEMAS = {
     "search": {"type": "object", "required": ["query"], "additionalProperties": False,
-               "properties": {"query": {"type": "string", "maxLength": 60}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}}},
+               "properties": {"query": {"type": "string", "maxLength": 1200}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}}},
     "lookup": {"type": "object", "required": ["query", "limit"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 5}}},
     "sum": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "number", "maximum": 90}}},
 }
@@ -156,9 +158,9 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = turns.filter("role = 'assistant'")
     calls = said.select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.element_at(F.array(*map(F.lit, TOOLS)), (F.pmod("turn", F.lit(3)) + 1).cast("int")).alias("tool"),
-        F.to_json(F.struct(F.substring_index("text", " ", 8).alias("query"), F.pmod(size, F.lit(97)).alias("limit"))).alias("arguments"),
+        F.to_json(F.struct(F.col("text").alias("query"), F.pmod(size, F.lit(97)).alias("limit"))).alias("arguments"),
         F.when(F.pmod(F.col("turn") + F.col("conv_id"), F.lit(3)) > 0, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"))
-    results = turns.filter("coalesce(role, '') <> 'assistant' and (turn > 0 or turn is null)").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = turns.filter("coalesce(role, '') <> 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

@@ -47,8 +47,8 @@ def test_query_against_brute_force(spark):
     calls, results = {}, {}
     for c, t, role, text in turns:
         if role == "assistant":
-            calls[f"{c}-{t}"] = (c, t, chat.TOOLS[t % 3], {"query": " ".join(text.split(" ")[:8]), "limit": len(text) % 97}, f"{c}-{t - 2}" if (t + c) % 3 else None)
-        elif t > 0:
+            calls[f"{c}-{t}"] = (c, t, chat.TOOLS[t % 3], {"query": text, "limit": len(text) % 97}, f"{c}-{t - 2}" if (t + c) % 3 else None)
+        else:
             results[f"{c}-{t - 1}"] = text
     level = lambda k: 0 if calls[k][4] not in calls else 1 + level(calls[k][4])
     want = {}
@@ -70,3 +70,20 @@ def test_turns_without_role_or_number_have_a_row(spark):
     rows = chat.link(*chat.from_turns(turns), chat.SCHEMAS).collect()
     assert sorted((str(r.call_id), r.status) for r in rows) == [("1-1", "ok"), ("1-3", "no_call"), ("None", "no_id"), ("None", "no_id")]
     assert [r.line for r in rows if r.call_id == "1-1"][0].endswith('"result":"answer"}')
+
+
+def test_every_turn_is_in_a_row_with_its_whole_text(spark):
+    long = "very " * 300_000
+    turns = [(1, 0, "system", "be kind"), (1, 1, "assistant", long), (1, 2, "user", None), (2, 0, "user", ""), (None, 1, "assistant", "lost"), (None, 2, "user", "too")]
+    rows = chat.link(*chat.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")), chat.SCHEMAS).collect()
+    got = {(r.conv_id, r.turn, r.result_turn): r for r in rows}
+    assert {k: r.status for k, r in got.items()} == {
+        (1, None, 0): "no_call", (1, 1, 2): "ok", (2, None, 0): "no_call", (None, 1, None): "no_id", (None, None, 2): "no_id"}
+    assert json.loads(got[1, 1, 2].line)["arguments"]["query"] == long and json.loads(got[1, None, 0].line)["result"] == "be kind"
+
+
+def test_arguments_that_have_no_json_text(spark):
+    broken = ['{"a": 1e999}', '{"a": "\\ud800"}', "[" * 100_000, "{", '{"a": NaN}', ""]
+    rows = linked(spark, [(1, f"c{i}", i, "f", x, []) for i, x in enumerate(broken)], [])
+    assert len(rows) == len(broken) and {r.errors for r in rows} == {"$: not JSON"} and {r.status for r in rows} == {"no_result"}
+    assert {json.loads(r.line)["arguments"] for r in rows} == set(broken)

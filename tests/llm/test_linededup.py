@@ -1,6 +1,5 @@
 import random
 import re
-from collections import defaultdict
 
 import duckdb
 
@@ -11,33 +10,32 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(docs, least=50):
-    """Texts and deleted lines; ``docs`` in document order with distinct keys."""
-    lines = [[(k, x, len(WORD.findall(x))) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)] for _, t in docs]
-    first, diagonals = {}, set()
-    for d, ls in enumerate(lines):
-        for i in range(len(ls)):
-            total, j = 0, i
-            while j < len(ls) and total < least:
-                total += ls[j][2]
-                j += 1
-            if total < least:
-                continue
-            key = tuple(x[1] for x in ls[i:j])
-            if key in first:
-                diagonals.add((d, first[key][0], i - first[key][1]))
-            else:
-                first[key] = (d, i)
-    gone = defaultdict(set)
-    for d, o, delta in diagonals:
-        a, b, run = lines[d], lines[o], []
-        for i in range(len(a) + 1):
-            if i < len(a) and 0 <= i - delta < len(b) and a[i][1] == b[i - delta][1]:
-                run.append(i)
-                continue
-            if sum(a[k][2] for k in run) >= least:
-                gone[d].update(range(a[run[0]][0], a[run[-1]][0] + 1))
-            run = []
-    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]), len(gone[d])) for d, (i, t) in enumerate(docs)]
+    """Texts and deleted lines; ``docs`` in document order with distinct keys.
+
+    A line goes if it lies in a run of at least ``least`` words that has an earlier place,
+    and so do blank lines between two neighbours that go. Runs with a shorter one of enough
+    words at both ends add nothing.
+    """
+    seen, out = set(), []
+    for doc_id, t in docs:
+        every = (t or "").split("\n")
+        lines = [(k, x, len(WORD.findall(x))) for k, x in enumerate(every) if WORD.search(x)]
+        gone = set()
+        for a in range(len(lines)):
+            total = 0
+            for b in range(a, len(lines)):
+                total += lines[b][2]
+                if total < least:
+                    continue
+                run = tuple(x[1] for x in lines[a:b + 1])
+                if run in seen:
+                    gone.update(range(a, b + 1))
+                seen.add(run)
+                if total - lines[a][2] >= least and total - lines[b][2] >= least:
+                    break
+        places = {p for k in gone for p in range(lines[k][0], lines[k + 1][0] if k + 1 in gone else lines[k][0] + 1)}
+        out.append((doc_id, None if t is None else "\n".join(x for k, x in enumerate(every) if k not in places), len(places)))
+    return out
 
 
 def same(df, want):

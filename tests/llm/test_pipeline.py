@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "decontamination", "packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in checks.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in checks.queries()) == list(range(1, 14))
     assert checks.oracle_sql().keys() <= checks.queries().keys()
 
 
