@@ -127,7 +127,7 @@ def test_map_generation(spark, tmp_path):
 
     def model(kind, prompt):
         calls.add(1)
-        if kind == "chapter" and "\nNumber 2, titled: Chapter 1\n" in prompt:
+        if kind == "chapter" and "titled: Chapter 1\n" in prompt:
             raise RuntimeError("quota")
         if kind == "chapter":
             return {"title": "t", "summary": prompt.split("\n")[0]}, {"prompt_tokens": 10, "completion_tokens": 1}
@@ -135,17 +135,18 @@ def test_map_generation(spark, tmp_path):
 
     folder = str(tmp_path / "maps")
     cost = make_maps(spark, books, folder, model).first()
-    assert calls.value == B.prompts(books).count() == 8  # each prompt is paid once
-    assert (cost.prompt_tokens, cost.completion_tokens) == (15 + 50 - 10, 4)
+    assert calls.value == B.prompts(books).count() == 9  # each prompt is paid once; by default no chapter is left out
+    assert B.prompts(books, min_body=200).count() == 8  # the empty chapter is
+    assert (cost.prompt_tokens, cost.completion_tokens) == (15 + 60 - 10, 5)
     got = {r.id: r for r in files.generated_maps(spark, folder).collect()}
-    assert [c.number for c in got["long"].chapters] == [1, 2, 3]
-    assert got["long"].chapters[1].summary == "[Error: quota]" and got["long"].chapters[1].title == "Chapter 1"
+    assert [c.number for c in got["long"].chapters] == [1, 2, 3, 4]
+    assert got["long"].chapters[2].summary == "[Error: quota]" and got["long"].chapters[2].title == "Chapter 1"
     assert (got["long"].author, got["long"].title, got["long"].source_md) == ("Me", "long", "markdown/long.md")
     assert got["short"].title == "book" and got["short"].author is None
     assert [c.number for c in got["flat"].chapters] == [1, 2] and got["flat"].author == "Me"
     sent = {(r.book_id, r.kind, r.number): r.prompt for r in B.prompts(books).collect()}
     assert sum(sent[("flat", "chapter", n)].count("z") for n in (1, 2)) == 100_001
-    assert "  2. Chapter 1" in sent[("long", "overview", 0)] and sent[("long", "overview", 0)].endswith(long)
+    assert "  3. Chapter 1" in sent[("long", "overview", 0)] and sent[("long", "overview", 0)].endswith(long)
     assert len(B.prompts(books, opening=10).where("kind = 'overview' and book_id = 'long'").first().prompt) < 300
     again = make_maps(spark, books, folder, model).first()
     assert again.prompt_tokens is None  # nothing left to do
