@@ -99,24 +99,24 @@ def source_file(name: Column) -> Column:
     return F.concat(F.lit("source"), suffix(name))
 
 
-def triage(prints: DataFrame, probes: DataFrame, staged: DataFrame) -> DataFrame:
-    """Files (path, name, modification_time, sha256) -> routed rows, unsupported ones included.
+def routed(rows: DataFrame) -> DataFrame:
+    """Files (path, name, modification_time, sha256 and the probe's columns) -> staged rows, unsupported ones included.
 
     Rows with a null ``staging_category`` belong in quarantine.
     """
-    fresh = unseen(first_copies(prints), staged)
-    rows = fresh.join(
-        probes.select(F.col("file").alias("path"), F.col("classification").alias("probed"),
-                      F.struct("avg_chars_per_page", "sampled_pages", "total_pages",
-                               "classification").alias("probe")),
-        "path", "left")
-    kind = classification(F.col("name"), F.col("probed"))
+    kind = classification(F.col("name"), F.col("classification"))
+    probe = F.struct("avg_chars_per_page", "sampled_pages", "total_pages", "classification")
     return rows.select(
         F.col("sha256").alias("folder_id"), "sha256", "path",
         F.col("name").alias("original_name"), file_type(F.col("name")).alias("file_type"),
-        kind.alias("classification"), staging_area(kind).alias("staging_category"), "probe",
-        "modification_time",
-    )
+        kind.alias("classification"), staging_area(kind).alias("staging_category"),
+        F.when(F.col("classification").isNotNull(), probe).alias("probe"), "modification_time")
+
+
+def triage(prints: DataFrame, probes: DataFrame, staged: DataFrame) -> DataFrame:
+    """Route files (path, name, modification_time, sha256) that are no copies, with the probes of those that have one."""
+    fresh = unseen(first_copies(prints), staged)
+    return routed(fresh.join(probes.withColumnRenamed("file", "path"), "path", "left"))
 
 
 def quality_gate(text: Column, pages: Column) -> Column:

@@ -4,26 +4,38 @@ Each step reads one table, drops what its own output table already holds
 (anti-join on the folder id) and appends the rest.  A step that dies half-way is
 simply run again; nothing is locked and nothing is lost.  The steps are
 
-    files -> staged / quarantined -> raw -> clean -> indexed -> delivered / done
+    files -> staged / quarantined -> raw -> clean -> named -> indexed | sent | archived -> done
+
+The last three are branches: they run side by side, none waits for or stops another,
+and each leaves a row per book and run in ``branches``.  Calls that cost money or have an
+effect (models, page conversion, mail) keep their results in a ledger, one by one, so
+neither a repeated task nor a run that died makes them again.
 """
 
 from __future__ import annotations
 
+import logging
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import InheritableThread, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import book_slug, stem
 from shelfmark.models import Embedder
 from shelfmark.operators import bookmaps, cleaning, conversion, delivery as D, staging as G, triage as T
 from shelfmark.plans.library import Library
-from shelfmark.schemas import LOCAL_PAGE_BATCH
-from shelfmark.sources import readers, tables
+from shelfmark.schemas import BOOK_MAP_DDL, CLOUD_PAGE_BATCH, LOCAL_PAGE_BATCH
+from shelfmark.sources import files, readers, tables
 from shelfmark.sources.config import Cleanup, Kindle
+from shelfmark.sources.ledger import Ledger, key_of, opened
 from shelfmark.session import shared_dir
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+log = logging.getLogger(__name__)
+
 STAGED_DDL = (
     "folder_id string, sha256 string, path string, original_name string, file_type string, classification string, "
     "staging_category string, probe struct<avg_chars_per_page:double,sampled_pages:int,total_pages:int,classification:string>, "
@@ -32,7 +44,10 @@ RAW_DDL = "folder_id string, raw_text string, page_count int, raw_chars int, cha
 CLEAN_DDL = ("folder_id string, clean_text string, quality_score double, cleanup_method string, clean_chars int, "
              "quality_score_after_repair double")
 RANGES_DDL = "file string, part int, text string, error string"
-INDEXED_DDL = "folder_id string, book_id string"
+NAMED_DDL = INDEXED_DDL = "folder_id string, book_id string"
+ARCHIVED_DDL = "folder_id string, copied_to string, error string"
+BRANCHES_DDL = "folder_id string, branch string, ok boolean, error string, at timestamp"
+BRANCHES = ("index", "deliver", "archive")
 DONE_DDL = ("folder_id string, book_id string, sha256 string, path string, original_name string, file_type string, "
             "classification string")
 SENT_DDL = "folder_id string, sent boolean, outbox_name string"
@@ -48,13 +63,26 @@ class Readers:
     epub: Callable[[bytes], str] = readers.epub_markdown
     # (content, first page, stop page) -> text: native PDFs are then converted by ranges that are stored one by one.
     page_range: Callable[[bytes, int, int], str] | None = None
+    # The same for the cloud converter, in longer ranges.
+    cloud_range: Callable[[bytes, int, int], str] | None = None
+
+
+def copy_file(path: str, folder: str) -> str:
+    """Copy a file below ``folder`` from a task; copying it again changes nothing."""
+    from pyarrow import fs
+
+    (source, at), (target, root) = opened(path), opened(folder)
+    target.create_dir(root, recursive=True)
+    to = f"{root.rstrip('/')}/{at.rsplit('/', 1)[-1]}"
+    fs.copy_files(at, to, source_filesystem=source, destination_filesystem=target)
+    return to
 
 
 class Ingest:
     def __init__(self, spark: SparkSession, root: str, library: Library | None = None,
                  services: Readers = Readers(), cleanup: Cleanup = Cleanup(), kindle: D.Delivery | None = None,
                  normalize: cleaning.Rewrite | None = None, repair: cleaning.Rewrite | None = None,
-                 pdf_engine: str = "cloud"):
+                 pdf_engine: str = "cloud", map_model: bookmaps.Model | None = None, done_folder: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.library = library or Library(spark, f"{self.root}/index", Embedder())
@@ -63,12 +91,16 @@ class Ingest:
         self.kindle = kindle or D.Delivery(Kindle())
         self.normalize, self.repair = normalize, repair
         self.pdf_engine = pdf_engine
+        # map_model(kind, prompt) makes the map of every new book; done_folder gets a copy of every finished file.
+        self.map_model, self.done_folder = map_model, done_folder
+        self.ledger = Ledger(f"{self.root}/ledger")
 
     def table(self, name: str, ddl: str) -> DataFrame:
         path = f"{self.root}/{name}"
         if not tables.exists(self.spark, path):
             return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(path)
+        # the stream writes a folder per micro-batch
+        return self.spark.read.schema(ddl).option("recursiveFileLookup", True).parquet(path)
 
     def _append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
@@ -81,9 +113,8 @@ class Ingest:
 
     # -- steps -----------------------------------------------------------
 
-    def stage(self, files: DataFrame) -> None:
-        """Fingerprint, drop copies, classify and route arriving files."""
-        scratch = shared_dir(self.spark, "arrivals")
+    def looked(self, files: DataFrame) -> DataFrame:
+        """Digest and probe of arriving files, in one pass over their bytes; only small columns leave the scan."""
         probe = self.services.probe
 
         def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,23 +130,37 @@ class Ingest:
                     **{k: [p[k] if p else None for p in found]
                        for k in ("avg_chars_per_page", "sampled_pages", "total_pages", "classification")})
 
-        # One pass over the bytes gives digest and probe; only small columns leave the scan.
         hashed = files.withColumn("sha256", T.sha256_hex(F.col("content"))).withColumn(
             "content", F.when(F.lower("name").endswith(".pdf"), F.col("content")))  # only PDFs are probed
-        seen = hashed.mapInPandas(look, (
+        return hashed.mapInPandas(look, (
             "path string, name string, modification_time timestamp, length bigint, sha256 string, "
             "avg_chars_per_page double, sampled_pages int, total_pages int, classification string"))
-        seen.write.parquet(scratch)
+
+    def known_files(self) -> DataFrame:
+        """(sha256, path) of every staged or quarantined file, one per digest."""
+        both = self.staged().select("sha256", "path").unionByName(self.quarantined().select("sha256", "path"))
+        return both.groupBy("sha256").agg(F.min("path").alias("path"))
+
+    def stage(self, files: DataFrame) -> None:
+        """Fingerprint, drop copies, classify and route arriving files."""
+        scratch = shared_dir(self.spark, "arrivals")
+        self.looked(files).write.parquet(scratch)
         arrivals = self.spark.read.parquet(scratch)
-        probes = arrivals.where(F.col("classification").isNotNull()).withColumnRenamed("path", "file")
-        known = self.staged().select("sha256").unionByName(self.quarantined().select("sha256"))
-        routed = T.triage(arrivals.select("path", "name", "modification_time", "sha256"), probes, known)
-        routed = self.spark.createDataFrame([], STAGED_DDL).unionByName(routed)
-        out = shared_dir(self.spark, "routed")
-        routed.write.parquet(out)
-        done = self.spark.read.parquet(out)
-        self._append("staged", done.where(F.col("staging_category").isNotNull()))
-        self._append("quarantined", done.where(F.col("staging_category").isNull()))
+        self._file_away(T.unseen(T.first_copies(arrivals), self.known_files()), shared_dir(self.spark, "routed"))
+
+    def stage_fresh(self, fresh: DataFrame, batch: str) -> None:
+        """Route the files of a micro-batch, none of which was met before; the same batch again replaces itself."""
+        self._file_away(fresh, f"{self.root}/arrived/{batch}", batch)
+
+    def _file_away(self, fresh: DataFrame, scratch: str, batch: str | None = None) -> None:
+        routed = self.spark.createDataFrame([], STAGED_DDL).unionByName(T.routed(fresh))
+        routed.write.mode("overwrite").parquet(scratch)  # evaluated once: the rows come from keyed state
+        done = self.spark.read.schema(STAGED_DDL).parquet(scratch)
+        for name, rows in (("staged", done.where("staging_category is not null")), ("quarantined", done.where("staging_category is null"))):
+            if batch is None:
+                self._append(name, rows)
+            else:
+                rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{batch}")
 
     def _content(self, rows: DataFrame) -> DataFrame | None:
         """(path, content) of the inbox files behind ``rows``, None when there are none.
@@ -136,14 +181,17 @@ class Ingest:
 
         Scanned files wait for batch OCR, whose results come in by ``accept_ocr``.
         """
-        services, cloud = self.services, self.pdf_engine == "cloud" and self.services.cloud_pdf is not None
+        services, engine = self.services, self.pdf_engine
+        cloud = engine == "cloud" and services.cloud_pdf is not None
+        by_range = services.cloud_range if engine == "cloud" and services.cloud_range else None if cloud else services.page_range
         tried = self.table("raw", RAW_DDL)
         if retry:
             tried = tried.where("outcome <> 'failed'")
         todo = self.staged().where("staging_category <> 'cloud'").join(tried.select("folder_id"), "folder_id", "left_anti")
-        if services.page_range is not None and not cloud:
+        if by_range is not None:
             ranged = F.coalesce((F.col("classification") == "native") & (F.col("probe.total_pages") > 0), F.lit(False))
-            self._convert_ranges(todo.where(ranged))
+            in_cloud = by_range is services.cloud_range
+            self._convert_ranges(todo.where(ranged), by_range, "cloud" if in_cloud else "native", CLOUD_PAGE_BATCH if in_cloud else LOCAL_PAGE_BATCH)
             todo = todo.where(~ranged)
         content = self._content(todo)
         if content is None:
@@ -171,12 +219,16 @@ class Ingest:
         got = work.mapInPandas(read, "folder_id string, raw_text string, page_count int, method string, error string")
         self._append("raw", self._raw_rows(got))
 
-    def _convert_ranges(self, todo: DataFrame, size: int = LOCAL_PAGE_BATCH) -> None:
-        """Convert native PDFs by page ranges; ranges that have a stored text are not converted again."""
-        convert = self.services.page_range
+    def _convert_ranges(self, todo: DataFrame, convert: Callable[[bytes, int, int], str], method: str, size: int) -> None:
+        """Convert PDFs by page ranges, each a row of its own.
+
+        Ranges with a stored text are not planned again; those that a run converted before it died are in the ledger.
+        """
+        ledger = self.ledger
         items = conversion.work_items(todo.select(F.col("folder_id").alias("file"), "path", F.col("probe.total_pages").alias("total_pages")), size)
+        keyed = items.withColumn("file", F.concat_ws("/", "file", F.lit(method)))  # ranges of two converters differ
         good = self.table("ranges", RANGES_DDL).where("text is not null")
-        rest = conversion.remaining(items, good).groupBy("file", "path").agg(F.collect_list(F.struct("part", "first", "stop")).alias("ranges"))
+        rest = conversion.remaining(keyed, good).groupBy("file", "path").agg(F.collect_list(F.struct("part", "first", "stop")).alias("ranges"))
         content = self._content(todo)
         if content is None:
             return
@@ -187,7 +239,8 @@ class Ingest:
                 for row in frame.itertuples(index=False):
                     text, error = None, None
                     try:
-                        text = convert(bytes(row.content), row.first, row.stop)
+                        key = key_of("pages", row.file, row.first, row.stop)
+                        text = ledger.kept(key, lambda: convert(bytes(row.content), row.first, row.stop))
                     except Exception as exc:
                         error = str(exc) or type(exc).__name__
                     rows.append((row.file, row.part, text, error))
@@ -196,11 +249,11 @@ class Ingest:
         # A file meets its bytes once; its ranges are spread inside the row.
         work = rest.join(content, "path").select("file", "content", F.explode("ranges").alias("r")).select("file", "r.*", "content")
         self._append("ranges", work.mapInPandas(read, RANGES_DDL))
-        parts = self.table("ranges", RANGES_DDL).join(todo.select(F.col("folder_id").alias("file"), F.col("probe.total_pages").alias("page_count")), "file")
-        best = parts.groupBy("file", "part", "page_count").agg(F.max("text").alias("text"), F.max(F.when(F.col("text").isNull(), F.col("error"))).alias("error"))
-        pages = best.select("file", "page_count").distinct()
-        whole = conversion.whole_documents(best.select("file", "part", "text", F.when(F.col("text").isNull(), F.col("error")).alias("error"))).join(pages, "file")
-        self._append("raw", self._raw_rows(whole.select(F.col("file").alias("folder_id"), "raw_text", "page_count", F.lit("native").alias("method"), "error")))
+        own = todo.select(F.concat_ws("/", "folder_id", F.lit(method)).alias("file"), "folder_id", F.col("probe.total_pages").alias("page_count"))
+        parts = self.table("ranges", RANGES_DDL).join(own.select("file"), "file", "left_semi")
+        best = parts.groupBy("file", "part").agg(F.max("text").alias("text"), F.max("error").alias("error"))
+        whole = conversion.whole_documents(best.withColumn("error", F.when(F.col("text").isNull(), F.col("error")))).join(own, "file")
+        self._append("raw", self._raw_rows(whole.select("folder_id", "raw_text", "page_count", F.lit(method).alias("method"), "error")))
 
     @staticmethod
     def _raw_rows(got: DataFrame) -> DataFrame:
@@ -246,14 +299,42 @@ class Ingest:
         done = cleaning.clean(todo, self.cleanup, self.normalize, self.repair)
         self._append("clean", done.drop("raw_text", "file_type"))
 
+    def name(self) -> None:
+        """Give every cleaned text its book id, for all branches alike."""
+        marked = shared_dir(self.spark, "named")
+        self._book_ids(self._todo("named", NAMED_DDL, "original_name")).write.parquet(marked)
+        self._append("named", self.spark.read.parquet(marked))
+
+    def _named(self, stage: str, ddl: str, where: str = "true") -> DataFrame:
+        """(folder_id, book_id) of the named books that ``stage`` lacks."""
+        return self.table("named", NAMED_DDL).join(self.table(stage, ddl).where(where).select("folder_id"), "folder_id", "left_anti")
+
+    def maps(self) -> DataFrame:
+        """Maps made so far; each carries its book's id."""
+        path = f"{self.root}/maps"
+        if not tables.exists(self.spark, path):
+            return self.spark.createDataFrame([], BOOK_MAP_DDL)
+        return files.generated_maps(self.spark, path).dropDuplicates(["id"])
+
+    def make_maps(self) -> None:
+        """Map every named book that has no map; a map that failed is tried again by the next run, whose other
+        prompts are answered from the ledger."""
+        texts = self.table("clean", CLEAN_DDL).select("folder_id", F.col("clean_text").alias("text"))
+        todo = self.table("named", NAMED_DDL).join(self.maps().select(F.col("id").alias("book_id")), "book_id", "left_anti")
+        answers = shared_dir(self.spark, "answers")
+        books = todo.join(texts, "folder_id").select("book_id", "text")
+        bookmaps.ask(bookmaps.prompts(books), self.map_model, self.ledger).write.parquet(answers)
+        made = bookmaps.assemble(self.spark.read.parquet(answers)).where("error is null").withColumn("id", F.col("book_id"))
+        files.write_maps(made.drop("book_id", "error", "prompt_tokens", "completion_tokens"), f"{self.root}/maps")
+
     def index(self, maps: DataFrame | None = None) -> int:
-        """File cleaned texts under their slug and index them; only indexed books are marked."""
+        """Index the named texts under their book id; only indexed books are marked."""
         texts = self.table("clean", CLEAN_DDL).select("folder_id", F.col("clean_text").alias("text"))
         marked = shared_dir(self.spark, "marked")
-        self._book_ids(self._todo("indexed", INDEXED_DDL, "original_name")).write.parquet(marked)
-        named = self.spark.read.parquet(marked).join(texts, "folder_id")
-        count = self.library.add_books(named.select("book_id", "text"), maps, force=True)
-        self._append("indexed", named.select("folder_id", "book_id"))
+        self._named("indexed", INDEXED_DDL).write.parquet(marked)
+        named = self.spark.read.schema(INDEXED_DDL).parquet(marked)
+        count = self.library.add_books(named.join(texts, "folder_id").select("book_id", "text"), maps, force=True)
+        self._append("indexed", named)
         return count
 
     def _book_ids(self, todo: DataFrame) -> DataFrame:
@@ -265,7 +346,7 @@ class Ingest:
         slugs = todo.join(self.table("clean", CLEAN_DDL).select("folder_id"), "folder_id", "left_semi").select(
             "folder_id", book_slug(F.col("original_name")).alias("slug"))
         first = slugs.groupBy("slug").agg(F.min("folder_id").alias("first"))
-        taken = self.table("indexed", INDEXED_DDL).select(F.col("book_id").alias("slug"), F.lit(True).alias("taken"))
+        taken = self.table("named", NAMED_DDL).select(F.col("book_id").alias("slug"), F.lit(True).alias("taken"))
         rows = slugs.join(first.join(taken, "slug", "left"), "slug")
         plain = F.col("taken").isNull() & (F.col("folder_id") == F.col("first"))
         return rows.select("folder_id", F.when(plain, F.col("slug")).otherwise(
@@ -274,30 +355,86 @@ class Ingest:
     def deliver(self, maps: DataFrame | None = None) -> None:
         none = self.spark.createDataFrame([], "id string, title string, author string, summary string, key_themes array<string>")
         # A delivery that failed is not done and is tried again.
-        todo = self.staged().select("folder_id", "path", "original_name", "file_type", "modification_time").join(
-            self.table("sent", SENT_DDL).where("sent").select("folder_id"), "folder_id", "left_anti")
-        staged = todo.join(self.table("indexed", INDEXED_DDL), "folder_id")
+        todo = self._named("sent", SENT_DDL, "sent").join(self.staged().select("folder_id", "path", "original_name", "file_type", "modification_time"), "folder_id")
         about = bookmaps.delivery_metadata(
-            staged.withColumn("fallback_title", stem(F.col("original_name"))), maps if maps is not None else none)
+            todo.withColumn("fallback_title", stem(F.col("original_name"))), maps if maps is not None else none)
         if self.kindle.configured:
-            content = self._content(staged)
+            content = self._content(todo)
             if content is None:
                 return
             about = about.join(self.table("clean", CLEAN_DDL).select("folder_id", "clean_text"), "folder_id")
             about = about.join(content, "path")
-        self._append("sent", D.deliver(about, self.kindle))
+        self._append("sent", D.deliver(about, self.kindle, self.ledger.uri))
 
     def archive(self) -> None:
-        """Record finished books with their provenance; the inbox stream moves the files."""
+        """Copy the files of named books to the done folder, where there is one, and write that down."""
+        folder = self.done_folder
+        todo = self._named("archived", ARCHIVED_DDL, "error is null").join(self.staged().select("folder_id", "path"), "folder_id")
+
+        def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = []
+                for row in frame.itertuples(index=False):
+                    try:
+                        rows.append((row.folder_id, copy_file(row.path, f"{folder}/{row.folder_id}") if folder else None, None))
+                    except Exception as exc:
+                        rows.append((row.folder_id, None, str(exc) or type(exc).__name__))
+                yield pd.DataFrame(rows, columns=["folder_id", "copied_to", "error"])
+
+        self._append("archived", todo.select("folder_id", "path").mapInPandas(copy, ARCHIVED_DDL))
+
+    def finish(self) -> None:
+        """Record books that went through all branches, with their provenance."""
         ended = self.staged().join(self.done(), "folder_id").select(
             "folder_id", "book_id", "sha256", "path", "original_name", "file_type", "classification")
         kept = self.table("done", DONE_DDL).select("folder_id")
         self._append("done", ended.join(kept, "folder_id", "left_anti"))
 
+    def _branch_open(self, branch: str) -> DataFrame:
+        """Folders a branch has not done."""
+        stage, ddl, where = {"index": ("indexed", INDEXED_DDL, "true"), "deliver": ("sent", SENT_DDL, "sent"), "archive": ("archived", ARCHIVED_DDL, "error is null")}[branch]
+        return self._named(stage, ddl, where).select("folder_id")
+
+    def fan_out(self, maps: DataFrame | None = None) -> dict[str, str | None]:
+        """Run the branches side by side; returns each one's error, None where it went through.
+
+        A branch runs in a thread and scheduler pool of its own. Whatever becomes of it, each
+        of its books gets a row in ``branches``; what it has not done is left to the next run.
+        """
+        work = {"index": lambda: self.index(maps), "deliver": lambda: self.deliver(maps), "archive": self.archive}
+        waiting = {b: shared_dir(self.spark, f"waiting-{b}") for b in BRANCHES}
+        for branch, path in waiting.items():
+            self._branch_open(branch).write.parquet(path)
+        errors: dict[str, str | None] = {}
+
+        def run(branch: str) -> None:
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", branch)
+            try:
+                work[branch]()
+                errors[branch] = None
+            except Exception as exc:
+                log.warning("branch %s failed: %s", branch, exc)
+                errors[branch] = (str(exc) or type(exc).__name__).split("\n")[0]
+
+        threads = [InheritableThread(target=run, args=(b,), session=self.spark) for b in BRANCHES]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        for branch, path in waiting.items():
+            asked = self.spark.read.schema("folder_id string").parquet(path)
+            left = self._branch_open(branch).withColumn("left", F.lit(True))
+            rows = asked.join(left, "folder_id", "left").select(
+                "folder_id", F.lit(branch).alias("branch"), F.col("left").isNull().alias("ok"),
+                F.when(F.col("left"), F.lit(errors[branch])).cast("string").alias("error"), F.current_timestamp().alias("at"))
+            self._append("branches", rows)
+        return errors
+
     def done(self) -> DataFrame:
-        """Finished folders: indexed and through delivery, in that order."""
+        """Finished folders: indexed, delivered and archived."""
         sent = self.table("sent", SENT_DDL).where("sent").select("folder_id")
-        return self.table("indexed", INDEXED_DDL).join(sent, "folder_id", "left_semi")
+        kept = self.table("archived", ARCHIVED_DDL).where("error is null").select("folder_id")
+        return self.table("indexed", INDEXED_DDL).join(sent, "folder_id", "left_semi").join(kept, "folder_id", "left_semi")
 
     def state(self) -> DataFrame:
         """The staging table with its markers, for the pending, ready and OCR queries."""
@@ -320,6 +457,12 @@ class Ingest:
         self.convert()
         self.quarantine_failed()
         self.clean()
-        self.index(maps)
-        self.deliver(maps)
-        self.archive()
+        self.name()
+        if self.map_model is not None:
+            try:
+                self.make_maps()
+            except Exception as exc:  # a book is indexed without its map
+                log.warning("maps failed: %s", exc)
+            maps = self.maps() if maps is None else maps
+        self.fan_out(maps)
+        self.finish()

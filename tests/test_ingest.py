@@ -138,6 +138,7 @@ def test_failed_index_is_retried(spark, ingest, drop):
     ingest.stage(files.inbox(spark, str(drop)).where(T.finished(F.col("name"))))
     ingest.convert()
     ingest.clean()
+    ingest.name()
     add, ingest.library.add_books = ingest.library.add_books, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("down"))
     with pytest.raises(RuntimeError):
         ingest.index()
@@ -145,6 +146,7 @@ def test_failed_index_is_retried(spark, ingest, drop):
     ingest.library.add_books = add
     ingest.index()
     ingest.deliver()
+    ingest.archive()
     assert ingest.done().count() == 2
     assert {r.is_done for r in ingest.state().where("has_clean").collect()} == {True}
 
