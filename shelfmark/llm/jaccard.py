@@ -48,7 +48,8 @@ WORDS = 5
 # only decides how rows are dealt, never what is found.
 FREQUENT = 10_000
 SALTS = 64
-DROPPED = 16
+# Low bits of shingles and of set keys that the first pass leaves out.
+DROPPED, KEY_DROPPED = 16, 24
 LOOKED_AT = 1024
 MULTIPLIER, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -96,10 +97,10 @@ def _read(rows: DataFrame) -> DataFrame:
     return rows.select("d", "c", "text").mapInArrow(summarise, "d long, c long, n long, k long, h long, often long")
 
 
-def _shingles(rows: DataFrame, part: Callable[[int], int] = lambda n: n, dropped: int = 0, at_once: int = 256) -> DataFrame:
+def _shingles(rows: DataFrame, part: Callable[[int], int] = lambda n: n, dropped: int = 0, key_dropped: int = 0, at_once: int = 256) -> DataFrame:
     """Rows (h, k, s) of the ``part(n)`` smallest shingles of each document's set; s is a salt.
 
-    ``dropped`` low bits are left out of the shingles' hashes, to send fewer bytes.
+    ``dropped`` low bits are left out of the shingles' hashes and ``key_dropped`` of the sets' keys, to send fewer bytes.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def _shingles(rows: DataFrame, part: Callable[[int], int] = lambda n: n, dropped
             for start in range(0, batch.num_rows, at_once):
                 some = batch.slice(start, at_once)
                 sets = [shingle_set(t.as_py()) for t in some.column(1)]
-                keys = np.array([set_key(x) for x in sets], np.uint64).view(np.int64)
+                keys = (np.array([set_key(x) for x in sets], np.uint64) >> np.uint64(key_dropped)).view(np.int64)
                 sets = [x[:part(len(x))] >> np.uint64(dropped) for x in sets]
                 sizes = [len(x) for x in sets]
                 salts = np.array(some.column(0).to_pylist(), np.int32)
@@ -154,9 +155,10 @@ def promising(rows: DataFrame, documents: DataFrame, frequent: DataFrame) -> Dat
     """
     # Fewer bits can only make more shingles look shared, so no node is lost by them.
     short = frequent.withColumn("h", F.shiftrightunsigned("h", DROPPED)).groupBy("h").agg(F.max("often").alias("often"))
-    shared = _dealt(_shingles(rows, first_part, DROPPED), short).groupBy("k").agg(F.count("*").alias("shared"))
+    # Sets whose shortened keys are equal are counted together, which can only make them look more promising.
+    shared = _dealt(_shingles(rows, first_part, DROPPED, KEY_DROPPED), short).groupBy(F.col("k").alias("short")).agg(F.count("*").alias("shared"))
     nodes = documents.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.min(F.struct("d", "c")).alias("place"))
-    left = nodes.join(shared, "k").filter(F.col("shared") >= first_shared(F.col("n"))).select("place.*")
+    left = nodes.withColumn("short", F.shiftrightunsigned("k", KEY_DROPPED)).join(shared, "short").filter(F.col("shared") >= first_shared(F.col("n"))).select("place.*")
     return rows.join(left, ["d", "c"], "left_semi")
 
 
