@@ -11,14 +11,16 @@ from datetime import datetime
 from pathlib import Path
 from urllib.parse import quote
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.cleanup import markdown_cleanup, strip_cover_images
 from shelfmark.models import Embedder
 from shelfmark.operators import bookmaps, ocr
+from shelfmark.operators.delivery import Delivery
 from shelfmark.plans.ingest import Ingest
 from shelfmark.plans.library import MODES, Library
-from shelfmark.schemas import OCR_BATCH_DDL, TOP_K
+from shelfmark.plans.ocr_batches import OcrBatches
+from shelfmark.schemas import TOP_K
 from shelfmark.sources import files, readers, tables
 from shelfmark.sources.config import ensure_config, ensure_directories
 
@@ -48,11 +50,45 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--book")
     w = sub.add_parser("watch")
     w.add_argument("--once", action="store_true")
+    w.add_argument("--services", help="module:attribute called with the configuration; returns keyword arguments of Ingest "
+                                      "(services, map_model, normalize, repair) and, under sender, builder and confirm, those of the delivery")
     b = sub.add_parser("batch")
-    b.add_argument("action", choices=("status", "pending"))
+    b.add_argument("action", choices=("submit", "status", "cancel", "poll", "list", "pending"))
+    b.add_argument("batch_id", nargs="?", help="the batch to cancel")
+    b.add_argument("--client", help="module:attribute of an OCR client; needed by all actions but list and pending")
     return p
 
 
+def ingest_of(spark: SparkSession, cfg, lib: Library, services: str | None = None) -> Ingest:
+    """The ingest of a configuration, with the outside services that the user names."""
+    given = dict(load(services)(cfg)) if services else {}
+    delivery = Delivery(cfg.kindle, *(given.pop(n, None) for n in ("sender", "builder", "confirm")))
+    return Ingest(spark, cfg.paths.staging, lib, cleanup=cfg.cleanup, pdf_engine=cfg.conversion.pdf_engine,
+                  kindle=delivery, done_folder=cfg.paths.done, **given)
+
+
+def run_batch(args, ingest: Ingest, root: str) -> DataFrame | str:
+    """One action on the OCR batches; a listing or a line to print."""
+    if args.action == "pending":
+        return ingest.scanned().select("folder_id", "original_name").orderBy("folder_id")
+    if args.action not in ("list", "pending") and not args.client:
+        raise SystemExit("--client module:attribute is needed")
+    jobs = OcrBatches(ingest.spark, root, load(args.client) if args.client else None)
+    if args.action == "list":
+        return ocr.batch_listing(jobs.batches())
+    if args.action == "status":
+        return jobs.status()
+    if args.action == "cancel":
+        if not args.batch_id:
+            raise SystemExit("which batch?")
+        return jobs.cancel(args.batch_id)
+    if args.action == "submit":
+        return jobs.submit(ingest.scanned(contents=True)) or "nothing to submit"
+    closed = jobs.poll(ingest.scanned())
+    ingest.accept_ocr(jobs.results().where("batch_status = 'complete'"))
+    return f"{len(closed)} batches closed"
+
+
 def load(spec: str):
     """Object named ``module:attribute``."""
     module, _, name = spec.partition(":")
@@ -154,14 +190,10 @@ def main(argv: list[str] | None = None) -> None:
         convert_epubs(spark, f"{cfg.paths.repo_root}/source", f"{cfg.paths.repo_root}/books", args.force)
     elif args.command == "watch":
         from shelfmark.streaming.inbox import watch
-        ingest = Ingest(spark, cfg.paths.staging, lib, cleanup=cfg.cleanup, pdf_engine=cfg.conversion.pdf_engine)
-        watch(ingest, cfg.paths.inbox, f"{cfg.paths.staging}/.checkpoint", continuous=not args.once).awaitTermination()
-    elif args.action == "status":
-        batches = spark.read.schema(OCR_BATCH_DDL).json(cfg.paths.batches)
-        ocr.batch_listing(batches).show(truncate=False)
+        watch(ingest_of(spark, cfg, lib, args.services), cfg.paths.inbox, f"{cfg.paths.staging}/.checkpoint", continuous=not args.once).awaitTermination()
     else:
-        Ingest(spark, cfg.paths.staging, lib).state().where("staging_category = 'cloud'").select(
-            "folder_id", "original_name").orderBy("folder_id").show(truncate=False)
+        shown = run_batch(args, ingest_of(spark, cfg, lib), cfg.paths.batches)
+        print(shown) if isinstance(shown, str) else shown.show(truncate=False)
 
 
 if __name__ == "__main__":

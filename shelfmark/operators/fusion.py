@@ -8,10 +8,12 @@ work on data bounded by the request, never by the corpus.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfmark.functions.similarity import squared_l2
+from shelfmark.functions.similarity import nearest_of, squared_l2
 from shelfmark.operators.keyword import apply_filters, top_scores
 from shelfmark.schemas import OVER_FETCH, RRF_K
 from shelfmark.session import BROADCAST_MAX_ROWS
@@ -40,6 +42,32 @@ def nearest(
     return measured.where("_distance is not null").orderBy("_distance", "id").limit(n)
 
 
+# Questions that travel with one scan of the children.
+QUESTIONS = 1024
+
+
+def nearest_many(children: DataFrame, questions: DataFrame, n: int, book_id: str | None = None, author: str | None = None) -> DataFrame:
+    """The ``n`` nearest children of every question (qid, vector): (qid, id, parent_id, _distance, rn).
+
+    The children are scanned once per ``QUESTIONS`` questions. A task multiplies its batches with the
+    block of questions and keeps n rows per question, so what is shuffled is n rows per question and
+    task, never a pair per child. A question without a usable vector has no rows.
+    """
+    rows = apply_filters(children, book_id, author).select("id", "parent_id", "vector")
+    found: list[DataFrame] = []
+    for block in batched(questions.select("qid", "vector").where("vector is not null").toLocalIterator(), QUESTIONS):
+        for width in sorted({len(q.vector) for q in block}):
+            own = [q for q in block if len(q.vector) == width and None not in q.vector]
+            if own and width:
+                near = rows.mapInArrow(nearest_of([q.vector for q in own], n), "q int, id string, parent_id string, _distance double")
+                names = F.array(*(F.lit(q.qid) for q in own))
+                part = near.select(F.get(names, F.col("q")).alias("qid"), "id", "parent_id", "_distance")
+                found.append(part)
+    none = questions.select("qid").limit(0).selectExpr("qid", "'' as id", "'' as parent_id", "0D as _distance")
+    best = Window.partitionBy("qid").orderBy("_distance", "id")
+    return reduce(DataFrame.unionByName, found, none).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= n)
+
+
 def rank_share(position: Column) -> Column:
     """Reciprocal-rank contribution of a 1-based position."""
     return F.lit(1.0) / (F.lit(RRF_K) + position)

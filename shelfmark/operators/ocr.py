@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.operators.conversion import ocr_text
@@ -55,13 +58,34 @@ def batch_listing(batches: DataFrame) -> DataFrame:
     return batches.select("batch_id", "status", "books", "total_pages", "cost_estimate").orderBy("batch_id")
 
 
-def result_texts(results: DataFrame) -> DataFrame:
+def convert_now(documents: DataFrame, recognise: Callable[[bytes], list[str]]) -> DataFrame:
+    """(folder_id, content) -> (folder_id, raw_text, error): one synchronous call per document, its pages joined by rules."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pages, errors = [], []
+            for content in frame["content"]:
+                try:
+                    pages.append([str(p) for p in recognise(bytes(content))])
+                    errors.append(None)
+                except Exception as exc:
+                    pages.append(None)
+                    errors.append(str(exc) or type(exc).__name__)
+            yield pd.DataFrame({"folder_id": frame["folder_id"], "pages": pages, "error": errors})
+
+    got = documents.select("folder_id", "content").mapInPandas(run, "folder_id string, pages array<string>, error string")
+    text = F.when(F.col("error").isNull(), ocr_text(F.col("pages")))
+    empty = F.when(text == "", F.lit("no text was recognised"))
+    return got.select("folder_id", F.when(text != "", text).alias("raw_text"), F.coalesce("error", empty).alias("error"))
+
+
+def result_texts(results: DataFrame, *carry: str) -> DataFrame:
     """(custom_id, response) -> (custom_id, raw_text, batch_status, batch_error, raw_chars)."""
     text = ocr_text(F.col("response.body.pages.markdown"), "\n\n")
-    rows = results.select("custom_id", F.coalesce(text, F.lit("")).alias("raw_text"))
+    rows = results.select(*carry, "custom_id", F.coalesce(text, F.lit("")).alias("raw_text"))
     empty = F.col("raw_text") == ""
     return rows.select(
-        "custom_id", F.when(~empty, F.col("raw_text")).alias("raw_text"),
+        *carry, "custom_id", F.when(~empty, F.col("raw_text")).alias("raw_text"),
         F.when(empty, "failed").otherwise("complete").alias("batch_status"),
         F.when(empty, "empty result").alias("batch_error"),
         F.when(~empty, F.length("raw_text")).alias("raw_chars"))

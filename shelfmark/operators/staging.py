@@ -38,6 +38,19 @@ def fold_log(log: DataFrame, key: str = "folder_id") -> DataFrame:
         F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
 
 
+def fold_onto(snapshot: DataFrame, entries: DataFrame, key: str = "folder_id") -> DataFrame:
+    """Entries (key, field, value, at, seq) folded onto a snapshot of earlier ones, itself a snapshot again.
+
+    A snapshot holds one row per key and field: the value, the ``at`` and ``seq`` that won, and
+    the first and last time; so folding in steps, in any order, gives what folding all at once gives.
+    """
+    new = entries.select(key, "field", "value", "at", "seq", F.col("at").alias("created_at"), F.col("at").alias("updated_at"))
+    both = snapshot.select(new.columns).unionByName(new)
+    won = F.max_by(F.struct("value", "at", "seq"), F.struct("at", "seq")).alias("w")
+    folded = both.groupBy(key, "field").agg(won, F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+    return folded.select(key, "field", "w.value", "w.at", "w.seq", "created_at", "updated_at")
+
+
 def pending(staging: DataFrame) -> DataFrame:
     """Visible, unlocked folders with metadata but no cleaned text, oldest first."""
     rows = staging.where(~F.col("folder_id").startswith(".") & ~F.col("is_locked")

@@ -222,6 +222,17 @@ def meta_log(spark, sf):
     return G.fold_log(log)
 
 
+@check("stg_3_meta_snapshot", "select user_id as folder_id, event_type as field, arg_max(value, row(ts, event_id)) as value, min(ts) as created_at, max(ts) as updated_at from events group by user_id, event_type")
+def meta_snapshot(spark, sf):
+    """The same state from a snapshot of the first half of the log and the entries after it."""
+    log = table(spark, sf, "events").select(F.col("user_id").alias("folder_id"), F.col("event_type").alias("field"),
+                                            "value", F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    half = log.agg(F.floor(F.max("seq") / 2)).first()[0]
+    empty = log.limit(0).withColumns({"created_at": F.col("at"), "updated_at": F.col("at")})
+    snapshot = G.fold_onto(empty, log.where(F.col("seq") <= half))
+    return G.fold_onto(snapshot, log.where(F.col("seq") > half)).drop("at", "seq")
+
+
 @check("stg_3_meta_merge", "select coalesce(n.folder_id, o.folder_id) as folder_id, coalesce(n.quality, o.quality) as quality, coalesce(o.source, null) as source, n.toxic as toxic, "
        "coalesce(o.n_chars, n.at) as created_at, coalesce(n.at, o.n_chars) as updated_at from (select doc_id as folder_id, source, case when n_chars % 2 = 0 then 7 end as quality, n_chars from documents) o "
        "full join (select doc_id + 1 as folder_id, case when toxic = 0 then quality end as quality, toxic, doc_id * 100 as at from labels) n using (folder_id)")

@@ -255,6 +255,16 @@ def nearest(spark, sf):
     return rounded(fusion.numbered(near, "_distance", "id"), "_distance", digits=6)
 
 
+@check("rnk_4_all_questions", f"""with {CHILDREN_SQL}, q as (select vec_id as qid, embedding::double[] as v from embeddings where vec_id % 20 = 0),
+  near as (select qid, id, parent_id, power(list_distance(vector::double[], v), 2) as d from children, q),
+  ranked as (select *, row_number() over (partition by qid order by round(d, 12), id) as rn from near)
+  select qid, id, parent_id, round(d, 6) as _distance, cast(rn as int) as rn from ranked where rn <= {K}""")
+def nearest_of_all(spark, sf):
+    """The nearest children of a table of questions (every twentieth vector asks), against all children in blocks."""
+    asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return rounded(fusion.nearest_many(children(spark, sf), asked, K), "_distance", digits=6)
+
+
 @check("rnk_1_shares", BASE + "select id, cast(src as int) as src, cast(rn as int) as rn, round(1.0::double / (60 + rn), 12) as share from votes")
 def shares(spark, sf):
     """Reciprocal-rank share of every list position."""

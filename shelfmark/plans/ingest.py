@@ -451,6 +451,14 @@ class Ingest:
             {"has_meta": F.lit(True), "is_locked": F.lit(False),
              "page_count": F.coalesce("page_count", "probe.total_pages")}))
 
+    def scanned(self, contents: bool = False) -> DataFrame:
+        """Books that wait for batch OCR; ``contents`` adds their bytes, for the tasks that upload them."""
+        rows = self.state().where("staging_category = 'cloud' and not has_raw")
+        if not contents:
+            return rows
+        files = self._content(rows)
+        return rows.withColumn("content", F.lit(None).cast("binary")).limit(0) if files is None else rows.join(files, "path")
+
     def run_once(self, files: DataFrame | None = None, maps: DataFrame | None = None) -> None:
         if files is not None:
             self.stage(files)

@@ -8,6 +8,7 @@ only batch records, a few per run, pass through the driver.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -18,6 +19,7 @@ from shelfmark.operators import ocr
 from shelfmark.schemas import OCR_BATCH_DDL
 from shelfmark.session import shared_dir
 from shelfmark.sources import files, tables
+from shelfmark.sources.ledger import Ledger, key_of
 
 log = logging.getLogger(__name__)
 
@@ -77,11 +79,12 @@ class OcrBatches:
 
     def submit(self, staging: DataFrame) -> str | None:
         """Upload (folder_id, page_count, content) rows that are pending and open one batch."""
-        client = self.client
+        client, ledger, run = self.client, Ledger(f"{self.root}/ledger"), uuid.uuid4().hex
 
         def upload(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                ids = [client.upload(f"{n}.pdf", bytes(c)) for n, c in zip(frame["folder_id"], frame["content"])]
+                # a repeated task finds the files its first attempt uploaded
+                ids = [ledger.kept(key_of("upload", run, n), lambda n=n, c=c: client.upload(f"{n}.pdf", bytes(c))) for n, c in zip(frame["folder_id"], frame["content"])]
                 yield frame[["folder_id", "page_count"]].assign(file_id=ids)
 
         scratch = shared_dir(self.spark, "uploads")
@@ -132,23 +135,37 @@ class OcrBatches:
         polled = shared_dir(self.spark, "polled")
         self._polled().write.parquet(polled)
         now = self.spark.read.parquet(polled)
-        finished = [r.batch_id for r in ocr.finished_batches(now).select("batch_id").collect()]
-        moved = now.where((F.col("polled_status") != F.col("status")) & ~F.col("batch_id").isin(finished))
+        finished = ocr.finished_batches(now).select("batch_id")
+        moved = now.where(F.col("polled_status") != F.col("status")).join(finished, "batch_id", "left_anti")
         state = F.lower("polled_status")
         self._record(moved.withColumn("status", F.when(state == "cancelled", "cancelled").when(state.isin(*FAILED_STATES), "failed").otherwise(
             F.col("polled_status"))).drop("polled_status"))
-        closed = []
-        for batch_id in finished:
-            try:
-                target = shared_dir(self.spark, "ocr")
-                self.client.download(batch_id, target)
-                own = self._read("folders", FOLDER_DDL).where(F.col("batch_id") == batch_id).select("folder_id")
-                mine = staging.join(own, "folder_id", "left_semi")
-                texts = ocr.result_texts(ocr.matched(files.ocr_results(self.spark, target), mine))
-                texts.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{self.root}/results")
-            except Exception as exc:
-                log.warning("results of batch %s cannot be fetched: %s", batch_id, exc)
-                continue
-            self._record(ocr.with_status(self.batches().where(F.col("batch_id") == batch_id), batch_id, "complete"))
-            closed.append(batch_id)
-        return closed
+        client, target = self.client, shared_dir(self.spark, "ocr")
+
+        def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                errors = []
+                for batch_id in frame["batch_id"]:
+                    try:
+                        client.download(batch_id, f"{target}/{batch_id}")
+                        errors.append(None)
+                    except Exception as exc:
+                        errors.append(str(exc) or type(exc).__name__)
+                yield frame.assign(error=errors)
+
+        fetched = f"{target}-fetched"
+        finished.mapInPandas(fetch, "batch_id string, error string").write.parquet(fetched)
+        answers = self.spark.read.parquet(fetched)
+        for r in answers.where("error is not null").limit(20).collect():
+            log.warning("results of batch %s cannot be fetched: %s", r.batch_id, r.error)
+        good = answers.where("error is null").select("batch_id")
+        if good.isEmpty():
+            return []
+        lines = files.ocr_results(self.spark, f"{target}/*").withColumn("batch_id", F.element_at(F.split("_metadata.file_path", "/"), -2))
+        # results count only for folders of their own batch, and only those still staged
+        own = self._read("folders", FOLDER_DDL).join(good, "batch_id", "left_semi").select("batch_id", F.col("folder_id").alias("custom_id"))
+        mine = ocr.matched(lines.join(own, ["batch_id", "custom_id"], "left_semi"), staging)
+        texts = ocr.result_texts(mine, "batch_id")
+        texts.select(*[c.split()[0] for c in RESULT_DDL.split(", ")]).write.mode("append").parquet(f"{self.root}/results")
+        self._record(self.batches().join(good, "batch_id", "left_semi").withColumn("status", F.lit("complete")))
+        return sorted(r.batch_id for r in good.collect())  # few: the batches closed now

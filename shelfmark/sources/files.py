@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import sys
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import stem
 from shelfmark.operators.triage import finished, visible
 from shelfmark.schemas import BOOK_MAP_DDL, MAX_FILES_PER_TRIGGER, META_DDL, OCR_RESULT_DDL
+from shelfmark.sources.ledger import opened
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINARY_DDL = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -24,6 +32,35 @@ def inbox(spark: SparkSession, folder: str) -> DataFrame:
     return _named(spark.read.format("binaryFile").load(folder)).where(visible(F.col("name")))
 
 
+PIECE = 8 << 20
+
+
+def digests(listing: DataFrame) -> DataFrame:
+    """``sha256`` of files of any size: (path, ...) rows without contents, each file read in pieces by a task.
+
+    The digest is null, with the reason in ``error``, where a file cannot be read.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found, errors = [], []
+            for path in frame["path"]:
+                digest, error = hashlib.sha256(), None
+                try:
+                    system, at = opened(path)
+                    with system.open_input_stream(at, buffer_size=0) as f:
+                        while piece := f.read(PIECE):
+                            digest.update(piece)
+                except Exception as exc:
+                    error = str(exc) or type(exc).__name__
+                found.append(None if error else digest.hexdigest())
+                errors.append(error)
+            yield frame.assign(sha256=found, error=errors)
+
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listing.schema)
+    return listing.mapInPandas(run, f"{columns}, sha256 string, error string")
+
+
 def oldest_first(files: DataFrame) -> DataFrame:
     """Listing of files without their contents."""
     return files.select("path", "name", "modification_time", "length").orderBy("modification_time", "path")
