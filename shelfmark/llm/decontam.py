@@ -13,25 +13,33 @@ out, is caught as well, while texts that only share a form of words are not.
 Whatever the length of the item, ``RUN`` tokens in a row that match with consistent
 slots are a leak too, so a conflict costs only the runs it lies in.
 
-The windows of the benchmark are broadcast below a checked number of rows and
-shuffled beyond it. Document windows are made and probed in place; only hits are
-shuffled, and each text once, to meet its candidates.
+A text is read once for its windows: its tokens are hashed as typed and in folded case
+together, a block of texts at a time. The windows' hashes of the benchmark travel to the
+tasks below a checked number and are joined by shuffle beyond it; only hits are shuffled,
+and each text once, to meet its candidates.
 
 Defined cases: null and empty texts have no windows; an item shorter than a window
 is one window of its own length; a window needs literal words for half of its
-tokens, and an item without such a window is never matched; items with equal text
+tokens; an item of ``WINDOW`` tokens or more without such a window is found by windows
+with its own names and numbers, a shorter one is never matched; items with equal text
 are each reported; equal documents are each flagged; an empty benchmark flags
 nothing; other columns pass through untouched, but for one named ``leaks``, which is replaced.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shelfmark.functions.text import let
-from shelfmark.llm.common import keyed, others, pair_up, restored, slim, table, unkeyed
+from shelfmark.llm.common import carried, keyed, others, restored, slim, table, unkeyed
+
+carried(__name__)
 
 WINDOW, COVERAGE = 8, 0.5
 RUN = 20
@@ -41,60 +49,163 @@ NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 # Units that follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "min", "h", "hours", "days", "years",
          "minutes", "seconds", "miles", "meters", "metres", "percent", "dollars", "euros", "cents", "degrees")
-
-
-def raw_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-
-
-def canonical(raw: Column) -> Column:
-    """The typed tokens, one per raw token."""
-    return let(raw, lambda r: F.transform(r, lambda x, i: F.when(x.rlike(r"^\p{Lu}"), F.lit(NAME)).when(x.rlike(r"^\p{N}"), F.lit(NUMBER)).when(
-        x.isin(*UNITS) & F.coalesce(F.get(r, i - 1).rlike(r"^\p{N}"), F.lit(False)), F.lit(UNIT)).otherwise(F.lower(x))))
-
-
-def folded(raw: Column) -> Column:
-    """The tokens in lower case, only numbers and units typed."""
-    return let(F.transform(raw, lambda x: F.lower(x)), canonical)
-
-
-def _windows(hashes: Column, size: int) -> Column:
-    """Hashes of all windows of ``size`` tokens, from halves, so each costs a few steps instead of ``size``."""
-    if size == 1:
-        return hashes
-    if size % 2 == 0:
-        return let(_windows(hashes, size // 2), lambda half: pair_up(half, size // 2))
-    fits = F.greatest(F.size(hashes) - (size - 1), F.lit(0))
-    return let(_windows(hashes, size - 1), lambda most: F.transform(
-        F.slice(most, F.lit(1), fits), lambda h, i: F.shiftleft(h, 1).bitwiseXOR(F.get(hashes, i + size - 1))))
-
-
-def window_hashes(tokens: Column, size: int) -> Column:
-    """Hash of the window that starts at each token, as long as it fits."""
-    return let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: _windows(h, size))
-
-
-def _both(raw: Column, size: int) -> Column:
-    """(at, h) of the typed windows and of the folded ones that differ from them."""
-    at = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("h")))
-    return let(raw, lambda r: let(window_hashes(canonical(r), size), lambda typed: F.concat(
-        at(typed), F.filter(at(window_hashes(folded(r), size)), lambda x: x["h"] != F.get(typed, x["at"])))))
+# Tokens hashed together and token forms remembered: they bound a task's memory, not results.
+BLOCK_TOKENS, REMEMBERED = 100_000, 500_000
+MULTIPLIER, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+IS_NUMBER, IS_UNIT, IS_FOLDED_UNIT = 1, 2, 4
+Forms = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class Tokens:
+    """Token forms of texts; one per task."""
+
+    def __init__(self):
+        self.find = regex.compile(TOKEN).findall
+        self.upper, self.number = regex.compile(r"\p{Lu}").match, regex.compile(r"\p{N}").match
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.rows = np.zeros((1024, 4), np.uint64)
+
+    @staticmethod
+    def _hash(form: str) -> int:
+        return xxhash.xxh3_64_intdigest(form)
+
+    def _place(self, token: str) -> int:
+        """Row of (typed hash, folded hash, plain hash, what it is)."""
+        low = token.lower()
+        what = IS_NUMBER * bool(self.number(token)) | IS_UNIT * (token in UNITS) | IS_FOLDED_UNIT * (low in UNITS)
+        folded = self._hash(NUMBER if what & IS_NUMBER else low)
+        at = len(self.places)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = self._hash(NAME) if self.upper(token) else folded, folded, self._hash(low), what
+        self.places[token] = at
+        return at
+
+    def canonical(self, raw: list[str]) -> list[str]:
+        """The typed tokens, one per raw token."""
+        numbers = [bool(self.number(x)) for x in raw]
+        return [NAME if self.upper(x) else NUMBER if numbers[i] else UNIT if x in UNITS and i and numbers[i - 1] else x.lower() for i, x in enumerate(raw)]
+
+    def forms(self, raw: list[str], first: np.ndarray) -> Forms:
+        """Hashes of the tokens as typed, folded and plain; ``first`` marks those that open a text."""
+        if len(self.places) > REMEMBERED:
+            self._clear()
+        known = self.places
+        at = np.fromiter((known[x] if x in known else self._place(x) for x in raw), np.int64, len(raw))
+        typed, folded, plain, what = self.rows[at].T
+        after = ~first
+        after[1:] &= (what[:-1] & np.uint64(IS_NUMBER)) > 0
+        unit = np.uint64(self._hash(UNIT))
+        return (np.where(after & ((what & np.uint64(IS_UNIT)) > 0), unit, typed), np.where(after & ((what & np.uint64(IS_FOLDED_UNIT)) > 0), unit, folded), plain)
+
+
+def window_hashes(hashes: np.ndarray, size: int, kind: int) -> np.ndarray:
+    """Hash of the window of ``size`` tokens that starts at each token, as long as it fits."""
+    mixed = np.full(max(len(hashes) - size + 1, 0), size * 4 + kind, np.uint64)
+    for k in range(size):
+        mixed = mixed * MULTIPLIER + hashes[k:len(hashes) - size + 1 + k]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= FINISH
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+TYPED, FOLDED, PLAIN = 0, 0, 1  # folded windows may meet typed ones; plain ones only plain ones
 
 
 def items(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per item its tokens and the size of its windows."""
-    raw = benchmark.select("item_id", raw_tokens("text").alias("raw")).filter(F.size("raw") > 0)
-    return raw.select("item_id", "raw", canonical(F.col("raw")).alias("canon"), F.least(F.size("raw"), F.lit(window)).alias("size"))
-
-
-def item_windows(known: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, item_id, at, size) of windows with enough literal words, and how many the item has."""
-    of_size = lambda n: _both(F.col("raw"), n)
-    hashes = reduce(lambda other, n: F.when(F.col("size") == n, of_size(n)).otherwise(other), range(1, window), of_size(window))
-    every = known.select("item_id", "canon", "size", F.explode(hashes).alias("w")).select("item_id", "canon", "size", "w.at", "w.h")
-    literal = F.size(F.filter(F.slice("canon", F.col("at") + 1, F.col("size")), lambda x: ~x.startswith("<")))
-    usable = every.filter(literal * 2 >= F.col("size")).select("h", "item_id", "at", "size")
-    return usable.join(usable.groupBy("item_id").agg(F.countDistinct("at").alias("windows")), "item_id")
+    """Per item its tokens, the size of its windows, their hashes and which of them have enough literal words."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            out = []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = tokens.find(text or "")
+                if not raw:
+                    continue
+                canon, size = tokens.canonical(raw), min(len(raw), window)
+                typed, folded, plain = tokens.forms(raw, np.arange(len(raw)) == 0)
+                literal = np.convolve([not x.startswith("<") for x in canon], np.ones(size, int), "valid")
+                good = np.flatnonzero(literal * 2 >= size)
+                both = [(int(k), int(h[k])) for h in (window_hashes(typed, size, TYPED), window_hashes(folded, size, FOLDED)) for k in good]
+                if not both and len(raw) >= window:
+                    both = list(enumerate(window_hashes(plain, size, PLAIN).tolist()))
+                out.append((item_id, raw, canon, size, len({k for k, _ in both}), [{"at": k, "h": h - (1 << 64) if h >= 1 << 63 else h} for k, h in set(both)], len(good) == 0))
+            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())])), pa.bool_()]
+    names = ["item_id", "raw", "canon", "size", "windows", "hashes", "plain"]
+    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(
+        read, "item_id long, raw array<string>, canon array<string>, size int, windows int, hashes array<struct<at: int, h: long>>, plain boolean")
+
+
+@F.arrow_udf(T.StructType().add("raw", T.ArrayType(T.StringType())).add("canon", T.ArrayType(T.StringType())))
+def both_forms(texts: pa.Array) -> pa.Array:
+    """Raw and typed tokens of a text; null for a null text."""
+    tokens = Tokens()
+    raw = [None if t is None else tokens.find(t) for t in texts.to_pylist()]
+    canon = [None if r is None else tokens.canonical(r) for r in raw]
+    strings = pa.list_(pa.string())
+    return pa.StructArray.from_arrays([pa.array(raw, strings), pa.array(canon, strings)], ["raw", "canon"])
+
+
+def document_windows(docs: DataFrame, sizes: list[int], plain: bool, wanted: np.ndarray | None) -> DataFrame:
+    """(d, c, pos, h) of the windows of each text; with ``wanted``, only those whose hash is among them."""
+
+    def probe(hashes: np.ndarray) -> np.ndarray:
+        if wanted is None:
+            return np.arange(len(hashes))
+        some = np.flatnonzero(marked[hashes >> np.uint64(44)])  # a table of first bits spares most of the search
+        return some[np.isin(hashes[some], wanted)]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            texts, block, size = batch.column(2), [], 0
+            for row in range(batch.num_rows + 1):
+                if block and (row == batch.num_rows or size >= BLOCK_TOKENS):
+                    yield from hits(tokens, batch, block)
+                    block, size = [], 0
+                if row < batch.num_rows:
+                    found = tokens.find(texts[row].as_py())
+                    block.append((row, found))
+                    size += len(found) + 1
+
+    def hits(tokens: Tokens, batch: pa.RecordBatch, block: list) -> Iterator[pa.RecordBatch]:
+        counts = np.array([len(t) for _, t in block])
+        owner = np.repeat([row for row, _ in block], counts)
+        start = np.repeat(np.cumsum(counts) - counts, counts)
+        place = np.arange(len(owner)) - start
+        typed, folded, own = tokens.forms([x for _, t in block for x in t], place == 0)
+        for size in sizes:
+            fits = owner[:len(owner) - size + 1] == owner[size - 1:]
+            of_typed = window_hashes(typed, size, TYPED)
+            found = [(of_typed, fits)]
+            of_folded = window_hashes(folded, size, FOLDED)
+            found.append((of_folded, fits & (of_folded != of_typed)))
+            if plain:
+                found.append((window_hashes(own, size, PLAIN), fits))
+            for hashes, valid in found:
+                at = probe(hashes)
+                at = at[valid[at]]
+                if len(at):
+                    rows = pa.array(owner[at])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[at], pa.int32()),
+                                                      pa.array(hashes[at].view(np.int64))], ["d", "c", "pos", "h"])
+
+    if wanted is not None:
+        marked = np.zeros(1 << 20, bool)
+        marked[wanted >> np.uint64(44)] = True
+    return docs.filter("body is not null").select("d", "c", "body").mapInArrow(read, "d long, c long, pos int, h long")
+
+
+def item_windows(known: DataFrame) -> DataFrame:
+    """(h, item_id, at, size, windows) of the windows by which items are found."""
+    return known.select("item_id", "size", "windows", F.explode("hashes").alias("w")).select("w.h", "item_id", "w.at", "size", "windows")
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -116,18 +227,13 @@ def _longest(places: Column, size: Column) -> Column:
 
 def candidates(docs: DataFrame, known: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(d, c, item_id, places, windows, size, hits): items with enough windows or a long stretch in a document, and where these lie."""
-    wanted = item_windows(known, window)
-    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # at most ``window`` numbers
-    probe = _bounded(wanted, BROADCAST_ROWS)
-    tokens = docs.filter("body is not null").select("d", "c", raw_tokens("body").alias("raw"))
-    hits = None
-    for size in sizes:
-        found = (tokens.select("d", "c", F.explode(_both(F.col("raw"), size)).alias("w")).select("d", "c", F.col("w.at").alias("pos"), "w.h")
-                 .join(probe.filter(F.col("size") == size), "h").select("d", "c", "item_id", "at", "size", (F.col("pos") - F.col("at")).alias("diagonal"), "windows"))
-        hits = found if hits is None else hits.union(found)
-    if hits is None:
-        return docs.select("d", "c").limit(0).selectExpr(
-            "d", "c", "0L item_id", "array(struct(0 as diagonal, 0 as at)) places", "0L windows", "0 size", "0 hits")
+    index = item_windows(known)
+    # at most ``window`` sizes, each with or without plain windows
+    sizes = known.filter(F.size("hashes") > 0).groupBy("size").agg(F.max("plain").alias("plain")).orderBy("size").collect()
+    few = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    wanted = np.unique(np.array([r.h for r in index.select("h").distinct().collect()], np.int64).view(np.uint64)) if few else None
+    found = document_windows(docs, [r["size"] for r in sizes], any(r.plain for r in sizes), wanted)
+    hits = found.join(F.broadcast(index) if few else index, "h").select("d", "c", "item_id", "at", "size", (F.col("pos") - F.col("at")).alias("diagonal"), "windows")
     places = F.collect_list(F.struct("diagonal", "at"))
     per = hits.distinct().groupBy("d", "c", "item_id").agg(places.alias("places"), F.first("windows").alias("windows"), F.first("size").alias("size"))
     found = per.withColumn("hits", F.size(F.array_distinct(F.transform("places", lambda x: x["at"]))))
@@ -189,8 +295,10 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
             F.exists(pairs, lambda p: p["of"] != p["to"]).alias("changed"),
             (enough(item, pairs, raw) | _run(item, raw, canon)).alias("consistent")))), lambda x: x["consistent"])
 
-    leaks = F.when(F.col("near").isNotNull(), let(raw_tokens("body"), lambda raw: let(canonical(raw), lambda canon: confirmed(raw, canon))))
-    return joined.select(*unkeyed(others(docs, "leaks")), leaks.alias("leaks"))
+    # other texts are null to the function, so only candidates are read again
+    read = joined.withColumn("forms", both_forms(F.when(F.col("near").isNotNull(), F.col("body"))))
+    leaks = F.when(F.col("near").isNotNull(), confirmed(F.col("forms.raw"), F.col("forms.canon")))
+    return read.select(*unkeyed(others(docs, "leaks")), leaks.alias("leaks"))
 
 
 def op5_templates(spark, sf_dir):

@@ -74,3 +74,61 @@ def test_runs_case_and_single_conflicts_are_caught(spark, documents):
             (6, STORY.replace("30 ", "12 ")), (7, "x " + " ".join(words[13:25]) + " y"), (8, QUESTION.upper())]
     want = {(1, 7, False), (2, 7, False), (3, 7, False), (4, 7, False), (5, 7, True), (6, 7, True), (8, 8, False)}
     assert leaks(decontam.flag(documents(docs), bench(spark, [(7, STORY), (8, QUESTION)]))) == want
+
+
+def test_verbatim_copies_of_names_and_numbers(spark, documents):
+    """An item without a window of enough literal words is found word for word, in any case, and not re-parameterised."""
+    item = "Anna Bob Carl 5 7 9 Dora Emil Fritz 3 and 8 Gustav Hans"
+    docs = [(1, item), (2, f"we say {item.upper()} here"), (3, item.replace("Dora", "Rosa")), (4, item.replace("5 7 9", "1 2 4"))]
+    got = leaks(decontam.flag(documents(docs), bench(spark, [(7, item), (8, STORY)])))
+    assert {x for x in got if x[0] in (1, 2)} == {(1, 7, False), (2, 7, False)}
+
+
+def brute_windows(text, size, form):
+    """Windows of typed, folded or plain tokens, token by token."""
+    import regex
+    raw = regex.findall(decontam.TOKEN, text or "")
+    out = []
+    for i, x in enumerate(raw):
+        after = i > 0 and regex.match(r"\p{N}", raw[i - 1])
+        y = x if form == "typed" else x.lower()
+        if form == "plain":
+            out.append(y)
+        elif form == "typed" and regex.match(r"\p{Lu}", x):
+            out.append("<name>")
+        elif regex.match(r"\p{N}", y):
+            out.append("<num>")
+        else:
+            out.append("<unit>" if y in decontam.UNITS and after else y.lower())
+    return [tuple(out[i:i + size]) for i in range(len(out) - size + 1)]
+
+
+def test_windows_against_brute_force(spark, documents, monkeypatch):
+    """A window of a document is hit where, and only where, an item has a window of the same tokens, whatever the blocks."""
+    import random
+    rng = random.Random(3)
+    words = ["Anna", "Bob", "5", "7.5", "kg", "KG", "m", "sold", "Sold", "a", "in", "é", "x1"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    bench_texts = [(i, text(rng.randint(3, 30))) for i in range(25)]
+    taken = lambda: rng.choice([str, str.lower, str.upper])(" ".join(rng.choice(bench_texts)[1].split()[rng.randint(0, 3):]))
+    docs = [(i, f"{text(rng.randint(0, 9))} {taken()} {text(2)} {taken()}") for i in range(40)] + [(90, None), (91, "")]
+    known = decontam.items(bench(spark, bench_texts))
+    index = {}
+    for r in decontam.item_windows(known).collect():
+        index.setdefault(r.h, set()).add((r.item_id, r.at, r.size))
+    for block in (100_000, 10):
+        monkeypatch.setattr(decontam, "BLOCK_TOKENS", block)
+        rows = decontam.document_windows(documents(docs).selectExpr("doc_id as d", "0L as c", "text as body"), list(range(1, 9)), True, None).collect()
+        got = {(r.d, r.pos, x) for r in rows for x in index.get(r.h, ())}
+        want = set()
+        plain = {r.item_id for r in known.where("plain").collect()}
+        used = {x for places in index.values() for x in places}
+        for d, t in docs:
+            for i, b in bench_texts:
+                for size in {s for k, _, s in used if k == i}:
+                    own = ("plain",) if i in plain else ("typed", "folded")
+                    for mine in own:
+                        for theirs in own:
+                            a, o = brute_windows(t, size, mine), brute_windows(b, size, theirs)
+                            want |= {(d, p, (i, q, size)) for p, x in enumerate(a) for q, y in enumerate(o) if x == y and (i, q, size) in used}
+        assert got == want and len(want) > 50
