@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import structure as S
+from shelfmark.operators import chunk_table, structure as S
 from shelfmark.plans.checks.registry import (
     MD_SQL, SP, check, d_clean_heading, d_paragraphs, d_strip, d_tokens, documents, md_text,
 )
@@ -100,6 +100,15 @@ def chunks_overlap(spark, sf):
     return _chunk_rows(spark, sf, 60, 20)
 
 
+@check("chk_4_chunk_table", "with recursive " + MD_SQL + "," + greedy_sql("books", "doc_id", "chunks", 60, 20) + "select doc_id, c, text, off from chunks")
+def chunks_as_table(spark, sf):
+    """The same chunks from the table function, called from SQL."""
+    chunk_table.register(spark)
+    md_text(spark, sf).select("doc_id", "text").createOrReplaceTempView("shelfmark_books")
+    rows = spark.sql("select * from chunk_text(table(shelfmark_books), 'text', 60, 20)")
+    return rows.select("doc_id", F.col("chunk").alias("c"), F.col("chunk_text").alias("text"), F.col("char_start_offset").alias("off"))
+
+
 PARENTS_SQL = CHAPTERS_SQL + ", keyed as (select *, book_id || '::ch' || chapter_number as k from chapters)," + greedy_sql(
     "keyed", "k", "pc", PARENT_TOKENS, 0) + """,
 parents as (
