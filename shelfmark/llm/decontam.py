@@ -29,6 +29,7 @@ nothing; other columns pass through untouched, but for one named ``leaks``, whic
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 # Units that follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "min", "h", "hours", "days", "years",
          "minutes", "seconds", "miles", "meters", "metres", "percent", "dollars", "euros", "cents", "degrees")
+UNIT_SET = frozenset(UNITS)
 # Tokens hashed together and token forms remembered: they bound a task's memory, not results.
 BLOCK_TOKENS, REMEMBERED = 100_000, 500_000
 MULTIPLIER, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -61,44 +63,43 @@ class Tokens:
 
     def __init__(self):
         self.find = regex.compile(TOKEN).findall
-        self.upper, self.number = regex.compile(r"\p{Lu}").match, regex.compile(r"\p{N}").match
         self._clear()
 
     def _clear(self) -> None:
         self.places: dict[str, int] = {}
-        self.rows = np.zeros((1024, 4), np.uint64)
-
-    @staticmethod
-    def _hash(form: str) -> int:
-        return xxhash.xxh3_64_intdigest(form)
-
-    def _place(self, token: str) -> int:
-        """Row of (typed hash, folded hash, plain hash, what it is)."""
-        low = token.lower()
-        what = IS_NUMBER * bool(self.number(token)) | IS_UNIT * (token in UNITS) | IS_FOLDED_UNIT * (low in UNITS)
-        folded = self._hash(NUMBER if what & IS_NUMBER else low)
-        at = len(self.places)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self._hash(NAME) if self.upper(token) else folded, folded, self._hash(low), what
-        self.places[token] = at
-        return at
+        self.rows = np.empty((0, 4), np.uint64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Rows (typed hash, folded hash, plain hash, what it is) of tokens not met yet."""
+        low = [x.lower() for x in new]
+        plain = np.fromiter(map(xxhash.xxh3_64_intdigest, low), np.uint64, len(new))
+        number = np.array([not x[0].isalpha() for x in new], bool)  # a token starts with a letter or a number
+        capital = np.array([category(x[0]) == "Lu" for x in new], bool)
+        what = IS_NUMBER * number + IS_UNIT * np.array([x in UNIT_SET for x in new], bool) + IS_FOLDED_UNIT * np.array([x in UNIT_SET for x in low], bool)
+        folded = np.where(number, np.uint64(xxhash.xxh3_64_intdigest(NUMBER)), plain)
+        typed = np.where(capital, np.uint64(xxhash.xxh3_64_intdigest(NAME)), folded)
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+        self.rows = np.concatenate([self.rows, np.stack([typed, folded, plain, what.astype(np.uint64)], 1)])
 
     def canonical(self, raw: list[str]) -> list[str]:
         """The typed tokens, one per raw token."""
-        numbers = [bool(self.number(x)) for x in raw]
-        return [NAME if self.upper(x) else NUMBER if numbers[i] else UNIT if x in UNITS and i and numbers[i - 1] else x.lower() for i, x in enumerate(raw)]
+        numbers = [not x[0].isalpha() for x in raw]
+        return [NAME if category(x[0]) == "Lu" else NUMBER if numbers[i] else UNIT if x in UNITS and i and numbers[i - 1] else x.lower() for i, x in enumerate(raw)]
 
     def forms(self, raw: list[str], first: np.ndarray) -> Forms:
         """Hashes of the tokens as typed, folded and plain; ``first`` marks those that open a text."""
         if len(self.places) > REMEMBERED:
             self._clear()
-        known = self.places
-        at = np.fromiter((known[x] if x in known else self._place(x) for x in raw), np.int64, len(raw))
-        typed, folded, plain, what = self.rows[at].T
+        at = list(map(self.places.get, raw))
+        if None in at:
+            missing = [i for i, place in enumerate(at) if place is None]
+            self._learn(list(dict.fromkeys(raw[i] for i in missing)))
+            for i in missing:
+                at[i] = self.places[raw[i]]
+        typed, folded, plain, what = self.rows[np.array(at, np.int64)].T
         after = ~first
         after[1:] &= (what[:-1] & np.uint64(IS_NUMBER)) > 0
-        unit = np.uint64(self._hash(UNIT))
+        unit = np.uint64(xxhash.xxh3_64_intdigest(UNIT))
         return (np.where(after & ((what & np.uint64(IS_UNIT)) > 0), unit, typed), np.where(after & ((what & np.uint64(IS_FOLDED_UNIT)) > 0), unit, folded), plain)
 
 
