@@ -19,12 +19,12 @@ def test_run_against_brute_force(spark):
     from test_linededup import brute as cut
     from test_packing import check
     from test_quality import brute as judged
-    from shelfmark.llm.quality import THRESHOLD
+    from shelfmark.llm.quality import MAX_AVOIDED_MILLI, THRESHOLD
 
     docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' order by doc_id").fetchall()
     good = {r[0] for r in duckdb.sql(f"select doc_id from '{SF}/labels.parquet' where quality = 1 and toxic = 0").fetchall()}
     items = [r[0] for r in duckdb.sql(f"select text from '{SF}/benchmark.parquet'").fetchall()]
-    keep = {r[0] for r in judged(docs, good) if not r[6] and r[7] >= THRESHOLD}
+    keep = {r[0] for r in judged(docs, good) if not r[6] and r[7] >= THRESHOLD and 1000 * r[8] <= MAX_AVOIDED_MILLI * r[1]}
     docs = [x for x in docs if x[0] in keep]
     docs = [(i, t) for i, t, n in cut(docs) if not n or t.strip()]
     docs = [x for x, g in zip(docs, groups(docs)) if g[0] == g[2]]
