@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import WHITESPACE
+from shelfmark.sources.tables import stored_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,9 +40,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# Stored bytes of documents for one task.
+TASK_BYTES = 8_000_000
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents, dealt over the slots because the checks on them are CPU-heavy and small tables are one split."""
-    return table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism)
+    """Documents, dealt out because the checks on them are CPU-heavy and small tables are one split.
+
+    Every slot gets a part; a larger table has more parts, not larger ones.
+    """
+    parts = ceil(stored_bytes(spark, f"{sf}/documents.parquet") / TASK_BYTES)
+    return table(spark, sf, "documents").repartition(max(spark.sparkContext.defaultParallelism, parts))
 
 
 # Expressions that both engines read the same way (no backslashes, no casts of kind).

@@ -105,9 +105,8 @@ _indexes: dict[tuple[str, str], tuple] = {}
 def build_index(spark, sf) -> str:
     """Write posting blocks, term and corpus statistics of the documents; returns their folder."""
     root = shared_dir(spark, "check-index")
-    placed = keyword.placed_postings(parents(spark, sf))
-    # one range shuffle brings each term's blocks together, spread over files where a term is frequent
-    blocks = keyword.in_blocks(placed.repartitionByRange("term", "block"))
+    # every file is an index of its own documents, in order of terms; a frequent term is spread over all of them
+    blocks = keyword.in_blocks(keyword.placed_postings(parents(spark, sf)))
     blocks.sortWithinPartitions("term", "block").write.parquet(f"{root}/blocks")
     keyword.block_stats(spark.read.parquet(f"{root}/blocks")).sort("term").write.parquet(f"{root}/terms")
     keyword.corpus_stats(parents(spark, sf)).write.parquet(f"{root}/corpus")
