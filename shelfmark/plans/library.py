@@ -13,6 +13,7 @@ batch, and ``vacuum`` removes the folders nothing reads any more.
 from __future__ import annotations
 
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,6 +30,8 @@ BOOKS_DDL = "book_id string, parents bigint, children bigint"
 LOG_DDL = "seq bigint, batch string, base boolean, replaced bigint, books bigint"
 TABLES = ("parents", "children", "postings", "terms", "corpus", "books")
 MODES = ("hybrid", "semantic", "keyword")
+# Stored bytes of parents whose postings one task makes.
+TASK_BYTES = 4_000_000
 
 
 class IndexNotBuilt(LookupError):
@@ -143,18 +146,20 @@ class Library:
         self._add_keywords(batch, parents, new_ids)
         return self._commit(batch, new_ids, parents, children)
 
-    def _segment_of(self, name: str, ddl: str, batch: str, rows: DataFrame, sort: list[str]) -> DataFrame:
+    def _segment_of(self, name: str, ddl: str, batch: str, rows: DataFrame, sort: list[str], dealt: bool = True) -> DataFrame:
         """Write a segment and read it back."""
         if "bucket" not in rows.columns:
             rows = rows.withColumn("bucket", tables.bucket_of(F.col("book_id"), self.buckets))
-        tables.write_segment(rows, self._path(name), batch, sort)
+        tables.write_segment(rows, self._path(name), batch, sort, dealt)
         return tables.open_segments(self.spark, self._path(name), ddl).where(F.col("batch") == batch).drop("batch")
 
     def _blocks_of(self, batch: str, parents: DataFrame) -> DataFrame:
-        placed = keyword.placed_postings(parents, ("bucket",))
+        parts = ceil(tables.stored_bytes(self.spark, f"{self._path('parents')}/batch={batch}") / TASK_BYTES)
+        # neighbouring buckets, or a part of a large one, for each task
+        placed = keyword.placed_postings(parents.repartitionByRange(max(1, parts), "bucket", "id"), ("bucket",))
         # numbers of blocks start anew in every batch
         placed = placed.withColumn("block", F.xxhash64(F.lit(batch), "block"))
-        return self._segment_of("postings", keyword.BLOCKS_DDL, batch, keyword.in_blocks(placed, ("bucket",)), ["term", "block"])
+        return self._segment_of("postings", keyword.BLOCKS_DDL, batch, keyword.in_blocks(placed, ("bucket",)), ["term", "block"], dealt=False)
 
     def _add_keywords(self, batch: str, parents: DataFrame, new_ids: DataFrame) -> None:
         """Postings and statistics of a batch, with negative statistics for the versions it replaces."""

@@ -48,11 +48,13 @@ def open_segments(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_segment(rows: DataFrame, path: str, batch: str, sort: list[str]) -> None:
+def write_segment(rows: DataFrame, path: str, batch: str, sort: list[str], dealt: bool = True) -> None:
     """Write rows with a ``bucket`` as one segment that nothing reads before it is committed.
 
-    Dealing by hash needs no sampling pass, so costly columns are computed once;
-    sorted files let min/max statistics skip row groups.
+    Dealing by hash needs no sampling pass, so costly columns are computed once; a bucket
+    that is large for one task is dealt to several, and becomes several files. Sorted files
+    let min/max statistics skip row groups. Rows that already lie by bucket need no dealing.
     """
-    (rows.repartition("bucket").sortWithinPartitions("bucket", *sort)
+    rows = rows.hint("rebalance", "bucket") if dealt else rows
+    (rows.sortWithinPartitions("bucket", *sort)
      .write.partitionBy("bucket").parquet(f"{path}/batch={batch}"))

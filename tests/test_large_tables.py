@@ -1,11 +1,16 @@
 """What one task reads or holds does not grow with the tables."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import postings
+from shelfmark.models import Embedder
 from shelfmark.operators import keyword
+from shelfmark.plans import library
 from shelfmark.plans.checks import registry
+from shelfmark.sources import tables
 
 
 @pytest.fixture
@@ -34,6 +39,15 @@ def text_rows(spark, n, parts=8):
         F.format_string("p%05d", "i").alias("id"), F.lit("b").alias("book_id"), F.lit("a").alias("author"), F.array_join(words, " ").alias("text"))
 
 
+def test_a_large_bucket_is_dealt_to_several_tasks(spark, tmp_path, conf):
+    conf(spark__sql__adaptive__advisoryPartitionSizeInBytes="100k")
+    rows = spark.range(0, 40_000, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit(0).alias("bucket"))
+    tables.write_segment(rows, str(tmp_path), "x", ["id"])
+    files = list(Path(tmp_path, "batch=x", "bucket=0").glob("*.parquet"))
+    got = spark.read.parquet(str(tmp_path))
+    assert len(files) > 4 and (got.count(), got.select("id").distinct().count()) == (40_000, 40_000)
+
+
 def test_documents_are_dealt_by_size(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     assert registry.documents(spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
@@ -41,6 +55,16 @@ def test_documents_are_dealt_by_size(spark, monkeypatch):
     assert registry.documents(spark, sf).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
 
 
+def test_postings_of_a_batch_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(library, "TASK_BYTES", 2_000)
+    lib = library.Library(spark, str(tmp_path), Embedder(dims=8), buckets=2)
+    books = spark.range(200).select(F.concat(F.lit("b"), "id").alias("book_id"), F.concat(F.lit("# One\n\nshared word"), "id").alias("text"))
+    assert lib.add_books(books) == 200
+    assert len(list(Path(tmp_path, "postings").rglob("*.parquet"))) > 4
+    assert lib.postings().where("term = 'shared'").count() == 200
+    assert {r.book_id for r in lib.search("word77", 3, "keyword").collect()} == {"b77"}
+
+
 def test_no_posting_is_shuffled_into_blocks(spark):
     assert shuffles(keyword.in_blocks(keyword.placed_postings(text_rows(spark, 100)))) == 0
 
