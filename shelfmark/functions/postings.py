@@ -1,9 +1,9 @@
-"""Postings of batches of parents, counted with Arrow and NumPy inside the tasks."""
+"""Postings of batches of parents and their scores for many questions, counted with Arrow and NumPy inside the tasks."""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Words counted in one go; a piece holds one block of parents at least.
 WORDS_AT_ONCE = 1_000_000
+# Parents scored in one go.
+ROWS_AT_ONCE = 512
 
 
 def term_counts(terms: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,3 +79,53 @@ def blocks_of(carry: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], It
             yield from pieces(held, np.zeros(1, np.int64))
 
     return run
+
+
+def best_matches(
+    terms: Sequence[str], idf: Sequence[float], wanted: Sequence[tuple[int, int]], questions: int, saturation: Callable, k: int,
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over parents (id, terms): the ``k`` best of each question, as (q, id, _score).
+
+    ``wanted`` pairs a question with a term it asks for. A matrix product scores a block of
+    parents against all questions. Scores have nine digits, so equal texts tie wherever they
+    are met, and ties go by id. A task holds at most k rows per question and one block.
+    """
+    names = ["q", "id", "_score"]
+
+    def best(found: list[tuple]) -> tuple:
+        q, ids, score = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], ids[keep], score[keep]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weights = pa.array(terms, pa.string()), np.asarray(idf)
+        gains = np.zeros((len(terms), questions))
+        for q, t in wanted:
+            gains[t, q] = weights[t]
+        held, limit = None, np.zeros(questions)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                block = batch.slice(start, ROWS_AT_ONCE)
+                found, code, row, tf, dl = term_counts(block.column(1))
+                place = pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy(zero_copy_only=False)[code]
+                asked = place >= 0
+                row, tf, place = row[asked], tf[asked], place[asked]
+                shares = np.zeros((block.num_rows, len(terms)))
+                shares[row, place] = saturation(tf, dl[row])
+                scores = shares @ gains
+                rounded = np.round(scores, 9)
+                if len(rounded) > k:
+                    limit = np.maximum(limit, -np.partition(-rounded, k - 1, axis=0)[k - 1])
+                at, q = np.nonzero((rounded >= limit) & (scores > 0))
+                ids = np.array(block.column(0).take(pa.array(at)).to_pylist(), dtype=object).astype(str)
+                new = (q, ids, rounded[at, q])
+                held = best([held, new] if held else [new])
+                full = np.flatnonzero(np.bincount(held[0], minlength=questions) >= k)
+                limit[full] = np.maximum(limit[full], held[2][np.searchsorted(held[0], full, "right") - 1])
+        if held:
+            q, ids, score = held
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids.tolist(), pa.string()), pa.array(score, pa.float64())], names)
+
+    return search

@@ -208,9 +208,10 @@ select qid, id, round(_score, 6) as _score, cast(place as int) as place from
 
 @check("rnk_6_all_questions", ALL_QUESTIONS_SQL)
 def all_questions(spark, sf):
-    """Keyword mode with every benchmark item as a question, in one run over the posting blocks."""
+    """Keyword mode with every benchmark item as a question, in one scan of the texts and with the stored statistics."""
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    s = keyword.score_questions(*stored_index(spark, sf), asked, K)
+    _, *stored = stored_index(spark, sf)
+    s = keyword.score_questions(parents(spark, sf), *stored, asked, K)
     return rounded(s, "_score", digits=6)
 
 

@@ -79,3 +79,21 @@ def test_blocks_across_batches_and_pieces(spark, monkeypatch, conf, words):
     names = ("term", "id", "book_id", "author", "tf", "dl")
     assert sorted(map(tuple, keyword.entries(blocks).select(*names).collect())) == sorted(map(tuple, keyword.postings(parents).select(*names).collect()))
     blocks.unpersist()
+
+
+@pytest.mark.parametrize("rows, questions", [(512, 1024), (7, 2)])
+def test_many_questions_rank_like_one(spark, monkeypatch, rows, questions):
+    """Every text stands there seven times or more, so ties go by id wherever the copies are."""
+    monkeypatch.setattr(postings, "ROWS_AT_ONCE", rows)
+    monkeypatch.setattr(keyword, "QUESTIONS", questions)
+    parents = text_rows(spark, 400).unionByName(spark.createDataFrame([("none", "b", "a", None), ("empty", "b", "a", "")], "id string, book_id string, author string, text string"))
+    index = keyword.postings(parents)
+    stats = keyword.term_stats(index), keyword.corpus_stats(parents)
+    asked = [(0, "w1 w2 W2 w-3"), (1, "unknown"), (2, ""), (3, None), (4, "w7 unknown w-7"), (5, "w10 w11 w12 w13 w14 w15")]
+    got = keyword.score_questions(parents, *stats, spark.createDataFrame(asked, "qid int, text string"), 6)
+    assert shuffles(got) == 1  # the best of each task; no join, no pair
+    for qid, text in asked:
+        s = keyword.score_postings(index, *stats, keyword.query_terms(text or ""))
+        want = s.withColumn("_score", F.round("_score", 9)).orderBy(F.desc("_score"), "id").limit(6).collect()
+        found = got.where(F.col("qid") == qid).orderBy("place").collect()
+        assert [r.id for r in found] == [r.id for r in want] and [r._score for r in found] == pytest.approx([r._score for r in want], abs=1e-8)
